@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.packing import op8_best_fit_packing
+from tidewater.llm.simhash import op4_simhash_near_dedup
 from tidewater.llm.token_files import op7_token_files
 
-QUERIES = [op7_token_files, op8_best_fit_packing]
+QUERIES = [op4_simhash_near_dedup, op7_token_files, op8_best_fit_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
