@@ -36,18 +36,20 @@ FILES = "part int, seq int, n_docs long, n_ids long, payload binary"
 
 
 def repair(ids: np.ndarray, end: int, first: int, rounds: int = 3, each: int = 256, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (pairs of symbols; the k-th stands for ``first + k``) and the symbols that are left; no pair begins with ``end``.
+    """Rules (pairs of symbols; the k-th stands for ``first + k``) and the symbols that are left; no pair goes on after ``end``.
 
     All pairs are counted in hashed counters; the pairs in the ``each`` fullest counters are then counted
     exactly and replaced if met ``least`` times or more (and once in 8192 symbols: rarer ones save too little). In a run of overlapping pairs every other one is.
     """
     seq, rules = ids.astype(np.uint32), []
+    closing = np.zeros(first, dtype=bool)  # symbols whose expansion ends a document
+    closing[end] = True
     for _ in range(rounds):
         if len(seq) < 2:
             break
         left, right = seq[:-1], seq[1:]
         slot = (left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) >> np.uint32(12)
-        free = left != end
+        free = ~closing[left]
         counts = np.bincount(slot[free], minlength=1 << 20)
         top = np.flatnonzero(counts >= max(least, len(seq) >> 13))  # at most 8192 of them
         top = top[np.argsort(-counts[top], kind="stable")[:each]]
@@ -69,6 +71,9 @@ def repair(ids: np.ndarray, end: int, first: int, rounds: int = 3, each: int = 2
         at, of = at[run % 2 == 0], of[run % 2 == 0]
         new = first + len(rules)
         rules += [(int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF))) for p in pairs[good]]
+        if len(rules) + first > len(closing):
+            closing = np.r_[closing, np.zeros(len(rules) + first - len(closing), dtype=bool)]
+        closing[new : new + int(good.sum())] = closing[(pairs[good] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         seq[at] = new + of
         stays = np.ones(len(seq), dtype=bool)
         stays[at + 1] = False
@@ -190,16 +195,18 @@ def read_files(files: DataFrame) -> DataFrame:
 
     def decode(batches):
         for b in batches:
-            for before, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for part, seq, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 s = Shard.open(raw.as_buffer())
                 ids, ends = s.all_ids().astype("<u4"), s.id_ends.tolist()
                 begins = [0, *ends[:-1]]
+                n = len(ends)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(s.doc_ids, pa.int64(), mask=s.has_id == 0), pa.array([before + x for x in begins], pa.int64()),
+                    pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(s.doc_ids, pa.int64(), mask=s.has_id == 0), pa.array(begins, pa.int64()),
                     pa.array([y - x for x, y in zip(begins, ends, strict=True)], pa.int64()), pa.array([zlib.crc32(ids[x:y]) for x, y in zip(begins, ends, strict=True)], pa.int64()),
-                ], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                ], names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    return map_arrow(files.join(starts(files), ["part", "seq"]).select("before", "payload"), decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = map_arrow(files.select("part", "seq", "payload"), decode, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(starts(files), ["part", "seq"]).select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
