@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import SPACES, drop, map_arrow, read, strings, table
 
 SYMBOLS = "#*$%&|<>"
-#: log of the mean word length; roots of the shares of symbols, of other non-letters, of capitals, of repeated lines.
+#: log of the mean word length; roots of the shares of symbols, of other marks, of capitals, of repeated lines.
 FEATURES = 5
 #: Smallest standard deviations of the features.
 FLOOR = (0.06, 0.03, 0.03, 0.04, 0.25)
@@ -44,9 +44,9 @@ _KINDS: dict[str, np.ndarray] = {}
 
 
 def _kinds() -> np.ndarray:
-    """By code point: 1 letter, 2 capital letter, 0 other."""
+    """By code point: 1 letter or digit, 2 capital letter, 0 other."""
     if not _KINDS:
-        _KINDS["of"] = np.array([2 if (c := chr(k)).isupper() and c.isalpha() else 1 if c.isalpha() else 0 for k in range(0x110000)], dtype=np.uint8)
+        _KINDS["of"] = np.array([2 if (c := chr(k)).isupper() and c.isalpha() else 1 if c.isalnum() else 0 for k in range(0x110000)], dtype=np.uint8)
     return _KINDS["of"]
 
 
@@ -75,7 +75,7 @@ def repeated(ws: list[bytes], window: int = 5) -> int:
 
 
 def counts(text: str | None) -> tuple[int, ...]:
-    """``COUNTS``, then letters, capitals and lines with a word."""
+    """``COUNTS``, then letters and digits, capitals, and lines with a word."""
     text = text or ""
     ws = text.encode("utf-8", "surrogatepass").split()
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
