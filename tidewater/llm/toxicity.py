@@ -5,15 +5,14 @@ spelt out with single letters becomes a lattice (each figure or mark may stand f
 between letters may be dropped, runs may shrink to one or two letters), and Viterbi search under a character
 trigram model finds the likeliest word. The model's counts are four-letter windows of the whole corpus.
 
-Score: features are the words and their beginnings and ends. Training counts, for each feature, the toxic and
-other documents that have it; a feature is kept if ``MIN_SHARE`` of the toxic training documents have it (so
-there are at most mean-features-a-document / ``MIN_SHARE``), and at most ``MOST`` of them. Toxic counts are
-limited by the variety of the words before it, so that many copies of one text don't count as many. A text's
-score is the best lower confidence bound of its features' precision, or half the base rate if it has none.
+Score: a logistic regression on the rates of words and of words' beginnings and ends. It is fitted on a bounded
+sample: about ``SAMPLE`` training rows of each label, each different text once. Features that ``MIN_SHARE`` of
+the sample's toxic texts have are counted (the ``MOST`` most frequent), and the ``KEPT`` that tell the labels
+apart best are fitted.
 
 Cases: null and empty texts get the score of a text without features; label rows that are null, or of no
-document, teach nothing, of repeated labels the largest counts; repeated documents each get their row; without
-any toxic training row all scores are 0; extra columns are ignored.
+document, teach nothing, of repeated labels the largest counts; repeated documents each get their row; if the
+training rows don't have both labels all scores are about 0; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,9 @@ MARKS = set(".-_*~'`^/\\,:;=# ")
 LETTERS = 28  # 0 is a word's edge, 27 any letter that has no base among a-z
 MIN_SHARE = 0.002
 MOST = 1 << 16
+KEPT = 4096
+#: Training rows of each label that the classifier is fitted on (about; fewer if there are fewer).
+SAMPLE = 20_000
 THRESHOLD = 0.7
 
 
@@ -178,99 +181,125 @@ def chunks(text: str | None) -> Iterator[str]:
     yield from spelt_out(low)
 
 
-def toxic_counts(texts: DataFrame, model: np.ndarray) -> DataFrame:
-    """code, pos (documents), variety (64 bits, one set by each word met before the feature), of toxic texts (text)."""
-
-    def count(batches):
-        restorer = Restorer(model)
-        for b in batches:
-            codes, marks = [], []
-            for t in strings(b.column(0)):
-                doc: dict[int, int] = {}
-                before = ""
-                for chunk in chunks(t):
-                    bit = 1 << (xxhash.xxh64_intdigest(before.encode("utf-8", "surrogatepass")) & 63)
-                    for w in chunk_words(chunk, restorer):
-                        for f in features(w):
-                            code = xxhash.xxh64_intdigest(f)
-                            doc[code] = doc.get(code, 0) | bit
-                    before = chunk
-                codes += doc.keys()
-                marks += doc.values()
-            at, of = np.unique(np.array(codes, dtype=np.uint64), return_inverse=True)
-            n, seen = np.bincount(of, minlength=len(at)), np.zeros(len(at), dtype=np.uint64)
-            np.bitwise_or.at(seen, of, np.array(marks, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(seen.view(np.int64))], names=["code", "pos", "variety"])
-
-    rows = map_arrow(texts, count, "code long, pos long, variety long")
-    return rows.groupBy("code").agg(F.sum("pos").alias("pos"), F.bit_or("variety").alias("variety"))
-
-
 class _Found(dict):
-    """Chunk -> numbers of the kept features it has."""
+    """Chunk -> numbers of the kept features it has (one for each word that has it)."""
 
     def __init__(self, codes: np.ndarray, letters: np.ndarray, most: int = 400_000):
         self.number = {c: k for k, c in enumerate(codes.view(np.uint64).tolist())}
         self.restorer, self.most = Restorer(letters), most
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        got = tuple({k for w in chunk_words(chunk, self.restorer) for f in features(w) if (k := self.number.get(xxhash.xxh64_intdigest(f))) is not None})
+        got = tuple([k for w in chunk_words(chunk, self.restorer) for f in features(w) if (k := self.number.get(xxhash.xxh64_intdigest(f))) is not None])
         if len(self) < self.most:
             self[chunk] = got
         return got
 
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Numbers of the features of a text, how often each occurs, and the text's chunks."""
+        parts = list(chunks(text))
+        at, n = np.unique(np.fromiter(chain.from_iterable(map(self.__getitem__, parts)), dtype=np.int32), return_counts=True)
+        return at, n, len(parts)
+
+
+def toxic_codes(texts: DataFrame, letters: np.ndarray) -> DataFrame:
+    """code, n: in how many of the texts each feature occurs."""
+
+    def count(batches):
+        restorer = Restorer(letters)
+        for b in batches:
+            codes: list[int] = []
+            for t in strings(b.column(0)):
+                codes += {xxhash.xxh64_intdigest(f) for c in chunks(t) for w in chunk_words(c, restorer) for f in features(w)}
+            at, n = np.unique(np.array(codes, dtype=np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+    return map_arrow(texts, count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
 
-def found(docs: DataFrame, codes: np.ndarray, letters: np.ndarray) -> DataFrame:
-    """doc_id, has: numbers of the kept features that each row's text has."""
+def found(rows: DataFrame, codes: np.ndarray, letters: np.ndarray) -> DataFrame:
+    """toxic, size (chunks), has and times (numbers of the features and how often) of each row (toxic, text)."""
 
     def find(batches):
         of = _Found(codes, letters)
         for b in batches:
-            has = []
-            for t in strings(b.column(1)):
-                x: set[int] = set()
-                x.update(*map(of.__getitem__, chunks(t)))
-                has.append(sorted(x))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(has, pa.list_(pa.int32()))], names=["doc_id", "has"])
+            got = [of.of(t) for t in strings(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[2] for x in got], pa.int64()), pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.list_(pa.int64()))], names=["toxic", "size", "has", "times"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), find, "doc_id long, has array<int>")
+    return map_arrow(rows.select(F.col("toxic").cast("int"), "text"), find, "toxic int, size long, has array<int>, times array<long>")
 
 
-def lower_bound(pos: np.ndarray, neg: np.ndarray, z: float = 1.64) -> np.ndarray:
-    """Wilson's lower bound of pos / (pos + neg)."""
-    n = np.maximum(pos + neg, 1e-9)
-    p = pos / n
-    return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+def strength(times: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """A feature's value: its rate in the text, on a log scale."""
+    return np.log1p(300.0 * times / (np.asarray(size) + 100.0))
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score of each row of ``docs``; learnt from the training rows' ``labels`` (doc_id, toxic)."""
+def fit(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, penalty: float = 0.02, steps: int = 400) -> np.ndarray:
+    """Logistic regression with a quadratic penalty, by Adam on all rows; the intercept is the last weight."""
+    w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+    w[n] = -3.0
+    for t in range(1, steps + 1):
+        z = np.bincount(row, w[col] * x, minlength=len(y)) + w[n]
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
+        g = np.r_[np.bincount(col, e[row] * x, minlength=n) + penalty * w[:n], e.sum()]
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+    return w
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """toxic, weight, text: about ``SAMPLE`` training rows of each label, by a hash of doc_id, each different text once."""
     taught = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & is_train(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    letters = log_model(letter_counts(docs))
-    toxic = docs.join(taught.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("text")
-    counts = table(toxic_counts(toxic, letters), "toxic-counts")
-    n = {r["toxic"]: r["n"] for r in taught.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    least = max(4, MIN_SHARE * n.get(1, 0))
-    variety = F.bit_count("variety")
-    kept = counts.where(F.col("pos") >= least).select("code", "pos", variety.alias("variety")).orderBy(F.desc("pos"), "code").limit(MOST).toPandas()  # at most MOST rows
-    codes, pos = kept["code"].to_numpy(np.int64), kept["pos"].to_numpy(float)
-    has = table(found(docs, codes, letters), "has")
-    others = has.join(taught.where("toxic = 0"), "doc_id").dropDuplicates(["doc_id"])
+    n = {r["toxic"]: r["n"] for r in taught.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    part = {k: min(1.0, SAMPLE / n[k]) for k in n}
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, part.get(1, 0) * 1e6).otherwise(part.get(0, 0) * 1e6)
+    rows = docs.select("doc_id", "text").join(taught.where(drawn), "doc_id")
+    return table(rows.groupBy(F.xxhash64("text", F.length("text"))).agg(F.max("toxic").alias("toxic"), F.min_by("text", "doc_id").alias("text")).select("toxic", "text"), "toxic-sample")
+
+
+def train(docs: DataFrame, labels: DataFrame, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the kept features, and their weights with the intercept."""
+    rows = sample(docs, labels)
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    if not n.get(1) or not n.get(0):
+        return np.empty(0, dtype=np.int64), np.array([-30.0])
+    least = max(3, MIN_SHARE * n[1])
+    top = toxic_codes(rows.where("toxic = 1").select("text"), letters).where(F.col("n") >= least).orderBy(F.desc("n"), "code").limit(MOST).toPandas()  # at most MOST rows
+    codes = top["code"].to_numpy(np.int64)
+    has = table(found(rows, codes, letters).withColumn("row", F.monotonically_increasing_id()), "toxic-found")
     neg = np.zeros(len(codes))
-    for r in others.select(F.explode("has").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect():  # at most MOST rows
+    for r in has.where("toxic = 0").select(F.explode("has").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect():  # at most MOST rows
         neg[r["k"]] = r["n"]
-    met = kept["variety"].to_numpy(float)
-    free = np.minimum(pos, np.where(met >= 64, np.inf, -64 * np.log(np.maximum(1 - met / 64, 1e-9))))
-    bound = [float(x) for x in lower_bound(free, neg)]
-    base = 0.5 * n.get(1, 0) / max(1, sum(n.values()))
+    a, b = top["n"].to_numpy(float), neg
+    lift = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
+    best = np.argsort(-np.where(lift > np.log(2), a * lift, 0), kind="stable")[:KEPT]
+    best = np.sort(best[lift[best] > np.log(2)])
+    number = np.full(len(codes), -1)
+    number[best] = np.arange(len(best))
+    cells = has.select("row", "size", F.explode(F.arrays_zip("has", "times")).alias("c")).select("row", "size", "c.has", "c.times")
+    keep = has.sparkSession.createDataFrame([(int(k),) for k in best], "has int")
+    cells = cells.join(F.broadcast(keep), "has").toPandas()  # rows of the sample, kept features
+    label = has.select("row", "toxic").toPandas()
+    place = {r: k for k, r in enumerate(label["row"])}
+    y = label["toxic"].to_numpy(float)
+    row, col = cells["row"].map(place).to_numpy(np.int64), number[cells["has"].to_numpy(np.int64)]
+    return codes[best], fit(row, col, strength(cells["times"].to_numpy(float), cells["size"].to_numpy(float)), y, np.ones(len(y)), len(best))
+
+
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score of each row of ``docs``; learnt from the training rows' ``labels`` (doc_id, toxic)."""
+    letters = log_model(letter_counts(docs))
+    codes, w = train(docs, labels, letters)
 
     def score(batches):
-        b_ = np.array([*bound, base])
+        of = _Found(codes, letters)
         for b in batches:
-            best = np.array([max(base, b_[x].max()) if len(x) else base for x in (np.asarray(h or [], dtype=np.int64) for h in b.column(1).to_pylist())], dtype=float)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best)], names=["doc_id", "score"])
+            z = []
+            for t in strings(b.column(1)):
+                at, times, size = of.of(t)
+                z.append(w[-1] + float(w[at] @ strength(times, size)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -30, 30))))], names=["doc_id", "score"])
 
-    out = map_arrow(has, score, "doc_id long, score double")
+    out = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), score, "doc_id long, score double")
     return out.select("doc_id", (~is_train(F.col("doc_id"))).alias("held_out"), "score")
 
 
