@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm.decontamination import op10_decontamination
 from tidewater.llm.packing import op8_best_fit_packing
+from tidewater.llm.quality import op2_quality_rules
+from tidewater.llm.secrets import op6_secret_scans
 from tidewater.llm.simhash import op4_simhash_near_dedup
 from tidewater.llm.token_files import op7_token_files
+from tidewater.llm.toxicity import op9_toxicity
 
-QUERIES = [op4_simhash_near_dedup, op7_token_files, op8_best_fit_packing]
+QUERIES = [op2_quality_rules, op4_simhash_near_dedup, op6_secret_scans, op7_token_files, op8_best_fit_packing, op9_toxicity, op10_decontamination]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
