@@ -82,8 +82,13 @@ def shards(df: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
     return max(least, -(-2 * plan_bytes(df) // shard_bytes))
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
+    """mapInArrow, with batches cut into ``rows`` rows (0: as they come), so that few whole texts are Python objects at a time."""
+
+    def cut(batches):
+        return f(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)) if rows else f(batches)
+
+    return df.mapInArrow(cut, schema)
 
 
 def strings(col: pa.Array) -> list[str | None]:

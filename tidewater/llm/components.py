@@ -53,7 +53,7 @@ def forest(links: DataFrame, most: int = 1 << 20) -> DataFrame:
         if held:
             yield stars()
 
-    return map_arrow(links.select("a", "b"), shrink, "a long, b long")
+    return map_arrow(links.select("a", "b"), shrink, "a long, b long", 0)
 
 
 def components(links: DataFrame) -> DataFrame:

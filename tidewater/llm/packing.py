@@ -134,7 +134,7 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
             yield b.append_column("sequence_id", pa.array(where[k, 3] + rank - where[k, 1])).append_column("offset", pa.array(where[k, 4]))
 
     placed = items.join(before.select("length", "task", "base"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
-    return map_arrow(placed, assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(placed, assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", 0)
 
 
 def pack_documents(docs: DataFrame, vocab: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:

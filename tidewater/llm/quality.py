@@ -155,7 +155,7 @@ def _step(rows: DataFrame, now: DataFrame, nearest: DataFrame | float, scale: fl
             inv = np.linalg.inv(cov)
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("grp")), *(pa.array(got[c] + mean[:, k]) for k, c in enumerate(C)), *(pa.array(inv[:, i, j].copy()) for i, j in PAIRS)], names=["grp", *C, *V])
 
-    return map_arrow(sums, invert, "grp string, " + ", ".join(f"{c} double" for c in [*C, *V]))
+    return map_arrow(sums, invert, "grp string, " + ", ".join(f"{c} double" for c in [*C, *V]), 0)
 
 
 def estimates(rows: DataFrame) -> DataFrame:

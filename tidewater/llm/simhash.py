@@ -175,7 +175,7 @@ def _links_in_tiles(rows: DataFrame, n: int) -> DataFrame:
         yield from flush(True)
 
     rows = rows.repartition(n, "tile", "sub", "part").sortWithinPartitions("tile", "sub", "part")
-    return map_arrow(rows.select("tile", "sub", "part", "fp", "node"), links, "a long, b long")
+    return map_arrow(rows.select("tile", "sub", "part", "fp", "node"), links, "a long, b long", 0)
 
 
 def linked(reps: DataFrame, n: int, hot: int = HOT) -> DataFrame:

@@ -181,7 +181,7 @@ def runs(docs: DataFrame, n: int) -> DataFrame:
         if total:
             yield flush()
 
-    return map_arrow(docs.select("ord", "text"), make, ROWS)
+    return map_arrow(docs.select("ord", "text"), make, ROWS, 0)
 
 
 def by_shard(rows: DataFrame, n: int, work) -> DataFrame:
@@ -202,7 +202,7 @@ def by_shard(rows: DataFrame, n: int, work) -> DataFrame:
         if held:
             yield from work(held)
 
-    return map_arrow(rows.repartition(n, "kind", "shard").sortWithinPartitions("kind", "shard"), make, ROWS)
+    return map_arrow(rows.repartition(n, "kind", "shard").sortWithinPartitions("kind", "shard"), make, ROWS, 0)
 
 
 def settle(n: int, hot: int):
@@ -466,7 +466,7 @@ def substring_dedup(docs: DataFrame, n: int | None = None, hot: int = HOT, array
     docs = numbered(docs)
     settled = table(by_shard(runs(docs, n), n, settle(n, hot)), "settled")
     # bucket_of() as an SQL expression would repeat its arithmetic; the buckets are made where the ords are read
-    dealt = map_arrow(docs, _with_bucket(n), "ord long, doc_id long, text string, bucket int")
+    dealt = map_arrow(docs, _with_bucket(n), "ord long, doc_id long, text string, bucket int", 0)
     pieces = fetch(dealt.select("bucket", "ord", "text"), settled.where("kind = 2"), n)
     compared = by_shard(pieces, n, compare(n, array_bytes))
     covered = settled.where("kind = 1").unionByName(compared)

@@ -205,7 +205,7 @@ def read_files(files: DataFrame) -> DataFrame:
                     pa.array([y - x for x, y in zip(begins, ends, strict=True)], pa.int64()), pa.array([zlib.crc32(ids[x:y]) for x, y in zip(begins, ends, strict=True)], pa.int64()),
                 ], names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = map_arrow(files.select("part", "seq", "payload"), decode, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = map_arrow(files.select("part", "seq", "payload"), decode, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long", 0)
     return rows.join(starts(files), ["part", "seq"]).select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -66,13 +66,10 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         for b in batches:
-            total = np.zeros(LETTERS**4, dtype=np.int64)
-            for t in strings(b.column(0)):
-                if t:
-                    x = _fold()[np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
-                    x = x[np.r_[True, (x[1:] != 0) | (x[:-1] != 0)]]
-                    if len(x) > 3:
-                        total += np.bincount(((x[:-3] * LETTERS + x[1:-2]) * LETTERS + x[2:-1]) * LETTERS + x[3:], minlength=LETTERS**4)
+            text = " ".join(["", *(t for t in strings(b.column(0)) if t), ""])  # windows that touch two texts have an edge between them
+            x = _fold()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+            x = x[np.r_[True, (x[1:] != 0) | (x[:-1] != 0)]].astype(np.int32)
+            total = np.bincount(((x[:-3] * LETTERS + x[1:-2]) * LETTERS + x[2:-1]) * LETTERS + x[3:]) if len(x) > 3 else np.zeros(1, dtype=np.int64)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
@@ -207,10 +204,11 @@ def toxic_codes(texts: DataFrame, letters: np.ndarray) -> DataFrame:
     def count(batches):
         restorer = Restorer(letters)
         for b in batches:
-            codes: list[int] = []
+            codes = [np.empty(0, dtype=np.uint64)]
             for t in strings(b.column(0)):
-                codes += {xxhash.xxh64_intdigest(f) for c in chunks(t) for w in chunk_words(c, restorer) for f in features(w)}
-            at, n = np.unique(np.array(codes, dtype=np.uint64), return_counts=True)
+                words = {w for c in set(chunks(t)) for w in chunk_words(c, restorer)}
+                codes.append(np.unique(np.array([xxhash.xxh64_intdigest(f) for w in words for f in features(w)], dtype=np.uint64)))
+            at, n = np.unique(np.concatenate(codes), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
 
     return map_arrow(texts, count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
@@ -223,9 +221,9 @@ def found(rows: DataFrame, codes: np.ndarray, letters: np.ndarray) -> DataFrame:
         of = _Found(codes, letters)
         for b in batches:
             got = [of.of(t) for t in strings(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[2] for x in got], pa.int64()), pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.list_(pa.int64()))], names=["toxic", "size", "has", "times"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[2] for x in got], pa.int64()), pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1].astype(np.int32) for x in got], pa.list_(pa.int32()))], names=["toxic", "size", "has", "times"])
 
-    return map_arrow(rows.select(F.col("toxic").cast("int"), "text"), find, "toxic int, size long, has array<int>, times array<long>")
+    return map_arrow(rows.select(F.col("toxic").cast("int"), "text"), find, "toxic int, size long, has array<int>, times array<int>")
 
 
 def strength(times: np.ndarray, size: np.ndarray | int) -> np.ndarray:
