@@ -21,9 +21,9 @@ def pair_progress(df: DataFrame, keys: list[str], time: str, value: str) -> Data
     return x.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("_d", "delta"), ("_up", "increases"), ("_r", "resets"))])
 
 
-def rates(df: DataFrame, keys: list[str], time: str, value: str, per: int = 1000) -> DataFrame:
-    """Growth by ``per`` units of time between neighbouring samples; steps that take no time are left out."""
-    w = Window.partitionBy(*keys).orderBy(time)
+def rates(df: DataFrame, keys: list[str], time: str, value: str, per: int = 1000, order: str | None = None) -> DataFrame:
+    """Growth by ``per`` units of time between neighbouring samples (by ``order``); steps that take no time are left out."""
+    w = Window.partitionBy(*keys).orderBy(order or time)
     dt, dv = F.col(time) - F.lag(time).over(w), F.col(value) - F.lag(value).over(w)
     return df.withColumn("_dt", dt).withColumn("rate", dv * per / F.nullif(F.col("_dt"), F.lit(0))).where("_dt > 0").drop("_dt")
 
