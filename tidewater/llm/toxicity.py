@@ -181,7 +181,7 @@ def chunks(text: str | None) -> Iterator[str]:
 class _Found(dict):
     """Chunk -> numbers of the kept features it has (one for each word that has it)."""
 
-    def __init__(self, codes: np.ndarray, letters: np.ndarray, most: int = 400_000):
+    def __init__(self, codes: np.ndarray, letters: np.ndarray, most: int = 150_000):
         self.number = {c: k for k, c in enumerate(codes.view(np.uint64).tolist())}
         self.restorer, self.most = Restorer(letters), most
 
@@ -250,7 +250,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = {r["toxic"]: r["n"] for r in taught.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     part = {k: min(1.0, SAMPLE / n[k]) for k in n}
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, part.get(1, 0) * 1e6).otherwise(part.get(0, 0) * 1e6)
-    rows = docs.select("doc_id", "text").join(taught.where(drawn), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(taught.where(drawn)), "doc_id")  # about 2 * SAMPLE ids at most
     return table(rows.groupBy(F.xxhash64("text", F.length("text"))).agg(F.max("toxic").alias("toxic"), F.min_by("text", "doc_id").alias("text")).select("toxic", "text"), "toxic-sample")
 
 
