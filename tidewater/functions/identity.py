@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def big_endian(x: Column) -> Column:
@@ -53,7 +54,7 @@ def set_hash(values: Column) -> Column:
     return F.sha2(F.array_join(F.transform(F.array_sort(F.array_distinct(values)), lambda x: x.cast("string")), ","), 256)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fnv1a_mod_million(s: pd.Series) -> pd.Series:
     """FNV-1a (64 bits, as a signed number) of a string's UTF-8, floor-modulo 10^6: built-ins have no wrapping multiplication."""
 
