@@ -1,0 +1,472 @@
+"""The training-data operators against brute force on small tables, and their edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+from types import SimpleNamespace
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidewater.llm import components, decontamination, html_text, language, packing, quality, secrets, simhash, substring_dedup, token_files, toxicity
+from tidewater.llm.common import vocabulary
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+VOCAB = vocabulary()
+NASTY = ["", " \n\t ", "a", "é", "one two", "<|endoftext|> x", "İstanbul ΑΣ ẞ \x1c\x1d", "x" * 3000, "😀 " * 40, "\x00\x01 nul", "A\x85B C"]
+
+
+def words(r, n, v=400):
+    return " ".join(f"w{r.randrange(v)}" + ("." if r.random() < 0.1 else "") for _ in range(n))
+
+
+def corpus(seed=0, n=60):
+    r = random.Random(seed)
+    texts = [words(r, r.randrange(5, 120)) for _ in range(n)]
+    texts += [texts[k] for k in range(5)] + [texts[k].replace(" ", "  ", 1) for k in range(5, 8)] + NASTY
+    shared = words(r, 60)
+    texts += [words(r, 30) + "\n" + shared + "\n" + words(r, 20) for _ in range(6)]
+    return [(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(texts)]
+
+
+def table(spark, rows):
+    """With columns whose names the operators use inside."""
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("row", "fp", "node", "label", "grp", "ord", "bucket", "found", "length", "task", "rank", "tile"):
+        df = df.withColumn(c, F.lit("extra"))
+    return df
+
+
+def odd(spark):
+    """Nulls in every column, a repeated row, a repeated doc_id."""
+    return table(spark, [*corpus(1, 20), (None, None, None, None, None), (None, "some text here", "en", None, 1), (3, None, None, "s1", None), (0, "other text", None, None, None), (0, "other text", None, None, None)])
+
+
+def empty(spark):
+    return table(spark, [])
+
+
+@pytest.fixture(scope="module")
+def encode():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCAB)
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+# -- 1 html -----------------------------------------------------------------------------------------
+
+PAGE = """<!doctype html><html><head><title>x</title><script>var a="</p><p>no";</script></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=1>Home</a></nav>
+<div id="cookie-notice">We use cookies.</div><main><div class="story"><h2>Head &amp; line</h2><p>First para, with <a href=x>link</a>ed text. It is long enough, yes.<p>Second para &nbsp; here, and more words, quite a few.<br>Line two.
+<ul><li>One item, good.<li>Two item, fine.</ul></div><div class="comments"><p>I disagree, strongly, with this.</p></div><aside><p>Related things, and so on.</p></aside></main><form><label>Name</label></form><footer>(c) 2020, all rights.</footer></body></html>"""
+STORY = "Head & line First para, with linked text. It is long enough, yes. Second para here, and more words, quite a few. Line two. One item, good. Two item, fine."
+
+
+@pytest.mark.parametrize("page", [PAGE, PAGE.replace("main>", "div>"), PAGE.replace("main>", "article>")])
+def test_html_templates(page):
+    assert html_text.main_text(page) == STORY
+
+
+def test_html_short_article_and_oddities(spark):
+    assert html_text.main_text("<body><nav>" + "<a href=x>a long menu, with marks.</a>" * 9 + "</nav><div class='ad'>An advert that is longer than the article, by far.</div><article><p>Hi.</article></body>") == "Hi."
+    assert html_text.main_text("plain, text") == "plain, text" and html_text.main_text("a < b & c") == "a < b & c" and html_text.main_text("<p>a<b>b</b>c</p>d") == "abc d"
+    for bad in ("<", "<p", '<p class="x', "<!--", "<script>x", "</p></p>", "<a href='", "&#xD800;&bogus;"):
+        html_text.main_text(bad)
+    rows = [(1, None, None), (None, "u", ""), (2, "u", PAGE), (2, "u", PAGE)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
+    assert sorted((r.text, r.n_chars) for r in got) == [("", 0), ("", 0), (STORY, len(STORY)), (STORY, len(STORY))]
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# -- 2 quality --------------------------------------------------------------------------------------
+
+
+def base_counts(t):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = Counter(tuple(ws[k : k + 5]) for k in range(len(ws) - 4))
+    hit = {j for k in range(len(ws) - 4) if grams[tuple(ws[k : k + 5])] > 1 for j in range(k, k + 5)}
+    return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t or "")), sum(x in lines[:k] for k, x in enumerate(lines)), len(hit)
+
+
+def test_quality_counts(spark):
+    rows = corpus(2) + [(900, "a b c d e f\n" * 3 + "a b", "en", "s0", 1), (901, "x y\n\nx y\n \nx y #%&", "en", "s0", 1), (902, None, None, None, None)]
+    got = quality.quality(table(spark, rows)).collect()
+    want = {r[0]: base_counts(r[1]) for r in rows}
+    for r in got:
+        w = want[r.doc_id]
+        assert tuple(r[c] for c in quality.COUNTS) == w
+        assert r.base_failed == (w[0] < 10 or 100 * w[4] > 20 * w[0]) and not (r.base_failed and r.kept)
+
+
+def test_quality_rejects_outliers_and_keeps_the_rest(spark):
+    r = random.Random(0)
+    rows = [(k, words(r, r.randrange(20, 200)), ["en", "de"][k % 2], "s0", 1) for k in range(600)]
+    junk = [(1000 + k, " ".join(w + "%%%" for w in words(r, 80).split()), "en", "s0", 1) for k in range(20)] + [(2000 + k, words(r, 60).upper().replace(" ", "!! "), "de", "s1", 1) for k in range(20)]
+    got = quality.quality(table(spark, rows + junk)).collect()
+    assert all(x.kept for x in got if x.doc_id < 1000) and not any(x.kept for x in got if x.doc_id >= 1000)
+
+
+def test_quality_estimate_is_near_the_plain_one(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 5)) * [0.3, 0.2, 0.2, 0.3, 0.5] + [1, 2, 3, 4, 5]
+    x[:600] += 8
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"{c} double" for c in quality.X))
+    e = quality.estimates(df).first()
+    assert np.allclose([e[c] for c in quality.C], [1, 2, 3, 4, 5], atol=0.06)
+    clean = x[600:]
+    cov = np.cov(clean.T) + np.diag(np.square(quality.FLOOR))
+    inv = np.zeros((5, 5))
+    for (i, j), v in zip(quality.PAIRS, quality.V, strict=True):
+        inv[i, j] = inv[j, i] = e[v]
+    d = lambda m, c: np.einsum("ij,jk,ik->i", clean - c, m, clean - c)
+    assert np.corrcoef(d(inv, [e[c] for c in quality.C]), d(np.linalg.inv(cov), clean.mean(axis=0)))[0, 1] > 0.98
+
+
+# -- 3 language -------------------------------------------------------------------------------------
+
+
+def test_cross_parsing_is_greedy_longest_match():
+    rng = np.random.default_rng(1)
+    m = language.Languages({})
+    m.pad, m.bits, m.names = 4, [1.0], ["x"]
+    for _ in range(60):
+        s, x = rng.integers(0, 3, 40).tolist(), rng.integers(0, 4, 60).tolist()
+        i = n = 0
+        while i < len(x):
+            k = 1
+            while i + k <= len(x) and bytes(x[i : i + k]) in bytes(s):
+                k += 1
+            i, n = i + max(1, k - 1), n + 1
+        m.tables = [language.table_of(s, 4)]
+        assert m.phrases([np.array(x, dtype=np.uint8)])[0, 0] == n
+
+
+def test_language_prediction(spark):
+    r = random.Random(3)
+    make = lambda syllables: " ".join("".join(r.choice(syllables) for _ in range(r.randrange(1, 4))) for _ in range(60))
+    kinds = {"aa": ["ka", "ro", "mi"], "bb": ["sch", "ung", "ber"], "cc": ["éa", "oux", "tio"]}
+    rows = [(k, make(kinds[n]), n, "s", 1) for k, n in enumerate(["aa", "bb", "cc"] * 80)]
+    rows += [(1000, None, "aa", "s", 1), (1001, "12 34 !?", "aa", "s", 1), (1002, rows[0][1], None, None, None), (None, rows[1][1], "bb", "s", 1)]
+    df = table(spark, rows)
+    got = {x.doc_id: x for x in language.identify(df, language.learn(df.where(~language.is_held_out(F.col("doc_id"))))).collect()}
+    assert all(got[k].lang_pred == rows[k][2] for k in range(240)) and {got[1000].lang_pred, got[1001].lang_pred} == {"und"} and got[1002].lang_pred == "aa"
+    assert all(0 <= x.score <= 1 for x in got.values())
+    assert {x.lang_pred for x in language.identify(df, language.learn(df.where("false"))).collect()} == {"und"}
+
+
+# -- 4 simhash --------------------------------------------------------------------------------------
+
+
+def plain_fingerprint(t):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    shingles = [" ".join(ws[k : k + 3]) for k in range(len(ws) - 2)] or ([" ".join(ws)] if ws else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def closure(ids, pairs):
+    label = {i: i for i in ids}
+    while True:
+        was = dict(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if was == label:
+            return label
+
+
+def test_simhash(spark):
+    rows = corpus(4)
+    rows += [(500 + k, r[1].rsplit(" ", 1)[0] + " zz", "en", "s", 1) for k, r in enumerate(rows[:20])] + [(700, None, None, None, None)]
+    got = {r.doc_id: r for r in simhash.near_duplicates(table(spark, rows)).collect()}
+    fps = {r[0]: plain_fingerprint(r[1]) for r in rows}
+    assert {k: r.fp % (1 << 64) for k, r in got.items()} == fps
+    pairs = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+    assert {k: r.component_id for k, r in got.items()} == closure(fps, pairs)
+
+
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_simhash_tiles_lose_no_link(spark, hot):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b)) ^ (np.uint64(1) << np.uint64(c)) for a, b, c in rng.integers(0, 64, (12, 3)).tolist()]))
+    df = spark.createDataFrame([(int(np.int64(x.view(np.int64))), k) for k, x in enumerate(fps)], "fp long, node long")
+    got = {r.node: r.label for r in components.components(simhash.linked(df, 4, hot)).collect()}
+    pairs = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 3, 1)).tolist()
+    want = closure(range(len(fps)), pairs)
+    assert {k: got.get(k, k) for k in range(len(fps))} == want
+
+
+def test_components_of_a_long_chain(spark):
+    df = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long").repartition(7)
+    got = components.components(df).collect()
+    assert len(got) == 301 and {r.label for r in got} == {0}
+
+
+def test_simhash_odd_rows(spark):
+    df = odd(spark)
+    assert simhash.near_duplicates(df).count() == df.count()
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns and kept.where("doc_id is not null").select("doc_id").distinct().count() == kept.where("doc_id is not null").count()
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+# -- 5 substrings -----------------------------------------------------------------------------------
+
+
+def plain_removal(rows):
+    seen, out = set(), []
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), dtype=bool)
+        for k in range(len(b) - 99):
+            s = b[k : k + 100]
+            if s in seen:
+                gone[k : k + 100] = True
+            seen.add(s)
+        out.append((d, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_suffix_order_and_prefixes():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 7, 300, 1500):
+        x = rng.integers(97, 99, n).astype(np.uint8)
+        x[n // 2 :] = x[: n - n // 2]
+        b, order = x.tobytes(), substring_dedup.suffix_order(x)
+        assert order.tolist() == sorted(range(n), key=lambda i: b[i:])
+        got = substring_dedup.common_prefixes(x, order)
+        for k in range(1, n):
+            i, j, m = order[k], order[k - 1], 0
+            while m < 100 and max(i, j) + m < n and b[i + m] == b[j + m]:
+                m += 1
+            assert got[k] == m
+
+
+@pytest.mark.parametrize("how", [{}, {"hot": 1}, {"array_bytes": 700}, {"hot": 1, "array_bytes": 300, "n": 3}])
+def test_substring_removal(spark, how):
+    r = random.Random(6)
+    rows = corpus(6, 30) + [(900, "ab" * 400, "", "", 1), (901, words(r, 40) + words(r, 40), "", "", 1), (902, "é" * 120 + "x" + "é" * 120, "", "", 1)]
+    got = substring_dedup.substring_dedup(table(spark, rows), **how).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got), key=str) == plain_removal([r[:2] for r in rows])
+
+
+def test_substring_removal_odd_rows(spark):
+    df = odd(spark)
+    got = substring_dedup.substring_dedup(df).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got), key=str) == plain_removal([(r.doc_id, r.text) for r in df.collect()])
+    assert substring_dedup.substring_dedup(empty(spark)).count() == 0
+
+
+# -- 6 secrets --------------------------------------------------------------------------------------
+
+PLAIN = [
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+]
+
+
+def test_secret_spans():
+    r = random.Random(7)
+    parts = ["password=", "PassWd : '", 'token"="', "api_key:", "apikey = ", "secret", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef", "abc", "token=token:", " ", "\n", "xYz9", "ſecret=abcdefg", "é", '"']
+    for _ in range(400):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(1, 14)))
+        want = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(PLAIN) for m in p.finditer(t) if ok(m))
+        assert [x[:3] for x in secrets.base_spans(t)] == want, t
+
+
+def test_secret_ownership(spark):
+    mixed, shared = "aB3dE5gH7jK9mN1pQ2rS", "zY8xW6vU4tS2rQ1pO9nM"
+    rows = [(k, f"key {shared} here", "en", f"s{k}", 1) for k in range(4)] + [(9, f"mine {mixed}, password=hunter22", "en", "s1", 1), (10, None, None, None, None)]
+    got = {r.doc_id: r.found for r in secrets.secrets(table(spark, rows)).collect()}
+    assert [(x.kind, x.owners) for x in got[9]] == [(3, 1), (0, 1)] and [(x.kind, x.owners) for x in got[0]] == [(3, 4)] and got[10] is None
+    red = {r.doc_id: r for r in secrets.redact(table(spark, rows)).collect()}
+    assert red[9].text == "mine [SECRET], password=[SECRET]" and red[9].n_chars == len(red[9].text) and red[0].text == rows[0][1] and len(red) == len(rows)
+    df = odd(spark)
+    assert secrets.redact(df).count() == df.count() and secrets.secrets(empty(spark)).count() == 0
+
+
+# -- 7, 8 tokens ------------------------------------------------------------------------------------
+
+
+def test_token_files(spark, encode):
+    rows = corpus(8) + [(500, None, None, None, None)] + [(600 + k, "same text again and again " * 20, "", "", 1) for k in range(40)]
+    got = {r.doc_id: r for r in token_files.read_files(token_files.write_files(table(spark, rows), VOCAB, shard_ids=500)).collect()}
+    at = 0
+    for d, t in sorted(r[:2] for r in rows):
+        ids = encode(t) + [2]
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (at, len(ids), crc(ids)), d
+        at += len(ids)
+    df = odd(spark)
+    assert token_files.read_files(token_files.write_files(df, VOCAB)).count() == df.count()
+    assert token_files.read_files(token_files.write_files(empty(spark), VOCAB)).count() == 0
+
+
+def test_shard_random_access():
+    rng = np.random.default_rng(0)
+    for docs in ([np.array([5, 6, 7], np.uint32)] * 500, [rng.integers(0, 9, rng.integers(0, 40)).astype(np.uint32) for _ in range(800)], [], [np.empty(0, np.uint32)] * 50, [np.full(9000, 2, np.uint32)] * 3):
+        s = token_files.Shard.open(token_files.write_shard(list(range(len(docs))), docs, 2, 9))
+        assert len(s.sym_ends) == len(docs) and all(np.array_equal(s.document(k), np.append(d, 2)) for k, d in enumerate(docs))
+
+
+def check_packing(got, rows, encode):
+    want = Counter()
+    for d, t in (r[:2] for r in rows):
+        ids = encode(t) + [0]
+        want.update((d, k, a, len(ids[a : a + 2048]), crc(ids[a : a + 2048])) for k, a in enumerate(range(0, len(ids), 2048)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in by.values():
+        at = 0
+        for o, n in sorted(x):
+            assert o == at
+            at += n
+        assert at <= 2048
+    return len(by)
+
+
+def test_packing(spark, encode):
+    r = random.Random(9)
+    rows = corpus(9) + [(500 + k, words(r, r.randrange(100, 3000)), "", "", 1) for k in range(40)] + [(900, None, None, None, None)]
+    got = packing.pack_documents(table(spark, rows)).collect()
+    n = check_packing(got, rows, encode)
+    assert n <= sum(r.length for r in got) / 2048 * 1.1 + 1
+    df = odd(spark)
+    check_packing(packing.pack_documents(df).collect(), [(x.doc_id, x.text) for x in df.collect()], encode)
+    assert packing.pack_documents(empty(spark)).count() == 0
+
+
+def test_packing_plans():
+    r = random.Random(10)
+    for _ in range(60):
+        counts = {r.randrange(1, 101): r.randrange(1, 30) for _ in range(r.randrange(1, 40))}
+        where, bins = packing.plan(counts, 100)
+        fill, used = Counter(), Counter()
+        for x, rank, n, first, offset in sorted(where.tolist(), key=lambda p: p[4]):
+            used[x] += n
+            for b in range(first, first + n):
+                assert fill[b] == offset
+                fill[b] += x
+        assert used == counts and max(fill.values()) <= 100 and len(fill) == bins
+        assert bins <= -(-sum(x * n for x, n in counts.items()) // 100) * 1.25 + 1 or any(x > 50 for x in counts)
+
+
+# -- 9 toxicity -------------------------------------------------------------------------------------
+
+
+def test_restoring():
+    r = random.Random(11)
+    text = " ".join(r.choice(["idiot", "loser", "moron", "stupid", "the", "and", "pathetic", "some"]) for _ in range(4000))
+    grams = np.zeros(28**3)
+    x = toxicity._fold()[np.frombuffer(f" {text} ".encode("utf-32-le"), dtype=np.uint32)].astype(int)
+    np.add.at(grams, (x[:-2] * 28 + x[1:-1]) * 28 + x[2:], 1)
+    fix = toxicity.Restorer(toxicity.log_model(grams)).restore
+    for bad, good in {"1d10t": "idiot", "l0s3r": "loser", "i.d.i.o.t": "idiot", "stuuuupid": "stupid", "m 0 r 0 n": "moron", "$tup1d": "stupid", "p4th3t1c": "pathetic"}.items():
+        assert fix(bad) == good
+    assert toxicity.spelt_out("you i d i o t there") == ["i d i o t"] and not toxicity.disguised("idiot,") and toxicity.disguised("1d10t") and toxicity.disguised("i-d-i-o-t")
+
+
+def test_toxicity_scores(spark):
+    r = random.Random(12)
+    bad = ["blorgu", "vexnat", "krazzel"]
+    rows = []
+    for k in range(900):
+        t = words(r, 60).split()
+        if k % 5 == 0:
+            for _ in range(3):
+                t[r.randrange(60)] = r.choice(bad)
+        rows.append((k, " ".join(t), "en", "s", 1))
+    rows += [(2000, None, None, None, None), (2001, "bl0rgu v.e.x.n.a.t here kraaazzel", "en", "s", 1)]
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(900)] + [(None, 1), (5, None), (77777, 1)], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.scores(table(spark, rows), labels).collect()}
+    held = [k for k in range(900) if got[k].held_out]
+    assert sum((got[k].score >= 0.7) == (k % 5 == 0) for k in held) >= 0.97 * len(held) and got[2000].score < 0.3
+    assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1) for k in range(900))
+    kept = toxicity.reject_toxic(table(spark, rows), labels)
+    assert kept.columns == table(spark, rows).columns and {x.doc_id for x in kept.collect()} == {k for k, x in got.items() if x.score < 0.7}
+
+
+def test_toxicity_odd_rows(spark):
+    df = odd(spark)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {round(x.score, 6) for x in toxicity.scores(df, none).collect()} == {0.0}
+    assert toxicity.scores(empty(spark), none).count() == 0 and toxicity.reject_toxic(df, none).count() == df.count()
+
+
+# -- 10 decontamination -----------------------------------------------------------------------------
+
+
+def plain_align(item, text):
+    h = [[0] * (len(text) + 1) for _ in range(len(item) + 1)]
+    best = 0
+    for i in range(1, len(item) + 1):
+        for j in range(1, len(text) + 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (2 if item[i - 1] == text[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+            best = max(best, h[i][j])
+    return best / (2 * len(item))
+
+
+def test_alignment():
+    rng = np.random.default_rng(13)
+    for _ in range(80):
+        a, b = rng.integers(0, 5, rng.integers(1, 15)), rng.integers(0, 5, rng.integers(0, 25))
+        s, x, y = decontamination.align(a, b)
+        assert s == plain_align(a.tolist(), b.tolist())
+        if s:
+            assert plain_align(a.tolist(), b[x:y].tolist()) == s
+
+
+def test_leaks(spark):
+    r = random.Random(14)
+    items = [(k, words(r, 30, 5000)) for k in range(8)] + [(20, "three short words"), (21, None), (22, "")]
+    clean = [(k, words(r, 80, 5000), "en", "s", 1) for k in range(100)]
+    edited = items[1][1].split()
+    edited[7], edited[19] = "other", "more words"
+    rows = clean + [(200, words(r, 30) + " " + items[0][1].upper() + " " + words(r, 30), "", "", 1), (201, words(r, 9) + "\n" + " ".join(edited), "", "", 1), (202, "x Three, SHORT words y", "", "", 1), (203, None, None, None, None)]
+    rows += [(300 + k, f"{words(r, 5)} {items[2][1]}", "", "", 1) for k in range(60)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontamination.leaks(table(spark, rows), b).collect()}
+    assert set(got) == {(200, 0), (201, 1), (202, 20)} | {(300 + k, 2) for k in range(60)} and got[200, 0] == 1.0 and 0.8 <= got[201, 1] < 1
+    assert {x.doc_id for x in decontamination.without_leaks(table(spark, rows), b).collect()} == {r[0] for r in clean} | {203}
+    assert decontamination.leaks(table(spark, rows), b.where("false")).count() == 0 and decontamination.leaks(empty(spark), b).count() == 0
+
+
+# -- pipeline ---------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark, tmp_path, encode):
+    import corpus_pipeline
+
+    r = random.Random(15)
+    item = words(r, 30, 5000)
+    rows = [(k, words(r, 60) + (" blorgu blorgu vexnat" if k % 5 == 0 else ""), "en", f"s{k % 4}", 1) for k in range(300)]
+    rows += [(1000, rows[1][1], "en", "s1", 1), (1001, words(r, 9) + " " + item, "en", "s1", 1), (1002, words(r, 40) + " password=hunter22xyz", "en", "s2", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(300)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "best_fit_packing"]
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = {x.doc_id: x.text for x in docs.collect()}
+    clean = {r[0] for r in rows if r[0] >= 300 or r[0] % 5}
+    assert set(kept["toxicity"]) == clean
+    assert set(kept["simhash_near_dedup"]) == clean - {1000}
+    assert set(kept["benchmark_decontamination"]) == clean - {1000, 1001} == set(kept["secret_scans"])
+    assert kept["secret_scans"][1002].endswith("password=[SECRET]")
+    last = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    check_packing(last, [(k, t) for k, t in kept["secret_scans"].items()], encode)
+    assert SimpleNamespace(n=len(last)).n >= len(kept["secret_scans"])

@@ -1,8 +1,8 @@
 """Quality rules: base counts of each text, then robust multivariate outliers by language and source.
 
 Each document's transformed statistics (``FEATURES``) are held against its group's minimum covariance
-determinant estimate. Groups are (lang, source) pairs; pairs of fewer than ``MIN_GROUP`` fitted rows are
-pooled by language, and languages of fewer in one pool. The estimate starts from medians and quartile ranges
+determinant estimate. Groups are (lang, source) pairs; pairs of fewer than ``MIN_GROUP`` fitted rows are held
+against all rows of their language, and those of languages with fewer against all rows. The estimate starts from medians and quartile ranges
 and takes ``C_STEPS`` concentration steps (the three quarters nearest to the centre give the next centre and
 covariance), is made consistent for the normal distribution, and is reweighted once. Quantiles come from
 counted bins and moments from partial sums, so a group of any size is only ever added up, never gathered.
@@ -187,11 +187,16 @@ def quality(docs: DataFrame) -> DataFrame:
     lang, source = F.coalesce("lang", none), F.coalesce("source", none)
     rows = table(statistics(docs), "statistics")
     fitted = rows.where("not base_failed").groupBy(lang.alias("l"), source.alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    langs = fitted.where(f"n < {MIN_GROUP}").groupBy("l").agg(F.sum("n").alias("pool"))
-    groups = fitted.join(langs, "l", "left").select("l", "s", F.when(F.col("n") >= MIN_GROUP, F.concat_ws("\x01", "l", "s")).when(F.col("pool") >= MIN_GROUP, F.col("l")).otherwise(F.lit("\x02")).alias("grp"))
+    langs = fitted.groupBy("l").agg(F.sum("n").alias("pool"), F.min("n").alias("least"))
+    some = F.lit("\x02")
+    whole = langs.agg(F.coalesce(F.bool_or(F.col("pool") < MIN_GROUP), F.lit(False)).alias("rare"))  # one row
+    pair = F.concat_ws("\x01", "l", "s")
+    own = F.when(F.col("n") >= MIN_GROUP, pair).when(F.col("pool") >= MIN_GROUP, F.col("l")).otherwise(some)
+    fit = F.filter(F.array(F.when(F.col("n") >= MIN_GROUP, pair), F.when((F.col("pool") >= MIN_GROUP) & (F.col("least") < MIN_GROUP), F.col("l")), F.when(F.col("rare"), some)), lambda g: g.isNotNull())
+    groups = fitted.join(langs, "l").crossJoin(F.broadcast(whole)).select("l", "s", own.alias("grp"), fit.alias("fit"))
     groups = table(groups, "groups")
     named = rows.withColumns({"l": lang, "s": source}).join(groups, ["l", "s"], "left").drop("l", "s")
-    good = table(named.where("not base_failed").select("grp", *X), "fitted")
+    good = table(named.where("not base_failed").select(F.explode("fit").alias("grp"), *X), "fitted")
     final = estimates(good)
     drop(good)
     d2 = named.join(final, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))

@@ -132,7 +132,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         for b in batches:
             at = b.schema.get_field_index("text")
             texts = []
-            for t, spans in zip(strings(b.column(at)), b.column(b.schema.get_field_index("_live")).to_pylist(), strict=True):
+            for t, spans in zip(strings(b.column(at)), b.column(b.schema.get_field_index("_tidewater_live")).to_pylist(), strict=True):
                 last = None
                 for x in sorted(spans or [], key=lambda x: -x["from"]):
                     upto = x["upto"] if last is None else min(x["upto"], last)
@@ -140,10 +140,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                         t = t[: x["from"]] + mark + t[upto:]
                         last = x["from"]
                 texts.append(t)
-            yield b.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["_live"])
+            yield b.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["_tidewater_live"])
 
-    joined = docs.join(live.withColumnRenamed("live", "_live"), "doc_id", "left").select(*docs.columns, "_live")
-    changed = map_arrow(joined.where("_live is not null"), cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    joined = docs.join(live.withColumnRenamed("live", "_tidewater_live"), "doc_id", "left").select(*docs.columns, "_tidewater_live")
+    changed = map_arrow(joined.where("_tidewater_live is not null"), cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.unionByName(joined.where("_live is null").drop("_live"))
+    return changed.unionByName(joined.where("_tidewater_live is null").drop("_tidewater_live"))
