@@ -76,10 +76,15 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def shards(df: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
-    """A number of partitions that grows with the input: at least the session's, and one for each ``shard_bytes`` of text (files are taken to be compressed to half)."""
+def shards(df: DataFrame, shard_bytes: int = SHARD_BYTES, text: str = "text") -> int:
+    """A number of partitions that grows with the input: at least the session's, and one for each ``shard_bytes`` of text.
+
+    Sizes come from the optimizer (files are taken to be compressed to half); where it knows none, the texts are measured."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-2 * plan_bytes(df) // shard_bytes))
+    size = 2 * plan_bytes(df)
+    if size >= 1 << 52:
+        size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(least, -(-size // shard_bytes))
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
