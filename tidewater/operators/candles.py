@@ -26,14 +26,23 @@ def fan_out(df: DataFrame, frames=tf.TIMEFRAMES) -> DataFrame:
     return df.withColumn("_f", each).select("*", "_f.*").drop("_f").withColumn("window_start", tf.bucket_start(F.col("event_time"), F.col("tf_ms"), F.col("from_open")))
 
 
-def gap_parts(df: DataFrame, gap_ms: int = 30_000) -> DataFrame:
-    """Adds ``part`` and ``last_part``: a gap of more than ``gap_ms`` inside one session and one bar begins the bar anew."""
+def _broke(gap_ms: int) -> Column:
+    """Whether a gap of more than ``gap_ms`` inside one session and one bar lies before a fanned-out row."""
     prior, t = F.col("prior"), F.col("event_time")
     same_bar = tf.bucket_start(prior, F.col("tf_ms"), F.col("from_open")) == F.col("window_start")
-    broke = F.coalesce((t - prior > gap_ms) & (tf.day_start(prior) == tf.day_start(t)) & same_bar, F.lit(False)).cast("long")
-    bar = Window.partitionBy("token", "tf", "window_start")
-    x = df.withColumn("part", F.sum(broke).over(bar.orderBy("event_time").rowsBetween(Window.unboundedPreceding, 0)))
-    return x.withColumn("last_part", F.max("part").over(bar))
+    return F.coalesce((t - prior > gap_ms) & (tf.day_start(prior) == tf.day_start(t)) & same_bar, F.lit(False))
+
+
+def gap_parts(df: DataFrame, gap_ms: int = 30_000) -> DataFrame:
+    """Adds ``part``: a gap inside a bar begins the bar anew."""
+    bar = Window.partitionBy("token", "tf", "window_start").orderBy("event_time").rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("part", F.sum(_broke(gap_ms).cast("long")).over(bar))
+
+
+def last_parts(df: DataFrame, gap_ms: int = 30_000) -> DataFrame:
+    """The rows of each bar from its last gap on: one maximum by bar, no order needed."""
+    since = F.max(F.when(_broke(gap_ms), F.col("event_time"))).over(Window.partitionBy("token", "tf", "window_start"))
+    return df.withColumn("_since", since).where(F.col("_since").isNull() | (F.col("event_time") >= F.col("_since"))).drop("_since")
 
 
 def bars(df: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
@@ -50,7 +59,7 @@ def candles(ticks: DataFrame, frames=tf.TIMEFRAMES, gap_ms: int = 30_000) -> Dat
 
     ``ticks``: token, event_time, seq (arrival), price_paise, volume_delta, tick_type. The gate and the lag share one
     partitioning by token, all that follows one by bar."""
-    parts = gap_parts(fan_out(accepted_trades(ticks), frames), gap_ms).where("part = last_part")
+    parts = last_parts(fan_out(accepted_trades(ticks), frames), gap_ms)
     out = bars(parts, ["token", "tf", "tf_ms", "window_start"])
     return out.withColumn("window_end", F.col("window_start") + F.col("tf_ms")).drop("tf_ms")
 
