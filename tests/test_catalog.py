@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidewater import catalog
@@ -22,9 +23,9 @@ def con():
 
 
 def plain(v):
-    if v is None or v != v:
+    if pd.isna(v):
         return None
-    return v if isinstance(v, (bool, str)) else float(v) if isinstance(v, float) else int(v) if hasattr(v, "__index__") else str(v)
+    return v if isinstance(v, (bool, str)) else str(pd.Timestamp(v)) if isinstance(v, (pd.Timestamp, int)) and not isinstance(v, int) else float(v) if isinstance(v, float) else int(v) if hasattr(v, "__index__") else str(v)
 
 
 def rows(df):

@@ -556,10 +556,10 @@ def metric_summary(s, d):
     return metrics.summary(read(s, d, "events"), ["event_type"], "value")
 
 
-@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(avg(value), 4) AS avg_value, max(value) AS max_value FROM events WHERE event_type LIKE '%i%' GROUP BY 1, 2")
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) // count(*) AS BIGINT) AS avg_paise, max(value) AS max_value FROM events WHERE event_type LIKE '%i%' GROUP BY 1, 2")
 def dashboard_histogram(s, d):
     x = read(s, d, "events").where(F.col("event_type").like("%i%"))
-    return x.groupBy(F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("avg_value"), F.max("value").alias("max_value"))
+    return x.groupBy(F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), book.div(F.sum(F.round(F.col("value") * 100).cast("long")), F.count(F.lit(1))).alias("avg_paise"), F.max("value").alias("max_value"))
 
 
 @query(f"WITH {TICKS_SQL} SELECT seq, token, price_paise FROM ticks ORDER BY price_paise DESC, seq DESC LIMIT 50")
