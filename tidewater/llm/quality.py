@@ -189,11 +189,11 @@ def quality(docs: DataFrame) -> DataFrame:
     fitted = rows.where("not base_failed").groupBy(lang.alias("l"), source.alias("s")).agg(F.count(F.lit(1)).alias("n"))
     langs = fitted.groupBy("l").agg(F.sum("n").alias("pool"), F.min("n").alias("least"))
     some = F.lit("\x02")
-    whole = langs.agg(F.coalesce(F.bool_or(F.col("pool") < MIN_GROUP), F.lit(False)).alias("rare"))  # one row
+    rare = bool(langs.agg(F.bool_or(F.col("pool") < MIN_GROUP)).first()[0])  # one value
     pair = F.concat_ws("\x01", "l", "s")
     own = F.when(F.col("n") >= MIN_GROUP, pair).when(F.col("pool") >= MIN_GROUP, F.col("l")).otherwise(some)
-    fit = F.filter(F.array(F.when(F.col("n") >= MIN_GROUP, pair), F.when((F.col("pool") >= MIN_GROUP) & (F.col("least") < MIN_GROUP), F.col("l")), F.when(F.col("rare"), some)), lambda g: g.isNotNull())
-    groups = fitted.join(langs, "l").crossJoin(F.broadcast(whole)).select("l", "s", own.alias("grp"), fit.alias("fit"))
+    fit = F.filter(F.array(F.when(F.col("n") >= MIN_GROUP, pair), F.when((F.col("pool") >= MIN_GROUP) & (F.col("least") < MIN_GROUP), F.col("l")), F.when(F.lit(rare), some)), lambda g: g.isNotNull())
+    groups = fitted.join(langs, "l").select("l", "s", own.alias("grp"), fit.alias("fit"))
     groups = table(groups, "groups")
     named = rows.withColumns({"l": lang, "s": source}).join(groups, ["l", "s"], "left").drop("l", "s")
     good = table(named.where("not base_failed").select(F.explode("fit").alias("grp"), *X), "fitted")
