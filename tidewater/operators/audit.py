@@ -41,8 +41,10 @@ def converges(log: DataFrame, keys: list[str], cut: int, offset: str = "offset",
     again = replay(replay(log.where(F.col(offset) < cut), keys, offset, version).unionByName(log.where(F.col(offset) >= cut)), keys, offset, version)
     rest = [c for c in log.columns if c not in keys]
     x = whole.select(*keys, F.struct(*rest).alias("_a")).join(again.select(*keys, F.struct(*rest).alias("_b")), keys, "full")
-    n = log.agg(F.coalesce(F.sum((F.col(offset) >= cut).cast("long")), F.lit(0)).alias("replayed"))
-    return x.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum((~F.col("_a").eqNullSafe(F.col("_b"))).cast("long")), F.lit(0)).alias("diverged")).crossJoin(n)  # one row each
+    zero = F.lit(0).cast("long")
+    same = x.agg(F.count(F.lit(1)).alias("keys"), F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("diverged"), zero.alias("replayed"))
+    n = log.agg(zero.alias("keys"), zero.alias("diverged"), F.count_if(F.col(offset) >= cut).alias("replayed"))
+    return same.unionByName(n).agg(*[F.sum(c).alias(c) for c in ("keys", "diverged", "replayed")])
 
 
 def deletion_decision(evidence: Column, authorizers: Column, authorized: Column, policy_met: Column, legal_hold: Column) -> Column:
@@ -51,8 +53,8 @@ def deletion_decision(evidence: Column, authorizers: Column, authorized: Column,
 
 def offload_plan(days: DataFrame) -> DataFrame:
     """Days (day, state) that may expire: those verified before the first that isn't."""
-    first = days.where("state <> 'VERIFIED'").agg(F.min("day").alias("_f"))
-    return days.crossJoin(first).withColumn("expires", (F.col("state") == "VERIFIED") & (F.col("_f").isNull() | (F.col("day") < F.col("_f")))).drop("_f")  # joined with one row
+    first = days.where("state <> 'VERIFIED'").agg(F.min("day")).first()[0]  # one value
+    return days.withColumn("expires", (F.col("state") == "VERIFIED") & (F.lit(True) if first is None else F.col("day") < first))
 
 
 def absent(samples: DataFrame, stages: list[str], stage: str = "stage") -> DataFrame:
