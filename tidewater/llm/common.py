@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of source text that one shard of a re-partitioned operator should hold.
 SHARD_BYTES = 16 << 20
+#: Bytes of text that a Python function takes in at a time (about; one text is never cut).
+PIECE_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,10 +90,16 @@ def shards(df: DataFrame, shard_bytes: int = SHARD_BYTES, text: str = "text") ->
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
-    """mapInArrow, with batches cut into ``rows`` rows (0: as they come), so that few whole texts are Python objects at a time."""
+    """mapInArrow, with batches cut into ``rows`` rows or about ``PIECE_BYTES`` (0: as they come), so that few whole texts are Python objects at a time."""
+
+    def pieces(batches):
+        for b in batches:
+            n = min(rows, max(1, PIECE_BYTES * b.num_rows // max(1, b.nbytes)))
+            for k in range(0, b.num_rows, n):
+                yield b.slice(k, n)
 
     def cut(batches):
-        return f(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)) if rows else f(batches)
+        return f(pieces(batches)) if rows else f(batches)
 
     return df.mapInArrow(cut, schema)
 
@@ -182,7 +190,7 @@ class WordEncoder:
     ``most`` bounds what is kept; words beyond it are encoded again each time.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
