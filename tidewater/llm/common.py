@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of source text that one shard of a re-partitioned operator should hold.
 SHARD_BYTES = 16 << 20
+#: Partitions that a shuffle has at most.
+MOST_PARTS = 20_000
 #: Bytes of text that a Python function takes in at a time (about; one text is never cut).
 PIECE_BYTES = 4 << 20
 
@@ -79,7 +81,7 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def shards(df: DataFrame, shard_bytes: int = SHARD_BYTES, text: str = "text") -> int:
-    """A number of partitions that grows with the input: at least the session's, and one for each ``shard_bytes`` of text.
+    """A number of shards that grows with the input: at least the session's, and one for each ``shard_bytes`` of text.
 
     Sizes come from the optimizer (files are taken to be compressed to half); where it knows none, the texts are measured."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -89,6 +91,11 @@ def shards(df: DataFrame, shard_bytes: int = SHARD_BYTES, text: str = "text") ->
     return max(least, -(-size // shard_bytes))
 
 
+def parts(n: int) -> int:
+    """Partitions for ``n`` shards: Spark's driver bears only so many, beyond which a task takes several shards, one after another."""
+    return min(n, MOST_PARTS)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
     """mapInArrow, with batches cut into ``rows`` rows or about ``PIECE_BYTES`` (0: as they come), so that few whole texts are Python objects at a time."""
 

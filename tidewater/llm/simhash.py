@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import map_arrow, read, shards, strings, table
+from tidewater.llm.common import map_arrow, parts, read, shards, strings, table
 from tidewater.llm.components import components, roots
 
 RADIUS = 3
@@ -174,7 +174,7 @@ def _links_in_tiles(rows: DataFrame, n: int) -> DataFrame:
                 count = 0
         yield from flush(True)
 
-    rows = rows.repartition(n, "tile", "sub", "part").sortWithinPartitions("tile", "sub", "part")
+    rows = rows.repartition(parts(n), "tile", "sub", "part").sortWithinPartitions("tile", "sub", "part")
     return map_arrow(rows.select("tile", "sub", "part", "fp", "node"), links, "a long, b long", 0)
 
 
@@ -186,11 +186,11 @@ def linked(reps: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     zero = F.lit(0).cast("long")
     calm = tiles.join(many, "tile", "left_anti").select("tile", zero.alias("sub"), zero.alias("part"), "fp", "node")
     fine = _refined(tiles.join(many, "tile", "left_semi"))
-    parts = fine.groupBy("tile", "sub").agg(F.ceil(F.count(F.lit(1)) / (8 * hot)).alias("parts"))
+    sizes = fine.groupBy("tile", "sub").agg(F.ceil(F.count(F.lit(1)) / (8 * hot)).alias("parts"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts"))
     # part p of a tile meets part q in the tile's pair (p, q); each pair holds both parts
     pairs = F.transform(F.sequence(zero, F.col("parts") - 1), lambda q: F.least(F.col("own"), q) * F.col("parts") + F.greatest(F.col("own"), q))
-    split = fine.join(parts, ["tile", "sub"]).withColumn("own", own).select("tile", "sub", F.explode(pairs).alias("part"), "fp", "node")
+    split = fine.join(sizes, ["tile", "sub"]).withColumn("own", own).select("tile", "sub", F.explode(pairs).alias("part"), "fp", "node")
     return _links_in_tiles(calm.unionByName(split), n)
 
 

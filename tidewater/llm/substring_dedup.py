@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import map_arrow, read, shards, table
+from tidewater.llm.common import map_arrow, parts, read, shards, table
 
 LENGTH = 100
 GRAM = 24
@@ -202,7 +202,7 @@ def by_shard(rows: DataFrame, n: int, work) -> DataFrame:
         if held:
             yield from work(held)
 
-    return map_arrow(rows.repartition(n, "kind", "shard").sortWithinPartitions("kind", "shard"), make, ROWS, 0)
+    return map_arrow(rows.repartition(parts(n), "kind", "shard").sortWithinPartitions("kind", "shard"), make, ROWS, 0)
 
 
 def settle(n: int, hot: int):

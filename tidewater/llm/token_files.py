@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import encoder, map_arrow, read, shards, strings, table, vocabulary
+from tidewater.llm.common import encoder, map_arrow, parts, read, shards, strings, table, vocabulary
 
 MAGIC, VERSION = b"TWRP", 1
 FILES = "part int, seq int, n_docs long, n_ids long, payload binary"
@@ -178,7 +178,7 @@ def write_files(docs: DataFrame, vocab: str, end_id: int = 2, shard_ids: int = 1
             yield file()
 
     docs = docs.select("doc_id", "text")
-    return table(map_arrow(docs.repartitionByRange(shards(docs), "doc_id").sortWithinPartitions("doc_id", "text"), make, FILES), "token-files")
+    return table(map_arrow(docs.repartitionByRange(parts(shards(docs)), "doc_id").sortWithinPartitions("doc_id", "text"), make, FILES), "token-files")
 
 
 def starts(files: DataFrame, block: int = 1024) -> DataFrame:
