@@ -21,7 +21,9 @@ SHARD_BYTES = 16 << 20
 #: Partitions that a shuffle has at most.
 MOST_PARTS = 20_000
 #: Bytes of text that a Python function takes in at a time (about; one text is never cut).
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
+#: Rows of an Arrow batch; Spark's default of 10,000 whole texts is too much off-heap memory for a small executor.
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +101,10 @@ def parts(n: int) -> int:
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
     """mapInArrow, with batches cut into ``rows`` rows or about ``PIECE_BYTES`` (0: as they come), so that few whole texts are Python objects at a time."""
 
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+
     def pieces(batches):
         for b in batches:
             n = min(rows, max(1, PIECE_BYTES * b.num_rows // max(1, b.nbytes)))

@@ -226,6 +226,21 @@ def found(rows: DataFrame, codes: np.ndarray, letters: np.ndarray) -> DataFrame:
     return map_arrow(rows.select(F.col("toxic").cast("int"), "text"), find, "toxic int, size long, has array<int>, times array<int>")
 
 
+def documents_with(texts: DataFrame, codes: np.ndarray, letters: np.ndarray) -> DataFrame:
+    """k, n: in how many of the texts (text) each of these features occurs."""
+
+    def count(batches):
+        of = _Found(codes, letters)
+        for b in batches:
+            n = np.zeros(len(codes), dtype=np.int64)
+            for t in strings(b.column(0)):
+                n[of.of(t)[0]] += 1
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["k", "n"])
+
+    return map_arrow(texts, count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
 def strength(times: np.ndarray, size: np.ndarray | int) -> np.ndarray:
     """A feature's value: its rate in the text, on a log scale."""
     return np.log1p(300.0 * times / (np.asarray(size) + 100.0))
@@ -263,24 +278,20 @@ def train(docs: DataFrame, labels: DataFrame, letters: np.ndarray) -> tuple[np.n
     least = max(3, MIN_SHARE * n[1])
     top = toxic_codes(rows.where("toxic = 1").select("text"), letters).where(F.col("n") >= least).orderBy(F.desc("n"), "code").limit(MOST).toPandas()  # at most MOST rows
     codes = top["code"].to_numpy(np.int64)
-    has = table(found(rows, codes, letters).withColumn("row", F.monotonically_increasing_id()), "toxic-found")
     neg = np.zeros(len(codes))
-    for r in has.where("toxic = 0").select(F.explode("has").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect():  # at most MOST rows
+    for r in documents_with(rows.where("toxic = 0").select("text"), codes, letters).collect():  # at most MOST rows
         neg[r["k"]] = r["n"]
     a, b = top["n"].to_numpy(float), neg
     lift = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
     best = np.argsort(-np.where(lift > np.log(2), a * lift, 0), kind="stable")[:KEPT]
     best = np.sort(best[lift[best] > np.log(2)])
-    number = np.full(len(codes), -1)
-    number[best] = np.arange(len(best))
-    cells = has.select("row", "size", F.explode(F.arrays_zip("has", "times")).alias("c")).select("row", "size", "c.has", "c.times")
-    keep = has.sparkSession.createDataFrame([(int(k),) for k in best], "has int")
-    cells = cells.join(F.broadcast(keep), "has").toPandas()  # rows of the sample, kept features
-    label = has.select("row", "toxic").toPandas()
-    place = {r: k for k, r in enumerate(label["row"])}
-    y = label["toxic"].to_numpy(float)
-    row, col = cells["row"].map(place).to_numpy(np.int64), number[cells["has"].to_numpy(np.int64)]
-    return codes[best], fit(row, col, strength(cells["times"].to_numpy(float), cells["size"].to_numpy(float)), y, np.ones(len(y)), len(best))
+    codes = codes[best]
+    got = found(rows, codes, letters).toPandas()  # rows of the sample, kept features
+    each = got["has"].map(len).to_numpy(np.int64)
+    row = np.repeat(np.arange(len(got)), each)
+    col, times = (np.concatenate([np.empty(0, dtype=np.int64), *got[c]]) for c in ("has", "times"))
+    y = got["toxic"].to_numpy(float)
+    return codes, fit(row, col.astype(np.int64), strength(times, got["size"].to_numpy(float)[row]), y, np.ones(len(y)), len(best))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
