@@ -470,3 +470,9 @@ def test_pipeline(spark, tmp_path, encode):
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
     check_packing(last, [(k, t) for k, t in kept["secret_scans"].items()], encode)
     assert SimpleNamespace(n=len(last)).n >= len(kept["secret_scans"])
+
+
+def test_redaction_of_repeated_ids(spark):
+    rows = [(1, "a password=hunter22", "en", "s", 1), (1, "something else without any", "en", "s", 1), (None, "token: abcdefgh1", "en", "s", 1), (1, "a password=hunter22", "en", "s", 1)]
+    got = sorted(r.text for r in secrets.redact(table(spark, rows)).collect())
+    assert got == ["a password=[SECRET]", "a password=[SECRET]", "something else without any", "token: [SECRET]"]

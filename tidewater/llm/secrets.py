@@ -78,9 +78,9 @@ def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
                 lists[4].append([s[3] for s in spans])
                 lists[5].append([s[4] for s in spans])
             kinds = [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(x, k) for x, k in zip(lists, kinds, strict=True))], names=["doc_id", "owner", "repository", "kind", "start", "end", "hash", "from", "upto"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), *(pa.array(x, k) for x, k in zip(lists, kinds, strict=True))], names=["doc_id", "owner", "repository", "text_hash", "kind", "start", "end", "hash", "from", "upto"])
 
-    rows = map_arrow(docs.select(F.col("doc_id").cast("long"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), "text"), find, "doc_id long, owner string, repository string, kind array<int>, start array<long>, end array<long>, hash array<long>, `from` array<long>, upto array<long>")
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), "text", F.xxhash64("text").alias("text_hash")), find, "doc_id long, owner string, repository string, text_hash long, kind array<int>, start array<long>, end array<long>, hash array<long>, `from` array<long>, upto array<long>")
     return table(rows.withColumn("row", F.monotonically_increasing_id()), "candidates")
 
 
@@ -93,12 +93,12 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
-    """row, doc_id, and ``found``: each row's candidates (start, kind, end, from, upto, repositories, owners) in order of start and kind."""
+    """row, doc_id, text_hash, and ``found``: each row's candidates (start, kind, end, from, upto, repositories, owners) in order of start and kind."""
     rows = scan(docs, F.col("source") if owner is None else owner, F.concat_ws("/", "source", "lang") if repository is None else repository)
     each = rows.select("row", "owner", "repository", F.explode(F.arrays_zip("start", "kind", "end", "hash", "from", "upto")).alias("c")).select("row", "owner", "repository", "c.*")
     owned = each.join(ownership(each), "hash")
     found = owned.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "from", "upto", "repositories", "owners"))).alias("found"))
-    return rows.select("row", "doc_id").join(found, "row", "left")
+    return rows.select("row", "doc_id", "text_hash").join(found, "row", "left")
 
 
 def _digest(b: pa.RecordBatch):
@@ -124,9 +124,9 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret that has one owner only replaced by ``mark`` (n_chars follows); rows without doc_id stay as they are."""
-    live = secrets(docs).where("doc_id is not null").select("doc_id", F.filter("found", lambda x: x["owners"] == 1).alias("live")).where(F.size("live") > 0)
-    live = live.groupBy("doc_id").agg(F.max("live").alias("live"))
+    """``docs`` with every secret that has one owner only replaced by ``mark`` (n_chars follows)."""
+    live = secrets(docs).select(F.col("doc_id").alias("_tidewater_id"), F.col("text_hash").alias("_tidewater_hash"), F.filter("found", lambda x: x["owners"] == 1).alias("_tidewater_live"))
+    live = live.where(F.size("_tidewater_live") > 0).groupBy("_tidewater_id", "_tidewater_hash").agg(F.max("_tidewater_live").alias("_tidewater_live"))  # repeated rows have the same spans
 
     def cut(batches):
         for b in batches:
@@ -142,7 +142,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 texts.append(t)
             yield b.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["_tidewater_live"])
 
-    joined = docs.join(live.withColumnRenamed("live", "_tidewater_live"), "doc_id", "left").select(*docs.columns, "_tidewater_live")
+    same = docs["doc_id"].eqNullSafe(F.col("_tidewater_id")) & (F.xxhash64(docs["text"]) == F.col("_tidewater_hash"))
+    joined = docs.join(live, same, "left").select(*docs.columns, "_tidewater_live")
     changed = map_arrow(joined.where("_tidewater_live is not null"), cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
