@@ -219,6 +219,34 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def plain_shingles(t):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def test_stage_keeps_no_near_copies(spark):
+    r = random.Random(16)
+    rows = corpus(16)
+
+    def edit(t, n):
+        ws = t.split()
+        for k in r.sample(range(len(ws)), n):
+            ws[k] = f"new{r.randrange(10**6)}"
+        return " ".join(ws)
+
+    base = [words(r, 200, 5000) for _ in range(40)] + [words(r, 500, 5000) for _ in range(20)]
+    rows += [(1000 + k, t, "en", "s", 1) for k, t in enumerate(base)]
+    rows += [(2000 + k, edit(t, 1 + k % 2 if k < 40 else 5 + 3 * (k % 2)), "en", "s", 1) for k, t in enumerate(base)]  # similarity over 0.8
+    rows += [(3000 + k, edit(t, 16), "en", "s", 1) for k, t in enumerate(base[:40])]  # under 0.8
+    rows += [(4000 + k, edit(base[0], 2), "en", "s", 1) for k in range(80)]  # one group, with similarities on both sides of 0.8
+    kept = sorted(x.doc_id for x in simhash.one_of_each(table(spark, rows)).select("doc_id").collect())
+    sets = {x[0]: plain_shingles(x[1]) for x in rows}
+    near = lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    assert not any(near(a, b) for k, a in enumerate(kept) for b in kept[:k])
+    assert all(any(near(a, b) for b in sets if b < a) for a in set(sets) - set(kept))
+    assert not any(2000 <= k < 3000 for k in kept) and all(3000 + k in kept for k in range(40) if not any(near(3000 + k, b) for b in sets if b < 3000 + k))
+
+
 # -- 5 substrings -----------------------------------------------------------------------------------
 
 

@@ -11,6 +11,15 @@ components are found by distributed star steps.
 Cases: null, empty and blank texts have fingerprint zero, linked like any other; rows without doc_id keep a
 null doc_id and link as others, their component_id is null if nothing reachable has an id; repeated rows stay;
 an empty table gives an empty result; extra columns are ignored.
+
+The pipeline's stage (``one_of_each``) has settings of its own: texts are near copies if the Jaccard similarity of
+their sets of five-word shingles is ``SIMILAR`` = 0.8 or more. Texts with equal sets fall together. Tiles are the
+``BANDS`` bands of ``BAND_ROWS`` minimum hashes (two texts at 0.8 share a tile with probability 0.99995, more similar
+ones still more often); in a tile, SimHash fingerprints of the sets are compared within ``FAR`` bits (about ten are
+expected at 0.8, 32 for strangers), and what passes is decided on the whole sets. Each round compares all of a tile with
+a few pivots; what is a near copy of a smaller doc_id leaves all tiles, pivots leave their tile, and the number of
+pivots doubles until no tile holds two. So each row that goes has a near copy with a smaller doc_id, and no two rows
+that stay and have shared a tile are near copies.
 """
 
 from __future__ import annotations
@@ -23,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import map_arrow, parts, read, shards, strings, table
+from tidewater.llm.common import drop, map_arrow, parts, read, shards, strings, table
 from tidewater.llm.components import components, roots
 
 RADIUS = 3
@@ -32,6 +41,13 @@ BLOCKS = (13, 13, 13, 13, 12)
 HOT = 4096
 #: Node numbers from here on stand for fingerprints no row of which has a doc_id.
 NO_ID = 1 << 62
+#: The stage's shingles, its least similarity (a fraction), its tiles and the bits that its fingerprints may differ by.
+NGRAM = 5
+SIMILAR = (4, 5)
+BANDS, BAND_ROWS = 25, 5
+FAR = 24
+#: Pairs with the same smaller text that one task decides.
+SHARED = 1000
 
 
 def fingerprint(text: str | None, ngram: int = 3, seed: int = 42) -> int:
@@ -205,9 +221,122 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return of.join(classes, "fp").select("doc_id", "fp", F.when(F.col("label") < NO_ID, F.col("label")).alias("component_id"))
 
 
+def shingles(text: str | None, ngram: int = NGRAM, seed: int = 42) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a whole text."""
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h, digest = b" ".join(ws), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, ws), dtype=np.int64, count=len(ws)) + 1) - 1
+    n = len(ws) - ngram + 1
+    if n < 1:
+        return np.array([digest(h, seed)] if ws else [], dtype=np.uint64)
+    a, b = [0, *(ends[: n - 1] + 1).tolist()], ends[ngram - 1 :].tolist()
+    return np.unique(np.fromiter((digest(h[x:y], seed) for x, y in zip(a, b, strict=True)), dtype=np.uint64, count=n))
+
+
+_RNG = np.random.default_rng(7)
+_TIMES = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """The tiles (signed 64-bit) of a set of shingles; none for an empty set."""
+    if not len(hashes):
+        return []
+    mixed = hashes ^ (hashes >> np.uint64(31))
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(mixed), 4096):
+        np.minimum(least, (_TIMES[:, None] * mixed[None, k : k + 4096] + _PLUS[:, None]).min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """node (doc_id), class (equal sets of shingles have one), fp, tiles and set of each row of ``docs`` (doc_id not null)."""
+
+    def make(batches):
+        for b in batches:
+            known: dict = {}
+            out: list[tuple] = []
+            for t in strings(b.column(1)):
+                if (got := known.get(t)) is None:
+                    x = shingles(t)
+                    ones = np.zeros(64, dtype=np.int64)
+                    for k in range(0, len(x), 1 << 16):
+                        ones += np.unpackbits(x[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+                    fp = int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big", signed=True)
+                    got = known[t] = (xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63), fp, bands(x), x.tobytes())
+                out.append(got)
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["node", "class", "fp", "tiles", "set"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), make, "node long, class long, fp long, tiles array<long>, set binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b: classes), the a's whose set has the least similarity, or more, to b's; ``sets``: class, set of each."""
+    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SHARED).alias("parts"))
+    other = sets.select(F.col("class").alias("b"), F.col("set").alias("y")).join(many, "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    own = F.pmod(F.xxhash64("a"), F.col("parts"))
+    both = pairs.join(many, "b").select("a", "b", own.alias("part")).join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(other, ["b", "part"])
+
+    def decide(batches):
+        for r in batches:
+            keep = []
+            for x, y in zip(r.column(1), r.column(2), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
+                lo, hi = sorted((len(x), len(y)))
+                met = len(np.intersect1d(x, y, assume_unique=True)) if SIMILAR[1] * lo >= SIMILAR[0] * hi else 0
+                keep.append(SIMILAR[1] * met >= SIMILAR[0] * (lo + hi - met))
+            yield pa.RecordBatch.from_arrays([r.column(0).filter(pa.array(keep, pa.bool_()))], names=["class"])
+
+    return map_arrow(both.select("a", "x", "y"), decide, "class long").distinct()
+
+
+def without_near_copies(of: DataFrame) -> DataFrame:
+    """node, class of the classes in ``of`` (a table of :func:`sketches` with ``row``) that stay."""
+    reps = table(of.groupBy("class").agg(F.min("node").alias("node"), F.min("row").alias("row"), F.first("fp").alias("fp")), "classes")
+    me, it = F.struct("node", "class"), F.struct("p.node", "p.class")
+    least = of.select("row", F.explode("tiles").alias("tile")).join(reps, "row").select("tile", "node", "class", "fp")
+    now = table(least, "tiles")
+    gone, k = [], 0  # round 0: one pair for each text, with the smallest of all its tiles' smallest texts
+    while True:
+        shared = now.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tile")
+        new = table(now.join(shared, "tile", "left_semi"), "tiles")
+        drop(now)
+        now = new
+        if now.isEmpty():
+            break
+        slot = F.pmod(F.xxhash64("class", F.lit(k)), F.lit(max(1, k)))
+        pivots = table(now.groupBy("tile", slot.alias("slot")).agg(F.min(F.struct("node", "class", "fp")).alias("p")).select("tile", "p"), "pivots")
+        close = now.join(pivots, "tile").where((F.col("class") != F.col("p.class")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= FAR))
+        if k == 0:
+            pairs = close.groupBy("class").agg(F.min("p").alias("p")).select(F.col("class").alias("a"), F.col("p.class").alias("b"))
+        else:
+            first = me > it
+            pairs = close.select(F.when(first, F.col("class")).otherwise(F.col("p.class")).alias("a"), F.when(first, F.col("p.class")).otherwise(F.col("class")).alias("b")).distinct()
+        pairs = table(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        rows = wanted.join(reps, "class").select("class", "row")
+        sets = table(of.select("row", "set").join(rows, "row").select("class", "set"), "sets")
+        less = table(similar(pairs, sets), "copies")
+        gone.append(less)
+        left = now.join(less, "class", "left_anti")
+        if k:
+            left = left.join(pivots.select("tile", F.col("p.class").alias("class")), ["tile", "class"], "left_anti")
+        new = table(left, "tiles")
+        drop(now, pairs, sets, pivots)
+        now, k = new, max(1, 2 * k)
+    drop(now)
+    out = reps.select("node", "class")
+    for less in gone:
+        out = out.join(less, "class", "left_anti")
+    return out
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component, once each; rows without doc_id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """The rows of ``docs`` without near copies of a smaller doc_id, once each; rows without doc_id stay."""
+    of = table(sketches(docs.where("doc_id is not null")).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    kept = without_near_copies(of).select(F.col("node").alias("doc_id")).distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
