@@ -2,9 +2,9 @@
 
 Base spans come from three patterns (assignments, access keys, long hexadecimal strings). Besides, strings of
 20 or more letters and figures with mixed cases and high entropy are candidates. Every candidate's hash is
-counted over the whole corpus: in how many repositories, and with how many owners, does it stand? One owner:
-it looks live; ``EXAMPLE_OWNERS`` owners or more: a widely copied example. Mixed-case candidates of one owner
-become spans of kind ``mixed``; base spans stay whatever the count says.
+counted over the whole corpus: in how many repositories, and with how many owners, does it stand?
+``EXAMPLE_OWNERS`` owners or more: a widely copied example; fewer: it looks live (a key may be used again in a second
+place). Live mixed-case candidates become spans of kind ``mixed``; base spans stay whatever the count says.
 
 Counting goes by (hash, owner, repository) first, so a candidate that stands in a third of all rows is added up
 where it is read. In ``documents`` the owner is the source, and the repository the source's part in a language.
@@ -105,10 +105,10 @@ def _digest(b: pa.RecordBatch):
     out = []
     for found in b.column(1).to_pylist():
         base = [x for x in found or [] if x["kind"] < 3]
-        spans = [x for x in found or [] if x["kind"] < 3 or x["owners"] == 1]
+        spans = [x for x in found or [] if x["kind"] < 3 or x["owners"] < EXAMPLE_OWNERS]
         join = lambda xs: ",".join(f"{KINDS[x['kind']]}:{x['start']}:{x['end']}" for x in xs)
         n = Counter(x["kind"] for x in base)
-        out.append((n[0], n[1], n[2], hashlib.sha256(join(base).encode()).hexdigest(), join(spans), sum(x["owners"] == 1 for x in spans), sum(x["owners"] >= EXAMPLE_OWNERS for x in spans)))
+        out.append((n[0], n[1], n[2], hashlib.sha256(join(base).encode()).hexdigest(), join(spans), sum(x["owners"] < EXAMPLE_OWNERS for x in spans), sum(x["owners"] >= EXAMPLE_OWNERS for x in spans)))
     return out
 
 
@@ -124,8 +124,8 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret that has one owner only replaced by ``mark`` (n_chars follows)."""
-    live = secrets(docs).select(F.col("doc_id").alias("_tidewater_id"), F.col("text_hash").alias("_tidewater_hash"), F.filter("found", lambda x: x["owners"] == 1).alias("_tidewater_live"))
+    """``docs`` with every secret that has fewer than ``EXAMPLE_OWNERS`` owners replaced by ``mark`` (n_chars follows)."""
+    live = secrets(docs).select(F.col("doc_id").alias("_tidewater_id"), F.col("text_hash").alias("_tidewater_hash"), F.filter("found", lambda x: x["owners"] < EXAMPLE_OWNERS).alias("_tidewater_live"))
     live = live.where(F.size("_tidewater_live") > 0).groupBy("_tidewater_id", "_tidewater_hash").agg(F.max("_tidewater_live").alias("_tidewater_live"))  # repeated rows have the same spans
 
     def cut(batches):
