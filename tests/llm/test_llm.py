@@ -131,6 +131,19 @@ def test_quality_estimate_is_near_the_plain_one(spark):
     assert np.corrcoef(d(inv, [e[c] for c in quality.C]), d(np.linalg.inv(cov), clean.mean(axis=0)))[0, 1] > 0.98
 
 
+def test_quality_rejects_a_third_of_a_group(spark):
+    rng = np.random.default_rng(1)
+    for shift in (10, 25):
+        x = rng.normal(size=(900, 5)) * 0.3 + 2
+        x[:300] += 0.3 * shift * np.array([1, 1, 1, 0, 0]) / 3**0.5
+        x[300:318] += 0.3 * np.array([9, 0, 0, 0, 0])
+        df = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"{c} double" for c in quality.X))
+        d2 = np.array([r.d for r in df.repartition(1).join(quality.estimates(df), "grp").select(*quality.X, quality._distance().alias("d")).sort(*quality.X).collect()])
+        order = np.lexsort(x.T[::-1])
+        junk = (np.arange(900) < 318)[order]
+        assert (d2[junk] > quality.CUTOFF).mean() > 0.99 and (d2[~junk] > quality.CUTOFF).mean() < 0.005
+
+
 # -- 3 language -------------------------------------------------------------------------------------
 
 

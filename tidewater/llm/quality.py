@@ -2,9 +2,10 @@
 
 Each document's transformed statistics (``FEATURES``) are held against its group's minimum covariance
 determinant estimate. Groups are (lang, source) pairs; pairs of fewer than ``MIN_GROUP`` fitted rows are held
-against all rows of their language, and those of languages with fewer against all rows. The estimate starts from medians and quartile ranges
-and takes ``C_STEPS`` concentration steps (the three quarters nearest to the centre give the next centre and
-covariance), is made consistent for the normal distribution, and is reweighted once. Quantiles come from
+against all rows of their language, and those of languages with fewer against all rows. There are four starts
+(around the medians, the shortest halves and the outer quartiles); each takes concentration steps (the half nearest to
+the centre gives the next centre and covariance) until its determinant stands still, and the least determinant wins.
+It is made consistent for the normal distribution, and reweighted once. Quantiles come from
 counted bins and moments from partial sums, so a group of any size is only ever added up, never gathered.
 
 A row is fitted if it passes the base rules; its verdict is "kept" if its squared Mahalanobis distance is at
@@ -30,10 +31,11 @@ FEATURES = 5
 #: Smallest standard deviations of the features.
 FLOOR = (0.06, 0.03, 0.03, 0.04, 0.25)
 MIN_GROUP = 200
-C_STEPS = 3
-SHARE = 0.75
-#: Squared distance beyond which a text is an outlier: a normal vector exceeds it once in 10^11.
-CUTOFF = 60.0
+SHARE = 0.5
+#: Steps end when no start's log determinant falls by more than ``STILL`` below its least so far.
+STILL = 0.01
+#: Squared distance beyond which a text is an outlier: the 99.99 % point of chi-square with five degrees of freedom.
+CUTOFF = 25.74
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 X = [f"x{k}" for k in range(FEATURES)]
 C = [f"c{k}" for k in range(FEATURES)]
@@ -153,28 +155,45 @@ def _step(rows: DataFrame, now: DataFrame, nearest: DataFrame | float, scale: fl
                 cov[:, i, j] = cov[:, j, i] = got[f"m{i}{j}"] / n - mean[:, i] * mean[:, j]
             cov = cov * scale + np.diag(np.square(FLOOR))
             inv = np.linalg.inv(cov)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("grp")), *(pa.array(got[c] + mean[:, k]) for k, c in enumerate(C)), *(pa.array(inv[:, i, j].copy()) for i, j in PAIRS)], names=["grp", *C, *V])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("grp")), *(pa.array(got[c] + mean[:, k]) for k, c in enumerate(C)), *(pa.array(inv[:, i, j].copy()) for i, j in PAIRS), pa.array(np.linalg.slogdet(cov)[1])], names=["grp", *C, *V, "size"])
 
-    return map_arrow(sums, invert, "grp string, " + ", ".join(f"{c} double" for c in [*C, *V]), 0)
+    return map_arrow(sums, invert, "grp string, " + ", ".join(f"{c} double" for c in [*C, *V, "size"]), 0)
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """grp, centre and inverse covariance, of rows (grp, X)."""
     fine = 1024
     long = rows.select("grp", F.posexplode(F.array(*X)).alias("k", "x")).select("grp", "k", F.floor(F.col("x") * fine).alias("bin"))
-    q = _quantiles(long, ["grp", "k"], [0.25, 0.5, 0.75])
-    centre = [F.max(F.when(F.col("k") == k, (F.col("q1") + 0.5) / fine)).alias(C[k]) for k in range(FEATURES)]
-    spread = [F.max(F.when(F.col("k") == k, (F.col("q2") - F.col("q0")) / fine / 1.349)) for k in range(FEATURES)]
+    q = _quantiles(long, ["grp", "k"], [n / 20 for n in range(21)])
+    halves = F.array(*[F.struct((F.col(f"q{n + 10}") - F.col(f"q{n}")).alias("width"), ((F.col(f"q{n + 10}") + F.col(f"q{n}")) / 2).alias("mid")) for n in range(11)])
+    q = q.withColumn("half", F.array_min(halves))
+    quartiles = F.col("q15") - F.col("q5")
+    starts = [(F.col("q10"), quartiles), (F.col("half.mid"), F.col("half.width")), (F.col("q5"), F.col("half.width")), (F.col("q15"), F.col("half.width"))]
+    q = q.select("grp", "k", F.posexplode(F.array(*[F.struct(((m + 0.5) / fine).alias("m"), (w / fine / 1.349).alias("w")) for m, w in starts])).alias("start", "at"))
+    q = q.select(F.concat_ws("\x03", "start", "grp").alias("grp"), "k", "at.*")
+    centre = [F.max(F.when(F.col("k") == k, F.col("m"))).alias(C[k]) for k in range(FEATURES)]
+    spread = [F.max(F.when(F.col("k") == k, F.col("w"))) for k in range(FEATURES)]
     zero = F.lit(0.0)
     start = [(1 / (spread[i] * spread[i] + FLOOR[i] ** 2)).alias(v) if i == j else zero.alias(v) for (i, j), v in zip(PAIRS, V, strict=True)]
-    now = table(q.groupBy("grp").agg(*centre, *start), "mcd")
+    now = table(q.groupBy("grp").agg(*centre, *start).withColumn("least", F.lit(float("inf"))), "mcd")
+    each = rows.select(F.explode(F.array(*[F.concat_ws("\x03", F.lit(str(n)), "grp") for n in range(len(starts))])).alias("grp"), *X)
     width = 64  # bins of a distance: 64 to a doubling
-    for _ in range(C_STEPS):
-        d = rows.join(now, "grp").select("grp", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * width).alias("bin"))
+    scale = SHARE / chi2_cdf(chi2_quantile(SHARE, FEATURES), FEATURES + 2)
+    while True:
+        d = each.join(now, "grp").select("grp", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-6))) * width).alias("bin"))
         near = _quantiles(d, ["grp"], [SHARE]).select("grp", F.pow(F.lit(2.0), (F.col("q0") + 1) / width).alias("near"))
-        new = table(_step(rows, now, near, SHARE / chi2_cdf(chi2_quantile(SHARE, FEATURES), FEATURES + 2)), "mcd")
+        stepped = _step(each, now, near, scale).join(now.select("grp", F.col("least").alias("was")), "grp")
+        new = table(stepped.withColumn("least", F.least("was", "size")), "mcd")
+        change = new.agg(F.max(F.col("was") - F.col("size"))).first()[0]  # one value
         drop(now)
         now = new
+        if change is None or change <= STILL:
+            break
+    own = F.expr("substring(grp, 3)")  # without the start's number
+    best = now.groupBy(own.alias("g")).agg(F.min_by(F.struct(*C, *V), F.struct("size", "grp")).alias("e")).select(F.col("g").alias("grp"), "e.*")
+    new = table(best, "mcd")
+    drop(now)
+    now = new
     most = chi2_quantile(0.975, FEATURES)
     new = table(_step(rows, now, most, 0.975 / chi2_cdf(most, FEATURES + 2)), "mcd")
     drop(now)
