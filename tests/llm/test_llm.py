@@ -363,11 +363,52 @@ def test_token_files(spark, encode):
     assert token_files.read_files(token_files.write_files(empty(spark), VOCAB)).count() == 0
 
 
-def test_shard_random_access():
+def repeated_pairs(shard):
+    """Pairs that still occur twice in a shard without overlaps, not counting those past a document's end."""
+    last, n, ends = {}, Counter(), set((shard.sym_ends - 1).tolist())
+    for i, p in enumerate(zip(shard.symbols.tolist(), shard.symbols[1:].tolist(), strict=False)):
+        if i not in ends and not (p[0] == p[1] and last.get(p) == i - 1):
+            last[p] = i
+            n[p] += 1
+    return [p for p in n if n[p] > 1]
+
+
+def test_repair_leaves_no_repeated_pair():
     rng = np.random.default_rng(0)
-    for docs in ([np.array([5, 6, 7], np.uint32)] * 500, [rng.integers(0, 9, rng.integers(0, 40)).astype(np.uint32) for _ in range(800)], [], [np.empty(0, np.uint32)] * 50, [np.full(9000, 2, np.uint32)] * 3):
+    shards = [[rng.integers(0, rng.integers(1, 9), rng.integers(0, 60)).astype(np.uint32) for _ in range(rng.integers(0, 60))] for _ in range(200)]
+    shards += [[np.array([5, 6, 7], np.uint32)] * 500, [], [np.empty(0, np.uint32)] * 50, [np.full(9000, 2, np.uint32)] * 3, [np.tile(np.arange(9, dtype=np.uint32), 3000)]]
+    for docs in shards:
         s = token_files.Shard.open(token_files.write_shard(list(range(len(docs))), docs, 2, 9))
-        assert len(s.sym_ends) == len(docs) and all(np.array_equal(s.document(k), np.append(d, 2)) for k, d in enumerate(docs))
+        want = [np.append(d, 2) for d in docs]
+        assert len(s.sym_ends) == len(docs) and all(np.array_equal(s.document(k), d) for k, d in enumerate(want))
+        assert not repeated_pairs(s) and np.array_equal(s.all_ids(), np.concatenate([np.empty(0), *want]))
+        for _ in range(10 if docs else 0):
+            k = int(rng.integers(len(docs)))
+            a, b = sorted(rng.integers(0, len(want[k]) + 1, 2).tolist())
+            assert np.array_equal(s.document(k, a, b), want[k][a:b])
+    assert len(token_files.repair(np.tile(np.arange(10), 20_000), 99, 100)[2]) < 20
+
+
+def test_repair_reads_ranges_without_the_rest():
+    g = token_files.Grammar(np.array([[0, 1], [4, 4], *([k, k] for k in range(5, 40))], np.uint32), np.arange(1, 38, dtype=np.uint32), 4)
+    assert g.expand(np.array([40]), 10**9 + 1, 10**9 + 5).tolist() == [1, 0, 1, 0]
+
+
+def test_token_files_in_a_folder_of_ones_own(spark, tmp_path):
+    rows = [(k, "some words again and again", "en", "s", 1) for k in range(5)]
+    path = str(tmp_path / "out")
+    token_files.write_files(table(spark, rows), VOCAB, path=path)
+    assert token_files.read_files(spark.read.parquet(path)).count() == 5
+
+
+@pytest.mark.parametrize("most", [1, 50, 300_000])
+def test_encoder_agrees_with_the_library(encode, most):
+    from tidewater.llm.common import WordEncoder
+
+    r, enc = random.Random(18), WordEncoder(VOCAB, most)
+    parts = ["word", "Word's", "l33t", "don't", "a,b", "“q”", "é", "ǅ", "😀", "12", "\x1c", "\u2003", "<|endoftext|>", "ß", "İ", "...", "'ll", "x" * 40, "\n", "ﬁ", "e\u0301"]
+    for t in NASTY + ["".join(r.choice(parts) + r.choice(["", " ", "  "]) for _ in range(r.randrange(30))) for _ in range(400)]:
+        assert enc.encode(t).tolist() == encode(t), t
 
 
 def check_packing(got, rows, encode):

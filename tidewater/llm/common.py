@@ -161,13 +161,16 @@ def _narrow(text: str) -> bool:
 
 
 class _Words(dict):
-    """Word -> ids as little-endian unsigned 16-bit; unknown words are encoded as they are met."""
+    """Word -> ids as little-endian unsigned 16-bit; unknown words are encoded as they are met.
+
+    The pieces that a word is made of are words themselves, so a rare word is mostly put together from known ones. When
+    ``most`` words are kept they become the older generation, from which words come back when they are met again."""
 
     def __init__(self, tok, most: int):
-        self.tok, self.most, self.pieces, self.met = tok, most, {}, 0
+        self.tok, self.most, self.older = tok, most, {}
         self.letters = _byte_letters()
         shape = json.loads(tok.to_str())
-        #: Whether the model may be asked piece by piece: this normalizer and pre-tokenizer are the ones that _simple() repeats.
+        #: Whether the model may be asked piece by piece: this normalizer and pre-tokenizer are the ones that _PIECES repeats.
         self.plain = (
             [x["type"] for x in (shape["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
             and [x["type"] for x in (shape["pre_tokenizer"] or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]
@@ -175,35 +178,34 @@ class _Words(dict):
         )
 
     def __missing__(self, word: str) -> bytes:
-        if self.plain and "<|" not in word and _narrow(word):
-            low = word.lower()
-            ids = self._piece(low) if low.isalpha() else b"".join(map(self._piece, _PIECES.findall(low)))
-        else:
-            ids = np.array(self.tok.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        self.met += 1
-        if len(self) < self.most:
-            self[word] = ids
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        """A piece's ids, by the library's model (letters below U+0100 are their own NFC form)."""
-        ids = self.pieces.get(piece)
+        ids = self.older.get(word)
         if ids is None:
-            ids = array("H", [t.id for t in self.tok.model.tokenize(piece.translate(self.letters))]).tobytes()
-            if len(self.pieces) < self.most:
-                self.pieces[piece] = ids
+            ids = self._encoded(word)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
+    def _encoded(self, word: str) -> bytes:
+        if not self.plain or "<|" in word or not _narrow(word):
+            return np.array(self.tok.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        low = word.lower()
+        pieces = [low] if low.isalpha() else _PIECES.findall(low)
+        if pieces == [low]:  # by the library's model (letters below U+0100 are their own NFC form)
+            return array("H", [t.id for t in self.tok.model.tokenize(low.translate(self.letters))]).tobytes()
+        return b"".join([self[x] for x in pieces])
+
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library; each worker keeps the ids of words it has seen.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are those of its
     white-space-separated words in order (tests hold this against the library's ``encode`` of whole texts).
-    ``most`` bounds what is kept; words beyond it are encoded again each time.
+    At most twice ``most`` words are kept.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -221,10 +223,6 @@ class WordEncoder:
             cut = text.lower().split()  # the same letters, fewer different words
         else:
             cut = text.split()
-        if len(self.known) >= self.known.most and self.known.met > 4 * self.known.most:
-            self.known.clear()  # what is met now differs from what is kept
-            self.known.pieces.clear()
-            self.known.met = 0
         return np.frombuffer(b"".join(map(self.known.__getitem__, cut)), dtype="<u2")
 
 

@@ -1,21 +1,26 @@
 """Token-id files: each shard of documents as a Re-Pair grammar with random-access decoding.
 
 A shard is a run of documents in ascending doc_id order. Its ids (each document closed by the end id) are
-compressed by Re-Pair in rounds: count all adjacent pairs of the shard, replace the most frequent ones by new
-nonterminals, go on with the shorter string. As the end id may also be an id of text, a document's own end is
-a symbol apart (the last before the nonterminals). A pair never reaches past it, so each document keeps its
-own stretch of symbols. The file holds the rules, their expansion lengths, the symbols, and for each document
-its place among the symbols and among the ids; any document, or any range of its ids, decodes by itself.
+compressed by Re-Pair: frequent pairs of neighbouring symbols are replaced by nonterminals, the most frequent first,
+until no pair occurs twice. As the end id may also be an id of text, a document's own end is a symbol apart (the last
+before the nonterminals). A pair never reaches past it, so each document keeps its own stretch of symbols. The file
+holds the rules, their expansion lengths, the symbols, and for each document its place among the symbols and among the
+ids; any document, or any range of its ids, decodes by itself.
+
+Pairs are replaced in rounds, many at a time: a round takes the pairs met ``level`` times or more; where two of them
+overlap, the more frequent one goes first and the other is counted anew. The level falls (to an eighth) when no pair
+reaches it, and ends at two.
 
 Files are the ``payload`` values of a Parquet table, one a row: that works in any store Spark can write.
 
-Layout (little-endian): ``TWRP``, then unsigned 32-bit version, first nonterminal, end id, rules, documents, symbols;
-rules as pairs of unsigned 32-bit symbols; expansion lengths (unsigned 32-bit); doc_ids (64-bit); one byte a
-document that is 1 if its doc_id is not null; unsigned 64-bit ends of the documents among the symbols, then
-among the ids; symbols (unsigned 16-bit if all fit, else 32-bit).
+Layout (little-endian): ``TWRP``, then unsigned 32-bit version, first nonterminal, end id, rules, rounds, documents,
+symbols; rules as pairs of unsigned 32-bit symbols; rules made up to the end of each round (unsigned 32-bit; a rule
+only names symbols of earlier rounds); expansion lengths (unsigned 32-bit); doc_ids (64-bit); one byte a document that is
+1 if its doc_id is not null; unsigned 64-bit ends of the documents among the symbols, then among the ids; symbols
+(unsigned 16-bit if all fit, else 32-bit).
 
 Cases: null and empty texts are the end id alone; null doc_ids come first; rows with one doc_id come in order
-of their texts; an empty table gives no files and an empty result; extra columns are ignored.
+of a hash of their texts; an empty table gives no files and an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,63 +36,134 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import encoder, map_arrow, parts, read, shards, strings, table, vocabulary
 
-MAGIC, VERSION = b"TWRP", 1
+MAGIC, VERSION = b"TWRP", 2
 FILES = "part int, seq int, n_docs long, n_ids long, payload binary"
-
-
-def repair(ids: np.ndarray, end: int, first: int, rounds: int = 3, each: int = 256, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (pairs of symbols; the k-th stands for ``first + k``) and the symbols that are left; no pair goes on after ``end``.
-
-    All pairs are counted in hashed counters; the pairs in the ``each`` fullest counters are then counted
-    exactly and replaced if met ``least`` times or more (and once in 8192 symbols: rarer ones save too little). In a run of overlapping pairs every other one is.
-    """
-    seq, rules = ids.astype(np.uint32), []
-    closing = np.zeros(first, dtype=bool)  # symbols whose expansion ends a document
-    closing[end] = True
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        left, right = seq[:-1], seq[1:]
-        slot = (left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) >> np.uint32(12)
-        free = ~closing[left]
-        counts = np.bincount(slot[free], minlength=1 << 20)
-        top = np.flatnonzero(counts >= max(least, len(seq) >> 13))  # at most 8192 of them
-        top = top[np.argsort(-counts[top], kind="stable")[:each]]
-        if not len(top):
-            break
-        heavy = np.zeros(1 << 20, dtype=bool)
-        heavy[top] = True
-        at = np.flatnonzero(heavy[slot] & free)
-        keys = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        pairs, of, n = np.unique(keys, return_inverse=True, return_counts=True)
-        good = n >= least
-        if not good.any():
-            break
-        number = np.cumsum(good) - 1
-        chosen = good[of]
-        at, of = at[chosen], number[of[chosen]]
-        begins = np.flatnonzero(np.r_[True, np.diff(at) != 1])
-        run = at - np.repeat(at[begins], np.diff(np.r_[begins, len(at)]))
-        at, of = at[run % 2 == 0], of[run % 2 == 0]
-        new = first + len(rules)
-        rules += [(int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF))) for p in pairs[good]]
-        if len(rules) + first > len(closing):
-            closing = np.r_[closing, np.zeros(len(rules) + first - len(closing), dtype=bool)]
-        closing[new : new + int(good.sum())] = closing[(pairs[good] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        seq[at] = new + of
-        stays = np.ones(len(seq), dtype=bool)
-        stays[at + 1] = False
-        seq = seq[stays]
-    return np.array(rules, dtype=np.uint32).reshape(-1, 2), seq
-
-
-def expansions(rules: np.ndarray, first: int) -> list[np.ndarray]:
-    """The ids for which each nonterminal stands."""
-    out: list[np.ndarray] = []
-    part = lambda s: out[s - first] if s >= first else np.array([s], dtype=np.uint32)
-    for a, b in rules.tolist():
-        out.append(np.concatenate([part(a), part(b)]))
-    return out
+#: By what the count that pairs must have falls from level to level.
+FALL = 8
+#: Nonterminals of up to so many ids are held expanded while a file is open; longer ones are expanded step by step.
+HELD = 64
+
+
+def _grouped(key: np.ndarray, at: np.ndarray, after: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (``key`` at the places ``at``, ascending; ``after``: the places that follow) met ``level`` times or more without overlaps
+    of their own: keys, counts, the places of all of them with the pair at each, and the places that overlap one of the same pair."""
+    order = np.argsort(key)
+    new = np.r_[True, np.diff(key[order]) != 0] if len(at) else np.empty(0, dtype=bool)
+    pair = np.empty(len(at), dtype=np.int32)
+    pair[order] = np.cumsum(new, dtype=np.int32) - 1
+    keys = key[order[new]]
+    again = np.r_[False, (at[1:] == after[:-1]) & (pair[1:] == pair[:-1])] if len(at) else new
+    odd = np.zeros(len(at), dtype=bool)
+    if again.any():  # in a run such as a a a a every other place counts
+        begins = np.flatnonzero(~again)
+        odd = (np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))) % 2 == 1
+    n = np.bincount(pair[~odd], minlength=len(keys))
+    good = n >= level
+    taken = good[pair]
+    counted = taken & ~odd
+    return keys[good], n[good], at[counted], (np.cumsum(good) - 1)[pair[counted]], at[taken & odd]
+
+
+def repair(ids: np.ndarray, end: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rules (pairs of symbols; the k-th stands for ``first + k``), their number after each round, and the symbols that are left.
+
+    No pair goes on after ``end``. Among what is left no pair occurs twice (occurrences that overlap count once). A level begins
+    with a count of all pairs; its later rounds only look at pairs that lost places to others and at those next to a new symbol."""
+    seq = ids.astype(np.uint32)
+    shut = seq == end  # symbols whose expansion ends a document
+    rules, rounds, made, level = [], [], 0, None
+    while len(seq) > 1 and level != 1:
+        slot = (seq[:-1] * np.uint32(2654435761) ^ seq[1:] * np.uint32(2246822519)) >> np.uint32(12)
+        met = np.bincount(slot, minlength=1 << 20)  # at least the pair's own count
+        most = int(met.max())
+        level = max(2, min(level or most, most) // FALL)
+        at = np.flatnonzero((met >= level)[slot] & ~shut[:-1]).astype(np.int32)
+        n = len(seq)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # neighbours among the places that are left
+        gone = np.zeros(n, dtype=bool)
+        while len(at):
+            right = after[at]
+            key = seq[at].astype(np.uint64) << np.uint64(32) | seq[right]
+            keys, count, at, pair, aside = _grouped(key, at, right, level)
+            if not len(keys):
+                break
+            rank = np.empty(len(keys), dtype=np.int64)
+            rank[np.argsort(-count, kind="stable")] = np.arange(len(keys))
+            mine = rank[pair]
+            close = at[1:] == after[at[:-1]]  # places that overlap: the better rank goes first
+            wins = np.ones(len(at), dtype=bool)
+            wins[1:] &= ~(close & (mine[1:] >= mine[:-1]))
+            wins[:-1] &= ~(close & (mine[:-1] > mine[1:]))
+            used = np.bincount(pair[wins], minlength=len(keys)) > 1
+            wins &= used[pair]
+            p = at[wins]
+            q = after[p]
+            seq[p] = (first + made + (np.cumsum(used) - 1)[pair[wins]]).astype(np.uint32)
+            shut[p] = shut[q]
+            gone[q] = True
+            after[p] = after[q]
+            before[after[q]] = p
+            chosen = keys[used]
+            rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+            made += len(chosen)
+            rounds.append(made)
+            at = np.sort(np.concatenate([at[~wins], aside, p, before[p]]))
+            at = at[np.r_[True, at[1:] != at[:-1]] & (at >= 0)]
+            at = at[~gone[at] & ~shut[at] & (after[at] < n)]
+        seq, shut = seq[~gone], shut[~gone]
+        if level == 2:
+            level = 1
+    return np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32), np.array(rounds, dtype=np.uint32), seq
+
+
+class Grammar:
+    """Rules with their expansion lengths; the short expansions are held in one array."""
+
+    def __init__(self, rules: np.ndarray, rounds: np.ndarray, first: int):
+        self.first = first
+        self.left, self.right = rules[:, 0].astype(np.int64), rules[:, 1].astype(np.int64)
+        self.size = np.ones(first + len(rules), dtype=np.int64)
+        steps = list(zip([0, *rounds[:-1].tolist()], rounds.tolist(), strict=True)) if len(rounds) else []
+        for a, b in steps:
+            self.size[first + a : first + b] = self.size[self.left[a:b]] + self.size[self.right[a:b]]
+        short = np.where(self.size <= HELD, self.size, 0)
+        self.at = np.cumsum(short) - short
+        self.flat = np.empty(int(short.sum()), dtype=np.uint32)
+        self.flat[:first] = np.arange(first)
+        for a, b in steps:
+            k = a + np.flatnonzero(short[first + a : first + b])
+            n, half = self.size[first + k], self.size[self.left[k]]
+            into = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            begin = np.repeat(self.at[self.left[k]], n)
+            over = into >= np.repeat(half, n)
+            begin[over] = (np.repeat(self.at[self.right[k]] - half, n))[over]
+            self.flat[np.repeat(self.at[first + k], n) + into] = self.flat[begin + into]
+
+    def expand(self, symbols: np.ndarray, begin: int = 0, end: int | None = None) -> np.ndarray:
+        """The ids from ``begin`` to ``end`` (exclusive) among those that the symbols stand for; what lies outside is never expanded."""
+        symbols = symbols.astype(np.int64)
+        while True:
+            n = self.size[symbols]
+            if begin > 0 or end is not None:
+                upto = np.cumsum(n)
+                a = int(np.searchsorted(upto, begin, side="right"))
+                b = len(n) if end is None else min(len(n), int(np.searchsorted(upto, end, side="left")) + 1)
+                past = int(upto[a - 1]) if a else 0
+                symbols, n, begin = symbols[a : max(a, b)], n[a : max(a, b)], begin - past
+                end = None if end is None else end - past
+            wide = n > HELD
+            if not wide.any():
+                break
+            two = 1 + wide.astype(np.int64)
+            place = np.cumsum(two) - two
+            out = np.empty(int(two.sum()), dtype=np.int64)
+            out[place] = symbols
+            k = symbols[wide] - self.first
+            out[place[wide]], out[place[wide] + 1] = self.left[k], self.right[k]
+            symbols = out
+        shift = self.at[symbols] - (np.cumsum(n) - n)
+        ids = self.flat[np.repeat(shift, n) + np.arange(int(n.sum()))]
+        return ids[max(0, begin) : end]
 
 
 def write_shard(doc_ids: list[int | None], docs: list[np.ndarray], end_id: int, first: int) -> bytes:
@@ -95,69 +171,63 @@ def write_shard(doc_ids: list[int | None], docs: list[np.ndarray], end_id: int,
     end, first = first, first + 1
     stop = np.array([end], dtype=np.uint32)
     ids = np.concatenate([x for d in docs for x in (d, stop)]) if docs else np.empty(0, dtype=np.uint32)
-    rules, seq = repair(ids, end, first)
-    made = expansions(rules, first)
-    ends_with = np.array([x[-1] == end for x in made] or [False])
-    closes = seq == end
-    closes |= np.where(seq >= first, ends_with[np.where(seq >= first, seq - first, 0)], False)
-    sym_ends = np.flatnonzero(closes) + 1
+    rules, rounds, seq = repair(ids, end, first)
+    lengths = Grammar(rules, rounds, first).size
     id_ends = np.cumsum([len(d) + 1 for d in docs], dtype=np.uint64) if docs else np.empty(0)
+    sym_ends = np.searchsorted(np.cumsum(lengths[seq]), id_ends.astype(np.int64), side="left") + 1
     wide = np.uint16 if first + len(rules) <= 65536 else np.uint32
     return b"".join([
-        MAGIC, np.array([VERSION, first, end_id, len(rules), len(docs), len(seq)], dtype="<u4").tobytes(), rules.astype("<u4").tobytes(),
-        np.array([len(x) for x in made], dtype="<u4").tobytes(), np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(),
+        MAGIC, np.array([VERSION, first, end_id, len(rules), len(rounds), len(docs), len(seq)], dtype="<u4").tobytes(), rules.astype("<u4").tobytes(), rounds.astype("<u4").tobytes(),
+        lengths[first:].astype("<u4").tobytes(), np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(),
         np.array([d is not None for d in doc_ids], dtype=np.uint8).tobytes(), sym_ends.astype("<u8").tobytes(), id_ends.astype("<u8").tobytes(), seq.astype(wide).tobytes(),
     ])
 
 
 @dataclass
 class Shard:
-    """A file, opened: documents decode one by one."""
+    """A file, opened: documents, and ranges of their ids, decode one by one."""
 
     doc_ids: np.ndarray
     has_id: np.ndarray
     sym_ends: np.ndarray
     id_ends: np.ndarray
     symbols: np.ndarray
-    flat: np.ndarray
-    at: np.ndarray
-    size: np.ndarray
+    grammar: Grammar
+    end_id: int
 
     @classmethod
     def open(cls, raw: bytes) -> Shard:
-        if raw[:4] != MAGIC:
+        if bytes(raw[:4]) != MAGIC:
             raise ValueError("not a token file")
-        version, first, end_id, n_rules, n_docs, n_sym = np.frombuffer(raw, "<u4", 6, 4).tolist()
+        version, first, end_id, n_rules, n_rounds, n_docs, n_sym = np.frombuffer(raw, "<u4", 7, 4).tolist()
         if version != VERSION:
             raise ValueError(f"version {version}")
-        pos = 28
+        pos = 32
         got = []
-        for kind, n in (("<u4", 2 * n_rules), ("<u4", n_rules), ("<i8", n_docs), ("u1", n_docs), ("<u8", n_docs), ("<u8", n_docs), ("<u2" if first + n_rules <= 65536 else "<u4", n_sym)):
+        for kind, n in (("<u4", 2 * n_rules), ("<u4", n_rounds), ("<u4", n_rules), ("<i8", n_docs), ("u1", n_docs), ("<u8", n_docs), ("<u8", n_docs), ("<u2" if first + n_rules <= 65536 else "<u4", n_sym)):
             got.append(np.frombuffer(raw, kind, n, pos))
             pos += got[-1].nbytes
-        rules, lengths, doc_ids, has_id, sym_ends, id_ends, symbols = got
-        made = expansions(rules.reshape(-1, 2), first)
-        if [len(x) for x in made] != lengths.tolist():
+        rules, rounds, lengths, doc_ids, has_id, sym_ends, id_ends, symbols = got
+        grammar = Grammar(rules.reshape(-1, 2), rounds, first)
+        if not np.array_equal(grammar.size[first:], lengths):
             raise ValueError("expansion lengths differ")
-        size = np.r_[np.ones(first, dtype=np.int64), lengths.astype(np.int64)]
-        flat = np.concatenate([np.arange(first, dtype=np.uint32), *made])
-        flat[flat == first - 1] = end_id
-        return cls(doc_ids, has_id, sym_ends.astype(np.int64), id_ends.astype(np.int64), symbols, flat, np.cumsum(size) - size, size)
+        return cls(doc_ids, has_id, sym_ends.astype(np.int64), id_ends.astype(np.int64), symbols, grammar, end_id)
 
-    def document(self, k: int) -> np.ndarray:
-        return self._expand(self.symbols[self.sym_ends[k - 1] if k else 0 : self.sym_ends[k]])
+    def document(self, k: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+        """The k-th document's ids (with the end id), or those from ``begin`` to ``end``."""
+        return self._named(self.grammar.expand(self.symbols[self.sym_ends[k - 1] if k else 0 : self.sym_ends[k]], begin, end))
 
     def all_ids(self) -> np.ndarray:
-        return self._expand(self.symbols)
+        return self._named(self.grammar.expand(self.symbols))
 
-    def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        n = self.size[symbols]
-        shift = self.at[symbols] - (np.cumsum(n) - n)
-        return self.flat[np.repeat(shift, n) + np.arange(int(n.sum()))]
+    def _named(self, ids: np.ndarray) -> np.ndarray:
+        ids[ids == self.grammar.first - 1] = self.end_id
+        return ids
 
 
-def write_files(docs: DataFrame, vocab: str, end_id: int = 2, shard_ids: int = 1 << 21) -> DataFrame:
-    """The table of files (written); a file ends with the document that takes it past ``shard_ids`` ids."""
+def write_files(docs: DataFrame, vocab: str, end_id: int = 2, shard_ids: int = 1 << 19, path: str | None = None) -> DataFrame:
+    """The table of files, written to ``path`` (which must not exist) or, without one, to the shared scratch folder until the end of
+    the process; a file ends with the document that takes it past ``shard_ids`` ids."""
 
     def make(batches):
         enc, part, seq, ids, rows, n = encoder(vocab), TaskContext.get().partitionId(), 0, [], [], 0
@@ -177,8 +247,13 @@ def write_files(docs: DataFrame, vocab: str, end_id: int = 2, shard_ids: int = 1
         if rows:
             yield file()
 
-    docs = docs.select("doc_id", "text")
-    return table(map_arrow(docs.repartitionByRange(parts(shards(docs)), "doc_id").sortWithinPartitions("doc_id", "text"), make, FILES), "token-files")
+    n = parts(shards(docs))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    files = map_arrow(docs.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text"), make, FILES)
+    if path is None:
+        return table(files, "token-files")
+    files.write.parquet(path)
+    return docs.sparkSession.read.schema(FILES).parquet(path)
 
 
 def starts(files: DataFrame, block: int = 1024) -> DataFrame:
