@@ -1,8 +1,10 @@
 """The training-data operators against brute force on small tables, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -86,6 +88,64 @@ def test_html_short_article_and_oddities(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+PARAS = "<p>This is the first paragraph of the story, and it is long enough. Yes.</p><p>And here comes another one, with more words, as it should.</p>"
+BODY = "This is the first paragraph of the story, and it is long enough. Yes. And here comes another one, with more words, as it should."
+
+
+def plain_path_scores(page):
+    """Path scores by loops over nodes and paths."""
+    n = len(page.nodes)
+    of = lambda p: [x for x in page.nodes if x[0] == p]
+    length = [sum(s - 0.8 * k for _, s, k, _ in of(p)) / len(of(p)) for p, *_ in page.nodes]
+    punct = [sum(m for *_, m in of(p)) / len(of(p)) for p, *_ in page.nodes]
+    weight = lambda i, j: math.exp(-((i - j) ** 2) / 2) if abs(i - j) <= 3 else 0.0
+    smooth = lambda x: [sum(weight(i, j) * x[j] for j in range(n)) / sum(weight(i, j) for j in range(n)) for i in range(n)]
+    marks = any(page.inside[p] and page.prior[p] > 0.05 for p, *_ in page.nodes)
+    prior = lambda p: page.prior[p] * (0.125 if marks and not page.inside[p] else 1)
+    score = [a * (b + 0.1) * prior(x[0]) for a, b, x in zip(smooth(length), smooth(punct), page.nodes, strict=True)]
+    mean = sum(score) / n
+    by = {p: [y for x, y in zip(page.nodes, score, strict=True) if x[0] == p] for p, *_ in page.nodes}
+    return {p: sum(y) / len(y) for p, y in by.items()}, 0.5 * math.sqrt(sum((y - mean) ** 2 for y in score) / n)
+
+
+def test_html_path_scores():
+    r = random.Random(17)
+    for _ in range(60):
+        page = ""
+        for _ in range(r.randrange(1, 40)):
+            page += r.choice(["<p>", "</p>", "<div class=ad>", "<div>", "</div>", "<a href=x>", "</a>", "<article>", "</article>", "<b>", "<li class='no-sidebar'>"]) + " ".join(["word,"] * r.randrange(6))
+        got = html_text.parse(page)
+        if got.nodes:
+            score, _, least = html_text.path_scores(got)
+            want, bound = plain_path_scores(got)
+            assert all(abs(score[p] - x) < 1e-9 * max(1, x) for p, x in want.items()) and abs(least - bound) < 1e-9 * max(1, bound)
+
+
+@pytest.mark.parametrize("name", ["post no-sidebar", "menu-item-page", "related-to", "widget-area-main", "search-result-article", "signup-confirmed", "story"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_names_only_weigh(name, tag):
+    assert html_text.main_text(f"<nav><a href=1>Home</a></nav><{tag} class='{name}'>{PARAS}</{tag}><div class='sidebar'>Other things to read.</div><footer>(c)</footer>") == BODY
+
+
+def test_html_keeps_all_of_the_article():
+    assert html_text.main_text(f"<article>{PARAS}</article><article><p>Second, short.</p></article>") == f"{BODY} Second, short."
+    assert html_text.main_text(f"<main><p>Intro, here.</p><article>{PARAS}</article><p>Closing, there.</p></main>") == f"Intro, here. {BODY} Closing, there."
+    assert html_text.main_text(f"<article>{PARAS}<ul><li>a<li>b</ul><math><mi>x</mi></math><label>Fig</label></article>") == f"{BODY} a b x Fig"
+    assert html_text.main_text(f"<article>{PARAS}<ul><li><a href=1>More</a><li><a href=2>Others</a></ul><div class='comments'><p>I disagree.</p></div></article><p>Outside, unnamed.</p>") == BODY
+    assert html_text.main_text(f"<div class=x>{PARAS}<p>Sh.</p></div><div class='comment-list'><p>Nice, very nice, I like it.</p></div>") == f"{BODY} Sh."
+
+
+@pytest.mark.parametrize("unit", ["<b>x", "<a ", '<a ="> "', "<p>x", "<li>x", "<b></x>", "<div>x", "<b><p></p>", "<ul><li>x", "<!", "<table><td>x", "<!-- ", "<a href='", "</"])
+def test_html_time_is_linear(unit):
+    def took(n):
+        begin = time.perf_counter()
+        html_text.main_text(unit * n)
+        return time.perf_counter() - begin
+
+    took(2000)
+    assert took(40_000) < 0.05 + 15 * min(took(8000) for _ in range(2))  # five times the page
+
+
 # -- 2 quality --------------------------------------------------------------------------------------
 
 
