@@ -130,7 +130,7 @@ def test_html_names_only_weigh(name, tag):
 def test_html_keeps_all_of_the_article():
     assert html_text.main_text(f"<article>{PARAS}</article><article><p>Second, short.</p></article>") == f"{BODY} Second, short."
     assert html_text.main_text(f"<main><p>Intro, here.</p><article>{PARAS}</article><p>Closing, there.</p></main>") == f"Intro, here. {BODY} Closing, there."
-    assert html_text.main_text(f"<article>{PARAS}<ul><li>a<li>b</ul><math><mi>x</mi></math><label>Fig</label></article>") == f"{BODY} a b x Fig"
+    assert html_text.main_text(f"<article>{PARAS}<ul><li>a<li>b</ul><math><mi>x</mi></math><label>Fig</label></article>") == f"{BODY} a b xFig"
     assert html_text.main_text(f"<article>{PARAS}<ul><li><a href=1>More</a><li><a href=2>Others</a></ul><div class='comments'><p>I disagree.</p></div></article><p>Outside, unnamed.</p>") == BODY
     assert html_text.main_text(f"<div class=x>{PARAS}<p>Sh.</p></div><div class='comment-list'><p>Nice, very nice, I like it.</p></div>") == f"{BODY} Sh."
 
@@ -595,6 +595,51 @@ def test_leaks(spark):
     assert decontamination.leaks(table(spark, rows), b.where("false")).count() == 0 and decontamination.leaks(empty(spark), b).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["other word", "word more", "word less", "any"])
+def test_leaks_lose_no_edited_copy(kind):
+    """Against the alignment of every item with every text."""
+    r = random.Random(19)
+    share = {"other word": 0.2, "word more": 0.25, "word less": 0.25, "any": 0.2}[kind]
+    items = [(k, words(r, r.randrange(2, 25), 200)) for k in range(30)] + [(90, "数学の問題を解いてください"), (91, "one")]
+    index, texts = decontamination.Index(items), []
+    for _, t in items:
+        out = []
+        for w in t.split():
+            do = r.choice(["other word", "word more", "word less"]) if kind == "any" else kind
+            edit = r.random() < share
+            out += [w] if not edit else [f"x{r.randrange(99)}"] if do == "other word" else [w, "more"] if do == "word more" else []
+        texts.append(words(r, 15, 200) + " " + " ".join(out) + " " + words(r, 15, 200))
+    texts.append("これは数学の問題を解いてくださいと書いてある")
+    ids = [index.text(t) for t in texts]
+    df = np.zeros(len(index.seeds), dtype=int)
+    for w in ids:
+        df[np.unique(index.hits(w)[1])] += 1
+    index.set_rare(df)
+    n = 0
+    for w in ids:
+        got = {i: s for i, s, _, _ in index.leaks(w)}
+        want = {i: s for i, x in enumerate(index.words) if (s := decontamination.align(x, w)[0]) >= 0.6}
+        assert got == want
+        n += len(want)
+        for x in index.words[:3]:
+            assert decontamination.best_score(x, w) == round(decontamination.align(x, w)[0] * 2 * len(x))
+    assert n >= 20
+
+
+def test_words_are_letters_and_digits():
+    for t in ["Ünïcode ª²³ µ_x ß", "İstanbul “q” word", "a-b c_d", "\x00 nul", *NASTY]:
+        got = [w[1:].decode() if w[:1] == b"\x00" else w.decode("latin-1") for w in decontamination.words_of(t)]
+        assert got == re.findall(r"[^\W_]+", t.lower())
+
+
+def test_rows_without_id_are_told_apart(spark):
+    r = random.Random(20)
+    item = words(r, 20, 3000)
+    rows = [(None, "x " + item, "en", "s", 1), (None, "clean", "en", "s", 1), (1, item, "en", "s", 1), (1, "clean too", "en", "s", 1)]
+    b = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert {x.text for x in decontamination.without_leaks(table(spark, rows), b).collect()} == {"clean", "clean too"}
+
+
 # -- pipeline ---------------------------------------------------------------------------------------
 
 
