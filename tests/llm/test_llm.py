@@ -207,20 +207,35 @@ def test_quality_rejects_a_third_of_a_group(spark):
 # -- 3 language -------------------------------------------------------------------------------------
 
 
+def plain_phrases(x, s):
+    i = n = 0
+    while i < len(x):
+        k = 1
+        while i + k <= len(x) and x[i : i + k] in s:
+            k += 1
+        i, n = i + max(1, k - 1), n + 1
+    return n
+
+
 def test_cross_parsing_is_greedy_longest_match():
-    rng = np.random.default_rng(1)
-    m = language.Languages({})
-    m.pad, m.bits, m.names = 4, [1.0], ["x"]
-    for _ in range(60):
-        s, x = rng.integers(0, 3, 40).tolist(), rng.integers(0, 4, 60).tolist()
-        i = n = 0
-        while i < len(x):
-            k = 1
-            while i + k <= len(x) and bytes(x[i : i + k]) in bytes(s):
-                k += 1
-            i, n = i + max(1, k - 1), n + 1
-        m.tables = [language.table_of(s, 4)]
-        assert m.phrases([np.array(x, dtype=np.uint8)])[0, 0] == n
+    r = random.Random(1)
+    for _ in range(300):
+        s, x = "".join(r.choice("abc") for _ in range(r.randrange(50))), "".join(r.choice("abcd") for _ in range(r.randrange(80)))
+        assert language.phrases(x, language.automaton(s)) == plain_phrases(x, s)
+    s = language.normal(words(r, 1500))
+    assert language.phrases(s[100:7000], language.automaton(s)) == 1
+    x = language.normal(words(r, 300) + " Ελληνικά 日本語 " + words(r, 300))
+    assert language.phrases(x, language.automaton(s)) == plain_phrases(x, s)
+
+
+def test_language_letters_stay_apart(spark):
+    r = random.Random(21)
+    kinds = {f"l{k}": [chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(9)}
+    rows = [(k, "".join(r.choice(kinds[n]) for _ in range(80)), n, "s", 1) for k, n in enumerate(sorted(kinds) * 12)] + [(500, "²³ 12", "l0", "s", 1)]
+    df = table(spark, rows)
+    got = {x.doc_id: x.lang_pred for x in language.identify(df, language.learn(df.where(~language.is_held_out(F.col("doc_id"))))).collect()}
+    assert all(got[r[0]] == r[2] for r in rows[:-1]) and got[500] == "und"
+    assert language.learn(empty(spark)) == {} and language.identify(empty(spark), {}).count() == 0
 
 
 def test_language_prediction(spark):

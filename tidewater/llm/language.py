@@ -4,192 +4,152 @@ A suffix automaton of labelled text is built for each language. A text is parsed
 match of what follows in that language's text; a letter unknown to it is a phrase. Phrases times the logarithm
 of the labelled text's length, by letter, is the cross entropy; the language with the least wins.
 
-Texts are lower-case letters, each run of anything else one space. They are parsed in blocks of ``SEGMENT``
-characters (a phrase ends with its block, in all languages alike), many blocks in step with each other over
-dense transition tables. The labelled text is a bounded sample: of each language up to ``SAMPLE_DOCS`` rows, by
-a hash of doc_id, ``SAMPLE_CHARS`` characters of each, from a place that the hash gives.
+Texts are lower-case letters, each run of anything else one space; whole texts are parsed, letter by letter, and all
+letters stay apart. The labelled text is a bounded sample of whole rows: ``SAMPLE_DOCS`` rows in all, but at most
+``MOST_DOCS`` and at least one a language, by a hash of doc_id, those of up to ``LONG`` characters first.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; null languages teach nothing; ties go to
-the alphabetically first language; if nothing can be learnt all rows are ``und``; repeated rows each get their
-row; an empty table gives an empty result; extra columns are ignored.
+the alphabetically first language; if nothing can be learnt all rows are ``und``; of rows with one doc_id
+one at most is drawn; repeated rows each get their row; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import math
+import re
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import map_arrow, read, strings
 
-SAMPLE_DOCS = 64
-SAMPLE_CHARS = 600
-#: Letters that the tables tell apart (the sample's most frequent); all others are one unknown letter.
-ALPHABET = 61
-SEGMENT = 512
-#: Bytes of all tables together; with many languages each gets less text.
-TABLE_BYTES = 96 << 20
-BLANK, OTHER = 0, 1
+#: Labelled rows that are learnt from: in all, and of a language.
+SAMPLE_DOCS, MOST_DOCS = 256, 64
+#: Rows of more characters are drawn only where a language lacks shorter ones.
+LONG = 8000
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def automaton(text: list[int]) -> tuple[list[dict[int, int]], int]:
-    """Transitions of the suffix automaton of ``text``; state 0 is the root."""
-    go: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
+def automaton(text: str) -> dict[str, dict]:
+    """The suffix automaton of ``text``: a state is the dictionary of the states that its letters lead to; returns the root."""
+    root: dict[str, dict] = {}
+    go, link, length, last = [root], [-1], [0], 0
     for c in text:
         now = len(go)
         go.append({})
         length.append(length[last] + 1)
         link.append(0)
-        p = last
+        p, new = last, go[now]
         while p != -1 and c not in go[p]:
-            go[p][c] = now
+            go[p][c] = new
             p = link[p]
         if p != -1:
-            q = go[p][c]
+            old = go[p][c]
+            q = old[0]
             if length[p] + 1 == length[q]:
                 link[now] = q
             else:
                 twin = len(go)
-                go.append(dict(go[q]))
+                go.append(dict(old))
+                go[twin][0] = twin
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p != -1 and go[p].get(c) == q:
-                    go[p][c] = twin
+                while p != -1 and go[p].get(c) is old:
+                    go[p][c] = go[twin]
                     p = link[p]
                 link[q] = link[now] = twin
+        new[0] = now  # the state's own number, under a key that is no letter
         last = now
-    return go, len(go)
-
-
-def table_of(text: list[int], letters: int) -> np.ndarray:
-    """Dense transitions: by state and letter, the next state's row and (from bit 28 on) the phrases that end. The last letter is padding."""
-    go, n = automaton(text)
-    width = letters + 1
-    root = go[0]
-    restart = np.array([(root[c] * width | 1 << 28) if c in root else 2 << 28 for c in range(letters)], dtype=np.uint32)
-    out = np.empty((n, width), dtype=np.uint32)
-    out[:, :letters] = restart
-    out[0, :letters] = [root[c] * width if c in root else 1 << 28 for c in range(letters)]
-    for s, t in enumerate(go):
-        for c, x in t.items():
-            out[s, c] = x * width
-    out[:, letters] = np.arange(n) * width
-    return out.ravel()
-
-
-_LETTER: dict[str, np.ndarray] = {}
-
-
-def codes_of(alphabet: str) -> np.ndarray:
-    """By code point: the letter's number (capitals as their small letters)."""
-    if "is" not in _LETTER:
-        _LETTER["is"] = np.array([chr(k).isalpha() for k in range(0x110000)], dtype=np.uint8)
-    out = _LETTER["is"].copy()
-    for k, c in enumerate(alphabet):
-        out[ord(c)] = k + 2
-        if len(c.upper()) == 1:
-            out[ord(c.upper())] = k + 2
-    return out
+    return root
+
 
+def normal(text: str | None) -> str:
+    """A text's letters in lower case, runs of others as one space, none at the ends."""
+    return _OTHER.sub(" ", (text or "").lower()).strip()
 
-def normal(text: str, codes: np.ndarray) -> np.ndarray:
-    """A text's letters as numbers; runs of others as one blank, none at the ends."""
-    x = codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    x = x[(x != BLANK) | np.r_[False, x[:-1] != BLANK]] if len(x) else x
-    return x[:-1] if len(x) and x[-1] == BLANK else x
+
+def phrases(text: str, root: dict[str, dict]) -> int:
+    """Phrases of the greedy parse of a normal text: each the longest match in the automaton's text, or one unknown letter."""
+    n, begin = 0, root.get
+    state = _UNKNOWN
+    for c in text:
+        state = state.get(c)
+        if state is None:
+            n += 1  # a phrase begins here
+            state = begin(c, _UNKNOWN)
+    return n
+
+
+#: After a letter that is unknown: whatever follows begins a phrase.
+_UNKNOWN: dict = {}
 
 
 class Languages:
-    """What is learnt: an alphabet, and for each language its name, table and the bits that a phrase costs."""
+    """What is learnt: for each language its name, automaton and the bits that a phrase costs."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        seen: dict[str, int] = {}
-        for texts in samples.values():
-            for t in texts:
-                for c in t.lower():
-                    if c.isalpha() and len(c) == 1:
-                        seen[c] = seen.get(c, 0) + 1
-        self.alphabet = "".join(sorted(seen, key=lambda c: (-seen[c], c))[:ALPHABET])
         self.names = sorted(samples)
-        letters = len(self.alphabet) + 2
-        codes = codes_of(self.alphabet)
-        most = TABLE_BYTES // max(1, len(samples)) // (8 * (letters + 1))
-        self.pad, self.tables, self.bits = letters, [], []
-        for name in self.names:
-            parts = [np.append(normal(t, codes), BLANK) for t in samples[name]]
-            text = np.concatenate(parts)[:most] if parts else np.empty(0, dtype=np.uint8)
-            self.tables.append(table_of(text.tolist(), letters))
-            self.bits.append(float(np.log2(max(2, len(text)))))
-
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text in each language."""
-        n = np.array([-(-len(t) // SEGMENT) for t in texts], dtype=np.int64)
-        of = np.repeat(np.arange(len(texts)), n)
-        total = int(n.sum())
-        block = np.full((total, SEGMENT), self.pad, dtype=np.uint8)
-        at = 0
-        for t, k in zip(texts, n.tolist(), strict=True):
-            block[at : at + k].reshape(-1)[: len(t)] = t
-            at += k
-        steps = np.ascontiguousarray(block.T)
-        out = np.zeros((len(texts), len(self.tables)), dtype=np.int64)
-        low = np.uint32((1 << 28) - 1)
-        for k, table in enumerate(self.tables):
-            state, count = np.zeros(total, dtype=np.uint32), np.zeros(total, dtype=np.uint32)
-            for row in steps:
-                v = table[state + row]
-                count += v >> np.uint32(28)
-                state = v & low
-            out[:, k] = np.bincount(of, count + (state != 0), minlength=len(texts))
-        return out
-
-    def predict(self, texts: list[str | None], codes: np.ndarray) -> list[tuple[str, float]]:
-        x = [normal(t or "", codes) for t in texts]
-        size = np.array([len(t) for t in x])
-        if not self.names:
-            return [("und", 0.0)] * len(texts)
-        rate = self.phrases(x) * np.array(self.bits) / np.maximum(1, size)[:, None]
-        best = rate.argmin(axis=1)
-        low = rate.min(axis=1, keepdims=True)
-        share = 1 / np.exp(np.minimum(0, 12 * (low - rate) / np.maximum(low, 1e-9))).sum(axis=1)
-        return [(self.names[b], float(s)) if n else ("und", 0.0) for b, s, n in zip(best.tolist(), share.tolist(), size.tolist(), strict=True)]
-
-
-def learn(rows: DataFrame) -> Languages:
-    """Fits on a bounded sample of labelled ``rows`` (doc_id, text, lang)."""
-    h = F.xxhash64("doc_id", F.lit(3))
+        texts = [" ".join(map(normal, samples[n])) for n in self.names]
+        self.roots = [automaton(t) for t in texts]
+        self.bits = [math.log2(max(2, len(t))) for t in texts]
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        x = normal(text)
+        if not self.names or not any(map(str.isalpha, x)):
+            return "und", 0.0
+        rate = [phrases(x, root) * bits / len(x) for root, bits in zip(self.roots, self.bits, strict=True)]
+        low = min(rate)
+        share = 1 / sum(math.exp(min(0.0, 12 * (low - r) / max(low, 1e-9))) for r in rate)
+        return self.names[rate.index(low)], share
+
+
+_MADE: dict[int, Languages] = {}
+
+
+def languages(samples: dict[str, list[str]]) -> Languages:
+    """The Python worker's automata of these samples, built once."""
+    key = zlib.crc32(repr(sorted(samples.items())).encode("utf-8", "surrogatepass"))
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = Languages(samples)
+    return _MADE[key]
+
+
+def learn(rows: DataFrame) -> dict[str, list[str]]:
+    """By language, the texts of a bounded sample of labelled ``rows`` (doc_id, text, lang)."""
     good = rows.where("lang is not null and text is not null and doc_id is not null")
-    ids = good.groupBy("lang", F.pmod(h, F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min_by("doc_id", h).alias("doc_id")).select("doc_id", "lang")
-    picked = [(r["doc_id"], r["lang"]) for r in ids.collect()]  # at most SAMPLE_DOCS rows for each language
-    if not picked:
-        return Languages({})
-    drawn = F.broadcast(rows.sparkSession.createDataFrame(picked, "doc_id long, lang string"))
-    begin = F.pmod(h, F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    texts = good.join(drawn, ["doc_id", "lang"]).select("lang", "doc_id", F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("t"))
+    n = good.agg(F.count_distinct("lang")).first()[0]
+    if not n:
+        return {}
+    docs = min(MOST_DOCS, max(1, SAMPLE_DOCS // n))
+    h = F.xxhash64("doc_id", F.lit(3))
+    order = F.struct(F.length("text") > LONG, h, F.xxhash64("text"))
+    drawn = good.groupBy("lang", F.pmod(h, F.lit(docs)).alias("slot")).agg(F.min_by("text", order).alias("text"))
     out: dict[str, list[str]] = {}
-    for r in sorted(texts.distinct().collect()):  # at most SAMPLE_DOCS * SAMPLE_CHARS characters for each language
-        out.setdefault(r["lang"], []).append(r["t"])
-    return Languages(out)
+    for r in sorted(drawn.select("lang", "text").collect()):  # SAMPLE_DOCS rows, or one a language
+        out.setdefault(r["lang"], []).append(r["text"])
+    return out
 
 
-def identify(docs: DataFrame, model: Languages) -> DataFrame:
-    """doc_id, lang_pred, score of each row of ``docs`` (doc_id, text)."""
+def identify(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
+    """doc_id, lang_pred, score of each row of ``docs`` (doc_id, text), by the texts of each language."""
 
     def make(batches):
-        codes = codes_of(model.alphabet)
+        model = languages(samples)
         for b in batches:
-            texts, got, a, n = strings(b.column(1)), [], 0, 0
-            for k, t in enumerate(texts):
-                n += len(t or "")
-                if n >= 4 << 20 or k == len(texts) - 1:
-                    got += model.predict(texts[a : k + 1], codes)
-                    a, n = k + 1, 0
+            known: dict = {}
+            got = []
+            for t in strings(b.column(1)):
+                if t not in known:
+                    known[t] = model.predict(t)
+                got.append(known[t])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, lang_pred string, score double")
