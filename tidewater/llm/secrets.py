@@ -2,12 +2,14 @@
 
 Base spans come from three patterns (assignments, access keys, long hexadecimal strings). Besides, strings of
 20 or more letters and figures with mixed cases and high entropy are candidates. Every candidate's hash is
-counted over the whole corpus: in how many repositories, and with how many owners, does it stand?
-``EXAMPLE_OWNERS`` owners or more: a widely copied example; fewer: it looks live (a key may be used again in a second
-place). Live mixed-case candidates become spans of kind ``mixed``; base spans stay whatever the count says.
+counted over the whole corpus: in how many repositories, and with how many owners, does it stand? A widely copied
+example has ``EXAMPLE_OWNERS`` owners or more, or two owners and ``EXAMPLE_REPOSITORIES`` repositories or more; any other
+looks live, as an owner may use a key in all repositories and share it with a second one. Live mixed-case candidates
+become spans of kind ``mixed``; base spans stay whatever the count says.
 
 Counting goes by (hash, owner, repository) first, so a candidate that stands in a third of all rows is added up
-where it is read. In ``documents`` the owner is the source, and the repository the source's part in a language.
+where it is read. The counts come back to the rows by a join; of candidates that are more than one in ``HOT`` of all
+(of which there are fewer than that) the counts are broadcast, so their rows are not brought together. In ``documents`` the owner is the source, and the repository the source's part in a language.
 
 Cases: null and empty texts have no spans; null owners are one owner; repeated rows each get their row and are
 one repository's; an empty table gives an empty result; extra columns are ignored.
@@ -34,6 +36,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # what [0-9a-f]+ finds with 24 characters or
 KINDS = ("assign", "access", "hex", "mixed")
 MIXED = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 6
+HOT = 1000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
@@ -85,19 +89,28 @@ def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """hash, repositories, owners of each candidate (hash, owner, repository; one row for each time it occurs)."""
+    """hash, repositories, owners, times of each candidate (hash, owner, repository; one row for each time it occurs)."""
     none = F.lit("\x00")
-    seen = candidates.groupBy("hash", F.coalesce("owner", none).alias("owner"), F.coalesce("repository", none).alias("repository")).agg(F.lit(1).alias("one"))
-    owners = seen.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    return owners.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+    seen = candidates.groupBy("hash", F.coalesce("owner", none).alias("owner"), F.coalesce("repository", none).alias("repository")).agg(F.count(F.lit(1)).alias("times"))
+    owners = seen.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("times").alias("times"))
+    return owners.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"), F.sum("times").alias("times"))
+
+
+def live(found: Column) -> Column:
+    """Whether a candidate (repositories, owners) looks live."""
+    return (found["owners"] < EXAMPLE_OWNERS) & ~((found["owners"] == 2) & (found["repositories"] >= EXAMPLE_REPOSITORIES))
 
 
 def secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
-    """row, doc_id, text_hash, and ``found``: each row's candidates (start, kind, end, from, upto, repositories, owners) in order of start and kind."""
+    """row, doc_id, text_hash, and ``found``: each row's candidates (start, kind, end, from, upto, repositories, owners, live) in order of start and kind."""
     rows = scan(docs, F.col("source") if owner is None else owner, F.concat_ws("/", "source", "lang") if repository is None else repository)
     each = rows.select("row", "owner", "repository", F.explode(F.arrays_zip("start", "kind", "end", "hash", "from", "upto")).alias("c")).select("row", "owner", "repository", "c.*")
-    owned = each.join(ownership(each), "hash")
-    found = owned.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "from", "upto", "repositories", "owners"))).alias("found"))
+    counts = table(ownership(each), "ownership")
+    total = counts.agg(F.sum("times")).first()[0] or 0  # one value
+    hot = F.broadcast(counts.where(F.col("times") * HOT > total))  # fewer than HOT rows
+    owned = each.join(hot, "hash").unionByName(each.join(hot, "hash", "left_anti").join(counts, "hash"))
+    one = F.struct("start", "kind", "end", "from", "upto", "repositories", "owners", live({"owners": F.col("owners"), "repositories": F.col("repositories")}).alias("live"))
+    found = owned.groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("found"))
     return rows.select("row", "doc_id", "text_hash").join(found, "row", "left")
 
 
@@ -105,10 +118,10 @@ def _digest(b: pa.RecordBatch):
     out = []
     for found in b.column(1).to_pylist():
         base = [x for x in found or [] if x["kind"] < 3]
-        spans = [x for x in found or [] if x["kind"] < 3 or x["owners"] < EXAMPLE_OWNERS]
+        spans = [x for x in found or [] if x["kind"] < 3 or x["live"]]
         join = lambda xs: ",".join(f"{KINDS[x['kind']]}:{x['start']}:{x['end']}" for x in xs)
         n = Counter(x["kind"] for x in base)
-        out.append((n[0], n[1], n[2], hashlib.sha256(join(base).encode()).hexdigest(), join(spans), sum(x["owners"] < EXAMPLE_OWNERS for x in spans), sum(x["owners"] >= EXAMPLE_OWNERS for x in spans)))
+        out.append((n[0], n[1], n[2], hashlib.sha256(join(base).encode()).hexdigest(), join(spans), sum(x["live"] for x in spans), sum(not x["live"] for x in spans)))
     return out
 
 
@@ -124,8 +137,8 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret that has fewer than ``EXAMPLE_OWNERS`` owners replaced by ``mark`` (n_chars follows)."""
-    live = secrets(docs).select(F.col("doc_id").alias("_tidewater_id"), F.col("text_hash").alias("_tidewater_hash"), F.filter("found", lambda x: x["owners"] < EXAMPLE_OWNERS).alias("_tidewater_live"))
+    """``docs`` with every secret that looks live replaced by ``mark`` (n_chars follows)."""
+    live = secrets(docs).select(F.col("doc_id").alias("_tidewater_id"), F.col("text_hash").alias("_tidewater_hash"), F.filter("found", lambda x: x["live"]).alias("_tidewater_live"))
     live = live.where(F.size("_tidewater_live") > 0).groupBy("_tidewater_id", "_tidewater_hash").agg(F.max("_tidewater_live").alias("_tidewater_live"))  # repeated rows have the same spans
 
     def cut(batches):
