@@ -10,7 +10,8 @@ components are found by distributed star steps.
 
 Cases: null, empty and blank texts have fingerprint zero, linked like any other; rows without doc_id keep a
 null doc_id and link as others, their component_id is null if nothing reachable has an id; repeated rows stay;
-an empty table gives an empty result; extra columns are ignored.
+an empty table gives an empty result; extra columns are ignored. The stage tells rows apart by doc_id and text:
+different texts of one doc_id are texts of their own, of repeated rows one stays, rows without doc_id come last.
 
 The pipeline's stage (``one_of_each``) has settings of its own: texts are near copies if the Jaccard similarity of
 their sets of five-word shingles is ``SIMILAR`` = 0.8 or more. Texts with equal sets fall together. Tiles are the
@@ -39,8 +40,9 @@ RADIUS = 3
 #: Widths of the five blocks, from the lowest bit; two of them agree if three bits differ.
 BLOCKS = (13, 13, 13, 13, 12)
 HOT = 4096
-#: Node numbers from here on stand for fingerprints no row of which has a doc_id.
+#: Node numbers from here on may stand for fingerprints no row of which has a doc_id.
 NO_ID = 1 << 62
+LAST = (1 << 63) - 1
 #: The stage's shingles, its least similarity (a fraction), its tiles and the bits that its fingerprints may differ by.
 NGRAM = 5
 SIMILAR = (4, 5)
@@ -215,10 +217,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n = shards(docs)
     of = table(fingerprints(docs), "fingerprints")
     node = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(1 << 61)))
-    reps = table(of.groupBy("fp").agg(node.alias("node")), "classes")
+    reps = table(of.groupBy("fp").agg(node.alias("node"), F.min("doc_id").alias("least")), "classes")
     labels = components(linked(reps, n))
-    classes = reps.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("label"))
-    return of.join(classes, "fp").select("doc_id", "fp", F.when(F.col("label") < NO_ID, F.col("label")).alias("component_id"))
+    classes = reps.join(labels, "node", "left").select("fp", "least", F.coalesce("label", "node").alias("label"))
+    if reps.where("least is null").isEmpty():
+        classes = classes.select("fp", F.col("label").alias("component_id"))
+    else:  # a label may stand for no doc_id
+        ids = classes.groupBy("label").agg(F.min("least").alias("component_id"))
+        classes = classes.join(ids, "label").select("fp", "component_id")
+    return of.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def shingles(text: str | None, ngram: int = NGRAM, seed: int = 42) -> np.ndarray:
@@ -250,7 +257,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """node (doc_id), class (equal sets of shingles have one), fp, tiles and set of each row of ``docs`` (doc_id not null)."""
+    """node (doc_id), key (a hash of the text), class (equal sets of shingles have one), fp, tiles and set of each row of ``docs``."""
 
     def make(batches):
         for b in batches:
@@ -267,9 +274,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 out.append(got)
             cols = list(zip(*out, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["node", "class", "fp", "tiles", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["node", "key", "class", "fp", "tiles", "set"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), make, "node long, class long, fp long, tiles array<long>, set binary")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("node"), "text", F.xxhash64("text").alias("key"))
+    return map_arrow(rows, make, "node long, key long, class long, fp long, tiles array<long>, set binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -293,8 +301,9 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def without_near_copies(of: DataFrame) -> DataFrame:
-    """node, class of the classes in ``of`` (a table of :func:`sketches` with ``row``) that stay."""
-    reps = table(of.groupBy("class").agg(F.min("node").alias("node"), F.min("row").alias("row"), F.first("fp").alias("fp")), "classes")
+    """node, key, class of the classes in ``of`` (a table of :func:`sketches` with ``row``) that stay, each by its first row."""
+    first = of.groupBy("class").agg(F.min(F.struct("node", "key", "row")).alias("r"), F.first("fp").alias("fp"))
+    reps = table(first.select("class", "r.*", "fp"), "classes")
     me, it = F.struct("node", "class"), F.struct("p.node", "p.class")
     least = of.select("row", F.explode("tiles").alias("tile")).join(reps, "row").select("tile", "node", "class", "fp")
     now = table(least, "tiles")
@@ -327,17 +336,21 @@ def without_near_copies(of: DataFrame) -> DataFrame:
         drop(now, pairs, sets, pivots)
         now, k = new, max(1, 2 * k)
     drop(now)
-    out = reps.select("node", "class")
+    out = reps.select("node", "key", "class")
     for less in gone:
         out = out.join(less, "class", "left_anti")
     return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near copies of a smaller doc_id, once each; rows without doc_id stay."""
-    of = table(sketches(docs.where("doc_id is not null")).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    kept = without_near_copies(of).select(F.col("node").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` without near copies of a smaller doc_id, once each."""
+    of = table(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    kept = without_near_copies(of).select(F.col("node").alias("_tidewater_id"), F.col("key").alias("_tidewater_key"))
+    mine = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("_tidewater_id")) & (F.xxhash64(docs["text"]) == F.col("_tidewater_key"))
+    out = docs.join(kept, mine, "left_semi")
+    if of.groupBy("node", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return out
+    return out.withColumn("_tidewater_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_tidewater_key"]).select(docs.columns)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
