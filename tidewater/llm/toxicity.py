@@ -2,8 +2,9 @@
 
 Restoration: a chunk that mixes letters with figures or marks, repeats a letter three times or more, or is
 spelt out with single letters becomes a lattice (each figure or mark may stand for letters, marks and spaces
-between letters may be dropped, runs may shrink to one or two letters), and Viterbi search under a character
-trigram model finds the likeliest word. The model's counts are four-letter windows of the whole corpus.
+between letters may be dropped or part words, runs may shrink to one or two letters), and Viterbi search under a
+character trigram model finds the likeliest words, which stand in the text in its place. The model's counts are
+four-letter windows of the whole corpus.
 
 Score: a logistic regression on the rates of words and of words' beginnings and ends. It is fitted on a bounded
 sample: about ``SAMPLE`` training rows of each label, each different text once. Features that ``MIN_SHARE`` of
@@ -12,7 +13,8 @@ apart best are fitted.
 
 Cases: null and empty texts get the score of a text without features; label rows that are null, or of no
 document, teach nothing, of repeated labels the largest counts; repeated documents each get their row; if the
-training rows don't have both labels all scores are about 0; extra columns are ignored.
+training rows don't have both labels all scores are about 0; extra columns are ignored. A chunk of any length is restored
+in time proportional to it.
 """
 
 from __future__ import annotations
@@ -110,25 +112,39 @@ class Restorer:
             elif c in STANDS_FOR:
                 out.append([(x, -1.0) for x in STANDS_FOR[c]] + [("", -8.0)] + [(x + x, -2.0) for x in STANDS_FOR[c] if n > 1])
             else:
-                out.append([("", -0.3)])
+                out.append([("", -0.3), (" ", -0.7)])
         return out
 
     def restore(self, chunk: str) -> str:
         fold, p = _fold(), self.p
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        done: list[str] = []  # what all ways to go on have in common
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # the way back: (text, the way before)
         for place in self.options(chunk):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, word) in best.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, way) in best.items():
                 for text, cost in place:
                     x, y, s = a, b, score + cost
                     for c in text:
                         z = int(fold[ord(c)])
                         s += p[x][y][z]
-                        x, y = y, z
+                        x, y = (0, 0) if z == 0 else (y, z)
                     if (x, y) not in new or new[x, y][0] < s:
-                        new[x, y] = (s, word + text)
+                        new[x, y] = (s, (text, way) if text else way)
             best = new
-        return max(((s + p[a][b][0], w) for (a, b), (s, w) in best.items()), default=(0.0, ""))[1]
+            if len(best) == 1:
+                ((state, (score, way)),) = best.items()
+                done += _back(way)
+                best = {state: (score, None)}
+        way = max(((s + p[a][b][0], k) for k, ((a, b), (s, _)) in enumerate(best.items())), default=(0.0, -1))[1]
+        return "".join(done + (_back(list(best.values())[way][1]) if best else []))
+
+
+def _back(way: tuple | None) -> list[str]:
+    out = []
+    while way:
+        out.append(way[0])
+        way = way[1]
+    return out[::-1]
 
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -163,13 +179,10 @@ def features(word: str) -> list[bytes]:
 
 
 def chunk_words(chunk: str, restorer: Restorer) -> list[str]:
-    """The words of a lower-case chunk, and the restored word if it looks disguised."""
+    """The words of a lower-case chunk, those of its restored form if it looks disguised."""
     if chunk.isalpha() and not _RUN.search(chunk):
         return [chunk]
-    out = _WORD.findall(chunk)
-    if disguised(chunk):
-        out += _WORD.findall(restorer.restore(chunk))
-    return out
+    return _WORD.findall(restorer.restore(chunk) if disguised(chunk) else chunk)
 
 
 def chunks(text: str | None) -> Iterator[str]:
@@ -294,8 +307,8 @@ def train(docs: DataFrame, labels: DataFrame, letters: np.ndarray) -> tuple[np.n
     return codes, fit(row, col.astype(np.int64), strength(times, got["size"].to_numpy(float)[row]), y, np.ones(len(y)), len(best))
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score of each row of ``docs``; learnt from the training rows' ``labels`` (doc_id, toxic)."""
+def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``: each row's score; learnt from the training rows' ``labels`` (doc_id, toxic)."""
     letters = log_model(letter_counts(docs))
     codes, w = train(docs, labels, letters)
 
@@ -303,19 +316,23 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         of = _Found(codes, letters)
         for b in batches:
             z = []
-            for t in strings(b.column(1)):
+            for t in strings(b.column(b.schema.get_field_index("text"))):
                 at, times, size = of.of(t)
                 z.append(w[-1] + float(w[at] @ strength(times, size)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -30, 30))))], names=["doc_id", "score"])
+            yield b.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -30, 30)))))
 
-    out = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), score, "doc_id long, score double")
+    return map_arrow(docs, score, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double")
+
+
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score of each row of ``docs``."""
+    out = scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), labels)
     return out.select("doc_id", (~is_train(F.col("doc_id"))).alias("held_out"), "score")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold; rows without doc_id stay (nothing tells them apart)."""
-    bad = scores(docs, labels).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that score below the threshold, each by its own text."""
+    return scored(docs, labels, "_tidewater_score").where(F.col("_tidewater_score") < THRESHOLD).select(docs.columns)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
