@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables, and their edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -303,8 +304,25 @@ def test_simhash_odd_rows(spark):
     df = odd(spark)
     assert simhash.near_duplicates(df).count() == df.count()
     kept = simhash.one_of_each(df)
-    assert kept.columns == df.columns and kept.where("doc_id is not null").select("doc_id").distinct().count() == kept.where("doc_id is not null").count()
-    assert simhash.near_duplicates(empty(spark)).count() == 0
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == df.columns and len(rows) == len(set(rows))
+    assert (0, "other text") in rows and (None, "some text here") in rows and sum(not (t or "").split() for _, t in rows) == 1  # of texts without words one stays
+    assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.one_of_each(empty(spark)).count() == 0
+
+
+def test_stage_tells_rows_apart_by_id_and_text(spark):
+    r = random.Random(22)
+    a, b = words(r, 50, 5000), words(r, 50, 5000)
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "de", "t", 2), (2, b, "en", "s", 1), (None, a, "en", "s", 1), (None, "quite other words", "en", "s", 1)]
+    got = [(x.doc_id, x.text) for x in simhash.one_of_each(table(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, "quite other words")], key=str)
+
+
+def test_simhash_large_and_missing_ids(spark):
+    big = (1 << 62) + 5
+    rows = [(big, "one two three four", "", "", 1), (big + 1, "one two three four", "", "", 1), (None, "one two three four", "", "", 1), (None, "a b c d e", "", "", 1), (-7, "x y z w", "", "", 1)]
+    got = {(x.doc_id, x.component_id) for x in simhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == {(big, big), (big + 1, big), (None, big), (None, None), (-7, -7)}
 
 
 def plain_shingles(t):
@@ -422,6 +440,26 @@ def test_secrets_of_two_owners_are_live(spark, tmp_path):
     assert all(got[n].spans == "mixed:4:24" for n in range(2)) and all((got[k].n_live, got[k].n_example) == ((1, 0) if k < 100 else (0, 1)) for k in got)
 
 
+def test_secrets_of_two_owners_in_many_repositories_are_examples(spark):
+    mixed = "aB3dE5gH7jK9mN1pQ2rS"
+    rows = [(10 * k + n, f"key {mixed}", f"l{k}", f"s{n}", 1) for k in range(3) for n in range(2)] + [(100 + k, "key zY8xW6vU4tS2rQ1pO9nM", f"l{k}", "s0", 1) for k in range(9)]
+    got = {r.doc_id: r.found[0] for r in secrets.secrets(table(spark, rows)).collect()}
+    assert all((got[k].owners, got[k].repositories, got[k].live) == ((2, 6, False) if k < 100 else (1, 9, True)) for k in got) and len(got) == 15
+
+
+def test_ownership_by_sql(spark):
+    import duckdb
+
+    r = random.Random(24)
+    rows = [(r.randrange(6), r.choice(["a", "b", "c", None]), r.choice(["x", "y", None])) for _ in range(300)]
+    got = {tuple(x) for x in secrets.ownership(spark.createDataFrame(rows, "hash long, owner string, repository string")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE c (hash BIGINT, owner VARCHAR, repository VARCHAR)")
+    con.executemany("INSERT INTO c VALUES (?, ?, ?)", rows)
+    sql = "WITH d AS (SELECT DISTINCT hash, coalesce(owner, '-') AS o, coalesce(repository, '-') AS p FROM c) SELECT hash, count(*), count(DISTINCT o), (SELECT count(*) FROM c WHERE c.hash = d.hash) FROM d GROUP BY hash"
+    assert got == set(con.execute(sql).fetchall())
+
+
 # -- 7, 8 tokens ------------------------------------------------------------------------------------
 
 
@@ -542,9 +580,50 @@ def test_restoring():
     fix = toxicity.Restorer(toxicity.log_model(grams)).restore
     for bad, good in {"1d10t": "idiot", "l0s3r": "loser", "i.d.i.o.t": "idiot", "stuuuupid": "stupid", "m 0 r 0 n": "moron", "$tup1d": "stupid", "p4th3t1c": "pathetic"}.items():
         assert fix(bad) == good
+    assert fix("idiot,you") in ("idiot you", "idiotyou") and fix("1d10t-l0s3r") == "idiot loser" and fix("") == ""
     assert toxicity.spelt_out("you i d i o t there") == ["i d i o t"] and not toxicity.disguised("idiot,") and toxicity.disguised("1d10t") and toxicity.disguised("i-d-i-o-t")
 
 
+def every_reading(chunk, model):
+    """All ways through the lattice with their scores, by enumeration."""
+    fold, out = toxicity._fold(), {}
+    for way in itertools.product(*toxicity.Restorer.options(chunk)):
+        a = b = 0
+        total = 0.0
+        for text, cost in way:
+            total += cost
+            for c in text:
+                z = int(fold[ord(c)])
+                total += model[a, b, z]
+                a, b = (0, 0) if z == 0 else (b, z)
+        text = "".join(x for x, _ in way)
+        out[text] = max(out.get(text, -1e9), total + model[a, b, 0])
+    return out
+
+
+def test_restoring_finds_the_likeliest_reading():
+    r = random.Random(23)
+    model = toxicity.log_model(np.random.default_rng(0).integers(0, 40, 28**3).astype(float))
+    fix = toxicity.Restorer(model).restore
+    for _ in range(150):
+        chunk = "".join(r.choice("abé01$|.- ") * r.choice([1, 1, 2, 3]) for _ in range(r.randrange(1, 6)))
+        ways = every_reading(chunk, model)
+        assert abs(ways[fix(chunk)] - max(ways.values())) < 1e-9
+
+
+def test_restoring_takes_linear_time():
+    model = toxicity.log_model(np.ones(28**3))
+    fix = toxicity.Restorer(model).restore
+
+    def took(chunk):
+        begin = time.perf_counter()
+        fix(chunk)
+        return time.perf_counter() - begin
+
+    for unit in ("a1b$", "|1", "x."):
+        assert took(unit * 20_000) < 0.1 + 15 * took(unit * 4000)
+
+
 def test_toxicity_scores(spark):
     r = random.Random(12)
     bad = ["blorgu", "vexnat", "krazzel"]

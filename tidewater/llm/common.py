@@ -34,9 +34,11 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or one of our own where it is unset (tests, local mode)."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session; where it is unset one of our own in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = _OWN.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='tidewater-')}")
     return found.rstrip("/")
 
@@ -99,7 +101,10 @@ def parts(n: int) -> int:
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
-    """mapInArrow, with batches cut into ``rows`` rows or about ``PIECE_BYTES`` (0: as they come), so that few whole texts are Python objects at a time."""
+    """mapInArrow, with batches cut into ``rows`` rows or about ``PIECE_BYTES`` (0: as they come), so that few whole texts are Python objects at a time.
+
+    Spark takes the size of its own batches from the session when the query runs, so a larger ``maxRecordsPerBatch`` of the session
+    is lowered to ``BATCH_ROWS`` and stays so."""
 
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:

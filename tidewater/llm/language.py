@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import map_arrow, read, strings
 
 #: Labelled rows that are learnt from: in all, and of a language.
-SAMPLE_DOCS, MOST_DOCS = 256, 64
+SAMPLE_DOCS, MOST_DOCS = 256, 32
 #: Rows of more characters are drawn only where a language lacks shorter ones.
-LONG = 8000
+LONG = 2500
 _OTHER = re.compile(r"[\W\d_]+")
 
 
