@@ -201,12 +201,15 @@ def sma20(s, d):
 
 
 @query(f"""WITH RECURSIVE {CANDLES_SQL}, n AS MATERIALIZED (SELECT token, tf, window_start, close_paise, row_number() OVER w AS k, close_paise - lag(close_paise) OVER w AS ch FROM candles WINDOW w AS (PARTITION BY token, tf ORDER BY window_start)),
-r AS (SELECT token, tf, window_start, k, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v FROM n WHERE k = 1
-  UNION ALL SELECT n.token, n.tf, n.window_start, n.k, CASE WHEN n.k <= 15 THEN r.u + greatest(n.ch, 0) / 14.0::DOUBLE ELSE (r.u * 13 + greatest(n.ch, 0)) / 14 END, CASE WHEN n.k <= 15 THEN r.v + greatest(-n.ch, 0) / 14.0::DOUBLE ELSE (r.v * 13 + greatest(-n.ch, 0)) / 14 END
+r AS (SELECT token, tf, window_start, k, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v, NULL::DOUBLE AS pu, NULL::DOUBLE AS pv FROM n WHERE k = 1
+  UNION ALL SELECT n.token, n.tf, n.window_start, n.k, CASE WHEN n.k <= 15 THEN r.u + greatest(n.ch, 0) / 14.0::DOUBLE ELSE (r.u * 13 + greatest(n.ch, 0)) / 14 END, CASE WHEN n.k <= 15 THEN r.v + greatest(-n.ch, 0) / 14.0::DOUBLE ELSE (r.v * 13 + greatest(-n.ch, 0)) / 14 END,
+    CASE WHEN n.k < 15 THEN NULL WHEN n.k = 15 THEN r.u + greatest(n.ch + 100, 0) / 14.0::DOUBLE ELSE (r.u * 13 + greatest(n.ch + 100, 0)) / 14 END, CASE WHEN n.k < 15 THEN NULL WHEN n.k = 15 THEN r.v + greatest(-n.ch - 100, 0) / 14.0::DOUBLE ELSE (r.v * 13 + greatest(-n.ch - 100, 0)) / 14 END
   FROM r JOIN n ON n.token = r.token AND n.tf = r.tf AND n.k = r.k + 1)
-SELECT token, tf, window_start, round(CASE WHEN k < 15 THEN NULL WHEN v = 0 THEN 100 ELSE 100 - 100 / (1 + u / v) END, 4) AS rsi FROM r""")
+SELECT token, tf, window_start, round(CASE WHEN k < 15 THEN NULL WHEN v = 0 THEN 100 ELSE 100 - 100 / (1 + u / v) END, 4) AS rsi, round(CASE WHEN pv = 0 THEN 100 ELSE 100 - 100 / (1 + pu / pv) END, 4) AS preview FROM r""")
 def rsi14(s, d):
-    return indicators.rsi(_candles(s, d)).select("token", "tf", "window_start", F.round("rsi", 4).alias("rsi"))
+    c = _candles(s, d).select("token", "tf", "window_start", "close_paise")
+    x = indicators.rsi(c, forming=F.col("close_paise") + 100)
+    return x.select("token", "tf", "window_start", F.round("rsi", 4).alias("rsi"), F.round("rsi_preview", 4).alias("preview"))
 
 
 @query(f"""WITH {CANDLES_SQL}, x AS (SELECT token, tf, window_start, list(close_paise) OVER (PARTITION BY token, tf ORDER BY window_start ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS l FROM candles)
@@ -228,7 +231,7 @@ def narrowest_range_setups(s, d):
 @query()
 def breakout_signals(s, d):
     t = tick_view(s, d)
-    return indicators.breakouts(indicators.narrowest(candles.candles(t)), candles.accepted_trades(t))
+    return indicators.breakouts(candles.candles(t), candles.accepted_trades(t))
 
 
 @query(f"""WITH {_SETUPS}, h AS (SELECT token, tf, window_start, md5('n7|' || token || '|' || tf || '|' || window_start || '|BUY') AS h FROM setups)
@@ -373,14 +376,42 @@ def interpolation(s, d):
     return joins.interpolated(grid, v, "token", "at", "price").withColumn("price", F.round("price", 6))
 
 
-@query("""WITH b AS (SELECT o_custkey AS k, min(o_orderkey) AS i, min(o_orderkey) <> max(o_orderkey) AS many FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1), c AS (SELECT o_orderkey % 1000 AS k, min(o_orderkey) AS i, min(o_orderkey) <> max(o_orderkey) AS many FROM orders GROUP BY 1),
-x AS (SELECT c_custkey AS report_id, b.i AS bi, coalesce(b.many, false) AS bm, c.i AS ci, coalesce(c.many, false) AS cm FROM customer LEFT JOIN b ON b.k = c_custkey LEFT JOIN c ON c.k = c_custkey),
-y AS (SELECT *, CASE WHEN bi <> ci AND bi IS NOT NULL AND ci IS NOT NULL OR bm OR bi IS NULL AND cm THEN 'AMBIGUOUS' WHEN coalesce(bi, ci) IS NULL THEN 'NO_MATCH' ELSE 'CORRELATED' END AS correlation FROM x) SELECT report_id, CASE WHEN correlation = 'CORRELATED' THEN coalesce(bi, ci) END AS instruction_id, correlation FROM y""")
+_ATTEMPTS = """att AS (SELECT o_orderkey AS i, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 400 END AS b, o_orderkey % 700 AS c, o_orderkey % 900 AS a FROM orders),
+  rec AS (SELECT i % 4 AS acc, i % 600 AS b, i FROM att WHERE i % 5 = 0),
+  rep AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber % 4 AS acc, CASE WHEN l_linenumber <> 3 THEN l_partkey % 900 END AS b, CASE WHEN l_linenumber % 2 = 1 THEN l_suppkey % 1000 END AS c FROM lineitem),
+  ab AS (SELECT b, min(i) AS i, min(i) <> max(i) AS m FROM att WHERE b IS NOT NULL GROUP BY b), ac AS (SELECT c, min(i) AS i, min(i) <> max(i) AS m FROM att GROUP BY c),
+  ar AS (SELECT acc, b, min(i) AS i, min(i) <> max(i) AS m FROM rec GROUP BY acc, b), aa AS (SELECT a, min(i) AS i, min(i) <> max(i) AS m FROM att GROUP BY a)"""
+
+
+def _attempts(s, d):
+    k = F.col("o_orderkey")
+    return read(s, d, "orders").select(k.alias("instruction_id"), F.when(k % 3 != 0, k % 400).alias("broker_order_id"), (k % 700).alias("client_ref"), (k % 900).alias("attempt_id"))
+
+
+def _reports(s, d):
+    n = F.col("l_linenumber")
+    return read(s, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + n).alias("report_id"), (n % 4).cast("long").alias("account"), F.when(n != 3, F.col("l_partkey") % 900).alias("broker_order_id"),
+        F.when(n % 2 == 1, F.col("l_suppkey") % 1000).alias("client_ref"), (F.col("l_partkey") % 1100).alias("attempt_id"),
+    )
+
+
+@query(f"""WITH {_ATTEMPTS}, x AS (SELECT rep.id, rep.b, rep.c, CASE WHEN rep.b IS NOT NULL THEN coalesce(ab.i, ar.i) ELSE ac.i END AS i, CASE WHEN rep.b IS NULL THEN ac.m WHEN ab.i IS NOT NULL THEN ab.m ELSE ar.m END AS m,
+  rep.b IS NOT NULL AND ac.i IS NOT NULL AND (ac.m OR ac.i <> coalesce(ab.i, ar.i)) AS o FROM rep LEFT JOIN ab ON ab.b = rep.b LEFT JOIN ac ON ac.c = rep.c LEFT JOIN ar ON ar.acc = rep.acc AND ar.b = rep.b),
+y AS (SELECT id, i, CASE WHEN b IS NULL AND c IS NULL THEN 'MISSING_BROKER_ID' WHEN i IS NULL THEN 'NO_MATCHING_INSTRUCTION' WHEN m OR o THEN 'AMBIGUOUS_CORRELATION' ELSE 'CORRELATED' END AS w FROM x)
+SELECT id AS report_id, CASE WHEN w = 'CORRELATED' THEN i END AS instruction_id, w AS correlation FROM y""")
 def correlation(s, d):
-    o = read(s, d, "orders")
-    attempts = o.select(F.col("o_orderkey").alias("instruction_id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("broker_order_id"), (F.col("o_orderkey") % 1000).alias("client_ref"))
-    reports = read(s, d, "customer").select(F.col("c_custkey").alias("report_id"), F.col("c_custkey").alias("broker_order_id"), F.col("c_custkey").alias("client_ref"))
-    return joins.correlated(reports, attempts)
+    k = F.col("instruction_id")
+    approved = _attempts(s, d).where(k % 5 == 0).select((k % 4).alias("account"), (k % 600).alias("broker_order_id"), "instruction_id")
+    return joins.correlated(_reports(s, d).drop("attempt_id"), _attempts(s, d).drop("attempt_id"), approved)
+
+
+@query(f"""WITH {_ATTEMPTS}, x AS (SELECT rep.id, aa.i AS ai, ab.i AS bi, ac.i AS ci, coalesce(aa.m, false) OR coalesce(ab.m, false) OR coalesce(ac.m, false) AS m FROM (SELECT rep.*, l_partkey % 1100 AS a FROM rep JOIN lineitem ON l_orderkey * 10 + l_linenumber = id) rep
+  LEFT JOIN aa ON aa.a = rep.a LEFT JOIN ab ON ab.b = rep.b LEFT JOIN ac ON ac.c = rep.c),
+y AS (SELECT id, least(ai, bi, ci) AS i, CASE WHEN coalesce(ai, bi, ci) IS NULL THEN 'MISSING' WHEN m OR least(ai, bi, ci) <> greatest(ai, bi, ci) THEN 'AMBIGUOUS' ELSE 'CORRELATED' END AS w FROM x)
+SELECT id AS report_id, CASE WHEN w = 'CORRELATED' THEN i END AS instruction_id, w AS resolution FROM y""")
+def three_key_resolution(s, d):
+    return joins.resolved(_reports(s, d).drop("account"), _attempts(s, d))
 
 
 @query("SELECT p_partkey AS token, row_number() OVER (ORDER BY p_partkey) - 1 AS place, 'slot-' || ((row_number() OVER (ORDER BY p_partkey) - 1) // 100) AS slot FROM part WHERE p_partkey > 0")
@@ -388,13 +419,16 @@ def slot_assignment(s, d):
     return joins.slots(read(s, d, "part").select(F.col("p_partkey").alias("token")), 100)
 
 
-@query("""WITH sl AS (SELECT p_partkey AS token, 'slot-' || ((row_number() OVER (ORDER BY p_partkey) - 1) // 100) AS slot FROM part WHERE p_partkey > 0), st AS (SELECT 'slot-' || i AS slot, i % 2 = 0 AS unsafe, i AS e FROM range(50) r(i)),
-x AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS token, l_linenumber % 2 = 0 AS inflight, (l_orderkey % 12)::BIGINT AS epoch FROM lineitem)
-SELECT id, x.token, CASE WHEN sl.slot IS NULL THEN 'SUPPRESS_NEW' WHEN NOT coalesce(unsafe, false) THEN 'ALLOW' WHEN inflight AND epoch < e THEN 'DISCARD_INFLIGHT' WHEN inflight THEN 'ALLOW' ELSE 'SUPPRESS_NEW' END AS verdict FROM x LEFT JOIN sl ON sl.token = x.token LEFT JOIN st ON st.slot = sl.slot""")
+@query("""WITH sl AS (SELECT p_partkey AS token, 'slot-' || ((row_number() OVER (ORDER BY p_partkey) - 1) // 20) AS slot FROM part WHERE p_partkey > 0 AND p_partkey % 10 <> 3),
+st AS (SELECT 'slot-' || i AS slot, CASE WHEN i % 3 = 1 THEN 'UNSAFE' ELSE 'RECOVERED' END AS status, (i % 11)::BIGINT AS e FROM range(200) r(i) WHERE i % 3 <> 0),
+x AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS token, CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS published, (l_orderkey % 12)::BIGINT AS epoch FROM lineitem)
+SELECT id, x.token, CASE WHEN sl.slot IS NULL OR st.slot IS NULL THEN 'ALLOW' WHEN status = 'UNSAFE' OR epoch < e THEN CASE WHEN published IS NULL THEN 'SUPPRESS_NEW' WHEN published THEN 'ALLOW' ELSE 'DISCARD_INFLIGHT' END ELSE 'ALLOW' END AS verdict
+FROM x LEFT JOIN sl ON sl.token = x.token LEFT JOIN st ON st.slot = sl.slot""")
 def suppression(s, d):
-    slot_of = joins.slots(read(s, d, "part").select(F.col("p_partkey").alias("token")), 100)
-    state = s.range(50).select(F.concat(F.lit("slot-"), F.col("id").cast("string")).alias("slot"), (F.col("id") % 2 == 0).alias("unsafe"), F.col("id").alias("epoch"))
-    x = read(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("token"), (F.col("l_linenumber") % 2 == 0).alias("inflight"), (F.col("l_orderkey") % 12).alias("epoch"))
+    slot_of = joins.slots(read(s, d, "part").where("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("token")), 20)
+    i, n = F.col("id"), F.col("l_linenumber") % 3
+    state = s.range(200).where("id % 3 <> 0").select(F.concat(F.lit("slot-"), i.cast("string")).alias("slot"), F.when(i % 3 == 1, "UNSAFE").otherwise("RECOVERED").alias("status"), (i % 11).alias("epoch"))
+    x = read(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("token"), F.when(n == 1, True).when(n == 2, False).alias("published"), (F.col("l_orderkey") % 12).alias("epoch"))
     return joins.suppression(x, slot_of, state).select("id", "token", "verdict")
 
 
@@ -412,7 +446,7 @@ def versioned_current(s, d):
 
 
 @query(f"""WITH {TICKS_SQL}, x AS (SELECT token, seq, volume_delta - 3 AS version, price_paise % 2 = 0 AS same FROM ticks), y AS (SELECT *, max(CASE WHEN version >= 0 THEN version END) OVER (PARTITION BY token ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM x)
-SELECT token, seq, CASE WHEN version < 0 THEN 'UNKNOWN' WHEN top IS NULL OR version > top THEN 'APPLIED' WHEN version < top THEN 'STALE' WHEN same THEN 'DUPLICATE' ELSE 'CONFLICT' END AS outcome FROM y""")
+SELECT token, seq, CASE WHEN version < 0 THEN 'UNKNOWN' WHEN top IS NULL OR version > top THEN 'APPLIED' WHEN version < top AND same THEN 'STALE' WHEN version < top THEN 'REGRESSION' WHEN same THEN 'DUPLICATE' ELSE 'CONFLICT' END AS outcome FROM y""")
 def version_outcomes(s, d):
     x = tick_view(s, d).withColumn("version", F.col("volume_delta") - 3)
     return joins.version_outcome(x, "token", "version", "seq", F.col("price_paise") % 2 == 0).select("token", "seq", "outcome")
@@ -434,9 +468,13 @@ def positions(s, d):
 @query()
 def order_lifecycles(s, d):
     x = read(s, d, "lineitem")
-    status = F.when(F.col("l_returnflag") == "A", "FILLED").when(F.col("l_returnflag") == "R", "PARTIALLY_FILLED").otherwise("PENDING")
+    status = F.when(F.col("l_returnflag") == "A", "FILLED").when(F.col("l_returnflag") == "R", "PARTIAL").otherwise("PENDING")
     v = F.datediff("l_shipdate", F.lit("1970-01-01")).cast("long")
-    return folds.lifecycles(x.select(F.col("l_orderkey").alias("order_id"), v.alias("version"), (v * 10 + F.col("l_linenumber")).alias("arrival"), status.alias("status"), long(50).alias("order_qty"), F.col("l_quantity").cast("long").alias("filled_qty"), F.round(F.col("l_extendedprice")).cast("long").alias("price_paise")))
+    n, qty = F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("long")
+    return folds.lifecycles(x.select(
+        (F.col("l_orderkey") % 7).alias("account"), F.col("l_orderkey").alias("order_id"), (v * 10 + n).alias("arrival"), v.alias("version"), (v * 10 + n % 2).alias("event_id"), status.alias("status"),
+        (n * 50).alias("cumulative_qty"), (qty % 40).alias("pending_qty"), qty.alias("fill_qty"), F.round(F.col("l_extendedprice")).cast("long").alias("price_paise"),
+    ))
 
 
 @query()
@@ -448,14 +486,15 @@ def gate_machine(s, d):
 @query()
 def fence_leases(s, d):
     e = F.col("event_type")
-    action = F.when(e == "error", "revoke").when(e == "view", "renew").otherwise("acquire")
+    action = F.when(e == "error", "revoke").when(e == "view", "renew").when(e == "signup", "halt").otherwise("acquire")
     holder = F.concat(F.lit("h"), (F.col("seq") % 3).cast("string"))
-    return folds.leases(tick_view(s, d).select(F.col("token").alias("key"), "seq", action.alias("action"), holder.alias("holder"), F.col("event_time").alias("at"), long(20_000).alias("ttl")))
+    return folds.leases(tick_view(s, d).select(F.col("token").alias("key"), "seq", action.alias("action"), holder.alias("holder"), (F.col("seq") - F.col("seq") % 9).alias("token"), F.col("event_time").alias("at"), long(20_000).alias("ttl")))
 
 
 @query()
 def safety_states(s, d):
-    return folds.safety(tick_view(s, d).select(F.col("token").alias("key"), "seq", (book.div(F.col("seq"), 50) - F.col("seq") % 3).alias("epoch"), (F.col("tick_type") == "QUOTE").alias("unsafe")))
+    status = F.when(F.col("tick_type") == "QUOTE", "UNSAFE").otherwise("RECOVERED")
+    return folds.safety(tick_view(s, d).select(F.col("token").alias("key"), "seq", (book.div(F.col("seq"), 50) - F.col("seq") % 3).alias("epoch"), status.alias("status")))
 
 
 # -- audits and metrics -----------------------------------------------------------------------------

@@ -29,11 +29,12 @@ def name_uuid(name: Column) -> Column:
 
 
 def length_join(*fields: Column) -> Column:
-    """``length:value`` of each field, joined by bars; null is ``4:null``."""
+    """``length:value`` of each field (length in UTF-16 units), joined by bars; null is ``4:null``."""
     out = []
     for f in fields:
         s = F.coalesce(f.cast("string"), F.lit("null"))
-        out.append(F.concat(F.length(s).cast("string"), F.lit(":"), s))
+        units = F.octet_length(F.encode(s, "UTF-16BE")) / 2  # characters beyond U+FFFF are two units
+        out.append(F.concat(units.cast("int").cast("string"), F.lit(":"), s))
     return F.concat_ws("|", *out)
 
 

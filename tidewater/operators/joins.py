@@ -59,16 +59,42 @@ def slices(keys: DataFrame, c: DataFrame, count: int) -> DataFrame:
     return got.groupBy("token", "tf", "newest").agg(F.sort_array(F.collect_list(F.struct("k", "close_paise"))).alias("s")).select("token", "tf", "newest", F.transform("s", lambda x: x["close_paise"]).alias("slice"))
 
 
-def correlated(reports: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Reports (report_id, broker_order_id, client_ref) with the instruction they belong to.
-
-    By broker order id first, by client reference else; ids that lead to two instructions are AMBIGUOUS, none is NO_MATCH."""
-    side = lambda key, out: attempts.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("instruction_id").alias(out), (F.min("instruction_id") != F.max("instruction_id")).alias(f"{out}_many"))
-    x = reports.join(side("broker_order_id", "_b"), "broker_order_id", "left").join(side("client_ref", "_c"), "client_ref", "left")
-    both = F.col("_b").isNotNull() & F.col("_c").isNotNull() & (F.col("_b") != F.col("_c"))
-    many = F.coalesce(F.col("_b_many"), F.lit(False)) | (F.col("_b").isNull() & F.coalesce(F.col("_c_many"), F.lit(False)))
-    state = F.when(both | many, "AMBIGUOUS").when(F.coalesce("_b", "_c").isNull(), "NO_MATCH").otherwise("CORRELATED")
-    return x.select("report_id", F.when(state == "CORRELATED", F.coalesce("_b", "_c")).alias("instruction_id"), state.alias("correlation"))
+def _one_of(attempts: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """keys, ``out`` (the instruction) and ``out``_many (whether there is more than one) of the rows with all keys."""
+    given = attempts.where(" and ".join(f"{k} is not null" for k in keys))
+    return given.groupBy(*keys).agg(F.min("instruction_id").alias(out), (F.min("instruction_id") != F.max("instruction_id")).alias(f"{out}_many"))
+
+
+def correlated(reports: DataFrame, attempts: DataFrame, reconciled: DataFrame) -> DataFrame:
+    """Reports (report_id, account, broker_order_id, client_ref) with the instruction they belong to, or why none is named.
+
+    A broker id decides: by the attempt that has it, else by an approved reconciliation (account, broker_order_id,
+    instruction_id); an echoed client reference may only contradict it. Without a broker id the client reference decides."""
+    filled = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    x = reports.withColumns({"broker_order_id": F.when(filled("broker_order_id").isNotNull(), F.col("broker_order_id")), "client_ref": F.when(filled("client_ref").isNotNull(), F.col("client_ref"))})
+    x = x.join(_one_of(attempts, ["broker_order_id"], "_b"), "broker_order_id", "left").join(_one_of(attempts, ["client_ref"], "_c"), "client_ref", "left")
+    x = x.join(_one_of(reconciled, ["account", "broker_order_id"], "_r"), ["account", "broker_order_id"], "left")
+    by_id = F.col("broker_order_id").isNotNull()
+    base = F.when(by_id, F.coalesce("_b", "_r")).otherwise(F.col("_c"))
+    many = F.when(by_id, F.coalesce("_b_many", "_r_many")).otherwise(F.col("_c_many"))
+    other = by_id & F.col("_c").isNotNull() & (F.col("_c_many") | (F.col("_c") != base))
+    word = (
+        F.when(~by_id & F.col("client_ref").isNull(), "MISSING_BROKER_ID").when(base.isNull(), "NO_MATCHING_INSTRUCTION")
+        .when(many | other, "AMBIGUOUS_CORRELATION").otherwise("CORRELATED")
+    )
+    return x.select("report_id", F.when(word == "CORRELATED", base).alias("instruction_id"), word.alias("correlation"))
+
+
+def resolved(reports: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Reports (report_id, attempt_id, broker_order_id, client_ref) by all three keys: CORRELATED if those that are known name one
+    instruction, AMBIGUOUS if they name several, MISSING if none is known."""
+    x = reports
+    for k, out in (("attempt_id", "_a"), ("broker_order_id", "_b"), ("client_ref", "_c")):
+        x = x.join(_one_of(attempts, [k], out), k, "left")
+    low, high = F.least("_a", "_b", "_c"), F.greatest("_a", "_b", "_c")
+    many = F.coalesce("_a_many", F.lit(False)) | F.coalesce("_b_many", F.lit(False)) | F.coalesce("_c_many", F.lit(False))
+    word = F.when(low.isNull(), "MISSING").when(many | (low != high), "AMBIGUOUS").otherwise("CORRELATED")
+    return x.select("report_id", F.when(word == "CORRELATED", low).alias("instruction_id"), word.alias("resolution"))
 
 
 def slots(tokens: DataFrame, limit: int, prefix: str = "slot-") -> DataFrame:
@@ -87,11 +113,14 @@ def slots(tokens: DataFrame, limit: int, prefix: str = "slot-") -> DataFrame:
 
 
 def suppression(orders: DataFrame, slot_of: DataFrame, state: DataFrame) -> DataFrame:
-    """Adds ``verdict``: an unsafe slot refuses new work and discards work of an epoch before its own; an unknown token is refused."""
-    x = orders.join(slot_of.select("token", "slot"), "token", "left").join(state.select("slot", "unsafe", F.col("epoch").alias("_e")), "slot", "left")
-    unsafe = F.coalesce("unsafe", F.lit(False))
-    v = F.when(F.col("slot").isNull(), "SUPPRESS_NEW").when(~unsafe, "ALLOW").when(F.col("inflight") & (F.col("epoch") < F.col("_e")), "DISCARD_INFLIGHT").when(F.col("inflight"), "ALLOW").otherwise("SUPPRESS_NEW")
-    return x.withColumn("verdict", v).drop("unsafe", "_e")
+    """Adds ``verdict`` to orders (token, epoch of the input, published: null for new work, else whether the decision went out).
+
+    While a token's slot (``state``: slot, status, epoch) is UNSAFE, and after it RECOVERED for input of an epoch before the
+    recovery's, new work is suppressed and what isn't published is discarded; tokens and slots that are unknown pass."""
+    x = orders.join(slot_of.select("token", "slot"), "token", "left").join(state.select("slot", "status", F.col("epoch").alias("_e")), "slot", "left")
+    held = (F.col("status") == "UNSAFE") | (F.col("epoch") < F.col("_e"))
+    v = F.when(F.col("status").isNull() | ~held | F.coalesce("published", F.lit(False)), "ALLOW").when(F.col("published").isNull(), "SUPPRESS_NEW").otherwise("DISCARD_INFLIGHT")
+    return x.withColumn("verdict", v).drop("status", "_e")
 
 
 def dedup_verdict(incoming: DataFrame, known: DataFrame) -> DataFrame:
@@ -108,10 +137,11 @@ def current(df: DataFrame, keys: list[str], version: str, arrival: str) -> DataF
 
 
 def version_outcome(df: DataFrame, key: str, version: str, order: str, same: Column) -> DataFrame:
-    """UNKNOWN, DUPLICATE, CONFLICT, STALE or APPLIED of each row against the highest version before it (``same``: equal content where versions are equal)."""
+    """UNKNOWN, APPLIED, or for equal versions DUPLICATE and CONFLICT, for older ones STALE and REGRESSION, of each row against the
+    highest version before it (``same``: whether its content is the same)."""
     top = F.max(F.when(F.col(version) >= 0, F.col(version))).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    v = F.when(F.col(version) < 0, "UNKNOWN").when(top.isNull() | (F.col(version) > top), "APPLIED").when(F.col(version) < top, "STALE").when(same, "DUPLICATE").otherwise("CONFLICT")
-    return df.withColumn("outcome", v)
+    old = F.when(F.col(version) < top, F.when(same, "STALE").otherwise("REGRESSION")).otherwise(F.when(same, "DUPLICATE").otherwise("CONFLICT"))
+    return df.withColumn("outcome", F.when(F.col(version) < 0, "UNKNOWN").when(top.isNull() | (F.col(version) > top), "APPLIED").otherwise(old))
 
 
 def immutability(df: DataFrame, key: str, content: str, order: str) -> DataFrame:

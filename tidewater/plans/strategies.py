@@ -25,7 +25,7 @@ class Strategy:
 
 def narrowest_range_breakout(ticks: DataFrame) -> DataFrame:
     c = candles.candles(ticks)
-    return indicators.breakouts(indicators.narrowest(c), candles.accepted_trades(ticks)).where("not suppressed")
+    return indicators.breakouts(c, candles.accepted_trades(ticks))
 
 
 REGISTRY: dict[str, Strategy] = {"n7-breakout": Strategy("n7-breakout", narrowest_range_breakout)}
