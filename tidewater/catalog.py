@@ -376,23 +376,26 @@ def interpolation(s, d):
     return joins.interpolated(grid, v, "token", "at", "price").withColumn("price", F.round("price", 6))
 
 
-_ATTEMPTS = """att AS (SELECT o_orderkey AS i, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 400 END AS b, o_orderkey % 700 AS c, o_orderkey % 900 AS a FROM orders),
-  rec AS (SELECT i % 4 AS acc, i % 600 AS b, i FROM att WHERE i % 5 = 0),
-  rep AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber % 4 AS acc, CASE WHEN l_linenumber <> 3 THEN l_partkey % 900 END AS b, CASE WHEN l_linenumber % 2 = 1 THEN l_suppkey % 1000 END AS c FROM lineitem),
+_ATTEMPTS = """att AS (SELECT o_orderkey AS i, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey - (o_orderkey % 50 = 0)::BIGINT END AS b, 2 * o_orderkey - 2 * (o_orderkey % 70 = 0)::BIGINT AS c, 3 * o_orderkey AS a FROM orders),
+  rec AS (SELECT i % 4 AS acc, i AS b, i FROM att WHERE i % 5 = 0),
+  rep AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_orderkey + (l_linenumber = 7)::BIGINT) % 4 AS acc, CASE WHEN l_linenumber NOT IN (3, 4) THEN l_orderkey END AS b,
+    CASE l_linenumber WHEN 1 THEN 2 * l_orderkey WHEN 3 THEN 2 * l_orderkey WHEN 5 THEN 2 * l_orderkey + 2 END AS c, CASE WHEN l_linenumber = 6 THEN 3 * l_orderkey + 3 ELSE 3 * l_orderkey + (l_linenumber = 4)::BIGINT END AS a FROM lineitem),
   ab AS (SELECT b, min(i) AS i, min(i) <> max(i) AS m FROM att WHERE b IS NOT NULL GROUP BY b), ac AS (SELECT c, min(i) AS i, min(i) <> max(i) AS m FROM att GROUP BY c),
   ar AS (SELECT acc, b, min(i) AS i, min(i) <> max(i) AS m FROM rec GROUP BY acc, b), aa AS (SELECT a, min(i) AS i, min(i) <> max(i) AS m FROM att GROUP BY a)"""
 
 
 def _attempts(s, d):
     k = F.col("o_orderkey")
-    return read(s, d, "orders").select(k.alias("instruction_id"), F.when(k % 3 != 0, k % 400).alias("broker_order_id"), (k % 700).alias("client_ref"), (k % 900).alias("attempt_id"))
+    same = lambda n: (k % n == 0).cast("long")
+    return read(s, d, "orders").select(k.alias("instruction_id"), F.when(k % 3 != 0, k - same(50)).alias("broker_order_id"), (2 * k - 2 * same(70)).alias("client_ref"), (3 * k).alias("attempt_id"))
 
 
 def _reports(s, d):
-    n = F.col("l_linenumber")
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    is_ = lambda m: (n == m).cast("long")
     return read(s, d, "lineitem").select(
-        (F.col("l_orderkey") * 10 + n).alias("report_id"), (n % 4).cast("long").alias("account"), F.when(n != 3, F.col("l_partkey") % 900).alias("broker_order_id"),
-        F.when(n % 2 == 1, F.col("l_suppkey") % 1000).alias("client_ref"), (F.col("l_partkey") % 1100).alias("attempt_id"),
+        (k * 10 + n).alias("report_id"), ((k + is_(7)) % 4).alias("account"), F.when(~n.isin(3, 4), k).alias("broker_order_id"),
+        F.when(n.isin(1, 3), 2 * k).when(n == 5, 2 * k + 2).alias("client_ref"), F.when(n == 6, 3 * k + 3).otherwise(3 * k + is_(4)).alias("attempt_id"),
     )
 
 
@@ -402,11 +405,11 @@ y AS (SELECT id, i, CASE WHEN b IS NULL AND c IS NULL THEN 'MISSING_BROKER_ID' W
 SELECT id AS report_id, CASE WHEN w = 'CORRELATED' THEN i END AS instruction_id, w AS correlation FROM y""")
 def correlation(s, d):
     k = F.col("instruction_id")
-    approved = _attempts(s, d).where(k % 5 == 0).select((k % 4).alias("account"), (k % 600).alias("broker_order_id"), "instruction_id")
+    approved = _attempts(s, d).where(k % 5 == 0).select((k % 4).alias("account"), k.alias("broker_order_id"), "instruction_id")
     return joins.correlated(_reports(s, d).drop("attempt_id"), _attempts(s, d).drop("attempt_id"), approved)
 
 
-@query(f"""WITH {_ATTEMPTS}, x AS (SELECT rep.id, aa.i AS ai, ab.i AS bi, ac.i AS ci, coalesce(aa.m, false) OR coalesce(ab.m, false) OR coalesce(ac.m, false) AS m FROM (SELECT rep.*, l_partkey % 1100 AS a FROM rep JOIN lineitem ON l_orderkey * 10 + l_linenumber = id) rep
+@query(f"""WITH {_ATTEMPTS}, x AS (SELECT rep.id, aa.i AS ai, ab.i AS bi, ac.i AS ci, coalesce(aa.m, false) OR coalesce(ab.m, false) OR coalesce(ac.m, false) AS m FROM rep
   LEFT JOIN aa ON aa.a = rep.a LEFT JOIN ab ON ab.b = rep.b LEFT JOIN ac ON ac.c = rep.c),
 y AS (SELECT id, least(ai, bi, ci) AS i, CASE WHEN coalesce(ai, bi, ci) IS NULL THEN 'MISSING' WHEN m OR least(ai, bi, ci) <> greatest(ai, bi, ci) THEN 'AMBIGUOUS' ELSE 'CORRELATED' END AS w FROM x)
 SELECT id AS report_id, CASE WHEN w = 'CORRELATED' THEN i END AS instruction_id, w AS resolution FROM y""")
