@@ -257,7 +257,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """node (doc_id), key (a hash of the text), class (equal sets of shingles have one), fp, tiles and set of each row of ``docs``."""
+    """node (doc_id), key (a hash of the text), class (equal sets of shingles have one), fp and tiles of each row of ``docs``."""
 
     def make(batches):
         for b in batches:
@@ -270,14 +270,33 @@ def sketches(docs: DataFrame) -> DataFrame:
                     for k in range(0, len(x), 1 << 16):
                         ones += np.unpackbits(x[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
                     fp = int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big", signed=True)
-                    got = known[t] = (xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63), fp, bands(x), x.tobytes())
+                    got = known[t] = (_class(x), fp, bands(x))
                 out.append(got)
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["node", "key", "class", "fp", "tiles", "set"])
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["node", "key", "class", "fp", "tiles"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("node"), "text", F.xxhash64("text").alias("key"))
-    return map_arrow(rows, make, "node long, key long, class long, fp long, tiles array<long>, set binary")
+    return map_arrow(_named(docs), make, "node long, key long, class long, fp long, tiles array<long>")
+
+
+def _class(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("node"), "text", F.xxhash64("text").alias("key"))
+
+
+def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """class, set of the rows of ``docs`` that stand for their class in ``reps`` (class, node, key)."""
+
+    def make(batches):
+        for b in batches:
+            sets = [shingles(t) for t in strings(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["class", "set"])
+
+    rows = _named(docs).join(reps.select("node", "key"), ["node", "key"], "left_semi").select("text")
+    return map_arrow(rows, make, "class long, set binary").groupBy("class").agg(F.first("set").alias("set"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -300,21 +319,20 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "x", "y"), decide, "class long").distinct()
 
 
-def without_near_copies(of: DataFrame) -> DataFrame:
-    """node, key, class of the classes in ``of`` (a table of :func:`sketches` with ``row``) that stay, each by its first row."""
-    first = of.groupBy("class").agg(F.min(F.struct("node", "key", "row")).alias("r"), F.first("fp").alias("fp"))
-    reps = table(first.select("class", "r.*", "fp"), "classes")
+def without_near_copies(of: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, key, class of the classes in ``of`` (a table of :func:`sketches` of ``docs``) that stay, each by its first row.
+
+    Only tiles with two classes or more are kept, and sets are only made of the classes in them."""
+    first = of.groupBy("class").agg(F.min(F.struct("node", "key")).alias("r"), F.first("fp").alias("fp"), F.first("tiles").alias("tiles"))
+    reps = table(first.select("class", "r.*", "fp", "tiles"), "classes")
     me, it = F.struct("node", "class"), F.struct("p.node", "p.class")
-    least = of.select("row", F.explode("tiles").alias("tile")).join(reps, "row").select("tile", "node", "class", "fp")
-    now = table(least, "tiles")
+    tiles = reps.select(F.explode("tiles").alias("tile"), "node", "class", "fp")
+    shared = table(tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tile"), "shared-tiles")
+    now = table(tiles.join(shared, "tile", "left_semi"), "tiles")
+    some = table(reps.join(now.select("class").distinct(), "class", "left_semi").select("class", "node", "key"), "some-classes")
+    sets = table(sets_of(docs, some), "sets")
     gone, k = [], 0  # round 0: one pair for each text, with the smallest of all its tiles' smallest texts
-    while True:
-        shared = now.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tile")
-        new = table(now.join(shared, "tile", "left_semi"), "tiles")
-        drop(now)
-        now = new
-        if now.isEmpty():
-            break
+    while not now.isEmpty():
         slot = F.pmod(F.xxhash64("class", F.lit(k)), F.lit(max(1, k)))
         pivots = table(now.groupBy("tile", slot.alias("slot")).agg(F.min(F.struct("node", "class", "fp")).alias("p")).select("tile", "p"), "pivots")
         close = now.join(pivots, "tile").where((F.col("class") != F.col("p.class")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= FAR))
@@ -324,18 +342,17 @@ def without_near_copies(of: DataFrame) -> DataFrame:
             first = me > it
             pairs = close.select(F.when(first, F.col("class")).otherwise(F.col("p.class")).alias("a"), F.when(first, F.col("p.class")).otherwise(F.col("class")).alias("b")).distinct()
         pairs = table(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        rows = wanted.join(reps, "class").select("class", "row")
-        sets = table(of.select("row", "set").join(rows, "row").select("class", "set"), "sets")
         less = table(similar(pairs, sets), "copies")
         gone.append(less)
         left = now.join(less, "class", "left_anti")
         if k:
             left = left.join(pivots.select("tile", F.col("p.class").alias("class")), ["tile", "class"], "left_anti")
-        new = table(left, "tiles")
-        drop(now, pairs, sets, pivots)
-        now, k = new, max(1, 2 * k)
-    drop(now)
+        left = table(left, "tiles")
+        drop(now, pairs, pivots)
+        shared = table(left.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tile"), "shared-tiles")
+        now, k = table(left.join(shared, "tile", "left_semi"), "tiles"), max(1, 2 * k)
+        drop(left, shared)
+    drop(now, sets)
     out = reps.select("node", "key", "class")
     for less in gone:
         out = out.join(less, "class", "left_anti")
@@ -344,8 +361,9 @@ def without_near_copies(of: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies of a smaller doc_id, once each."""
-    of = table(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    kept = without_near_copies(of).select(F.col("node").alias("_tidewater_id"), F.col("key").alias("_tidewater_key"))
+    of = table(sketches(docs), "sketches")
+    kept = without_near_copies(of, docs).select(F.col("node").alias("_tidewater_id"), F.col("key").alias("_tidewater_key"))
+    kept = table(kept, "kept")
     mine = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("_tidewater_id")) & (F.xxhash64(docs["text"]) == F.col("_tidewater_key"))
     out = docs.join(kept, mine, "left_semi")
     if of.groupBy("node", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
