@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import identity
 from tidewater.functions import timeframes as tf
-from tidewater.operators import audit, candles, folds, joins, metrics, ticks
+from tidewater.operators import audit, candles, diagnostics, features, folds, joins, metrics, ticks
 from tidewater.plans import strategies
 from tidewater.sources import logs
 from tidewater.streaming import queries as streaming
@@ -171,3 +171,104 @@ def test_audit_and_metrics(spark):
     s = spark.createDataFrame([(1, t, v) for t, v in enumerate([5, 9, 2, 4])], "k long, t long, v long")
     assert metrics.counter_delta(s, ["k"], "t", "v").first().delta == 8 and metrics.pair_progress(s, ["k"], "t", "v").first().delta == 8
     assert joins.as_of(spark.createDataFrame([(1, 10)], "k long, t long"), spark.createDataFrame([(1, 4, 7)], "k long, t long, v long"), "k", "t", "v", 5).first().v is None
+
+
+def test_candle_stream_timers(spark, tmp_path):
+    """Bars are sealed by event time (the last of the day at the session's close), not only by a later trade of their token; a token
+    whose state was forgotten starts anew."""
+    import os
+    import time
+
+    close = OPEN + 375 * 60_000
+    rows = [(1, 0, OPEN + 1000, 100, 2, "TRADE"), (1, 1, OPEN + 9000, 130, 1, "TRADE"), (2, 2, OPEN + 2000, 50, 1, "TRADE"), (2, 3, OPEN + 20_000, 60, 1, "TRADE")]
+    late = [(1, 4, close - 5000, 90, 4, "TRADE")]
+    after = [(2, 5, close + 60_000, 70, 1, "TRADE"), (2, 6, close + 61_000, 70, 1, "TRADE")]
+    again = [(1, 7, close + 20 * 3_600_000 + 1000, 75, 1, "TRADE"), (1, 8, close + 25 * 3_600_000, 75, 1, "TRADE")]
+    src = str(tmp_path / "in")
+    for k, part in enumerate((rows, late, after, again)):
+        spark.createDataFrame(part, TICK).coalesce(1).write.mode("append").parquet(src)
+        new = max((tmp_path / "in").glob("*.parquet"), key=lambda p: p.stat().st_mtime)
+        os.utime(new, (time.time() - 1000 + k * 10,) * 2)
+    sealed = []
+    take = lambda df, batch: sealed.extend(df.where("sealed").collect())
+    stream = streaming.candle_stream(logs.log_stream(spark, src, TICK, per_trigger=1), delay="500 milliseconds")
+    start = lambda: stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(take).trigger(availableNow=True).start()
+    streaming.restarted(start, delay_s=0)
+    seen = {(r.token, r.tf, r.window_start): (r.window_end, r.close_paise, r.volume, r.tick_count) for r in sealed}
+    assert len(seen) == len(sealed)  # once a bar
+    assert seen[1, "15s", OPEN] == (OPEN + 15_000, 130, 3, 2)
+    assert seen[2, "15m", OPEN] == (OPEN + 900_000, 60, 2, 2)
+    assert {r.tf for r in sealed if r.window_end == close} == {f.name for f in tf.TIMEFRAMES}
+    assert all(v == (close, 90, 4, 1) for (token, _, _), v in seen.items() if v[0] == close)
+
+
+def test_restarts():
+    from pyspark.errors import StreamingQueryException
+
+    class Query:
+        def __init__(self, fails):
+            self.fails = fails
+
+        def awaitTermination(self):  # noqa: N802
+            if self.fails:
+                raise StreamingQueryException("fault")
+
+    made = []
+
+    def start(good):
+        def f():
+            made.append(Query(len(made) < good))
+            return made[-1]
+
+        return f
+
+    assert streaming.restarted(start(2), attempts=3, delay_s=0) is made[2]
+    made.clear()
+    with pytest.raises(StreamingQueryException):
+        streaming.restarted(start(9), attempts=3, delay_s=0)
+    assert len(made) == 4
+
+
+def test_feature_registry(spark):
+    r = features.REGISTRY
+    assert [f.id for f in r.features] == list(range(55))
+    assert (r.by_id(15).name, r.by_id(44).name, r.by_id(45).name, r.by_id(54).name) == ("bid_px_1", "ask_ord_5", "day_volume", "microprice_paise")
+    assert r.ids(cadence="TICK") == [0] and r.ids("30s", "CLOSE") == [] and r.ids("3m", "CLOSE") == [1] and r.ids("5m", "CLOSE") == [1, 2]
+    for bad in (lambda: r.by_id(55), lambda: r.by_id(-1), lambda: r.by_name("none"), lambda: r.value(F.col("m"), "none")):
+        with pytest.raises(KeyError):
+            bad()
+    one = features.Feature(0, "a", "TICK", lambda: F.lit(1.0))
+    for wrong in ([features.Feature(1, "a", "TICK", lambda: F.lit(1.0))], [one, features.Feature(1, "a", "TICK", lambda: F.lit(1.0))]):
+        with pytest.raises(ValueError):
+            features.Registry(wrong)
+    off = features.Registry([one, features.Feature(1, "b", "TICK", lambda: F.lit(2.0), active=False), features.Feature(2, "c", "CLOSE", lambda: F.lit(float("nan")))])
+    x = spark.range(1).select(off.snapshot(F.lit("1m")).alias("m")).select("m", off.value(F.col("m"), "a").alias("a"), off.value(F.col("m"), "b").alias("b"), off.value(F.col("m"), "c").alias("c")).first()
+    assert (x.m, x.a, x.b, x.c) == ({0: 1.0}, 1.0, None, None)
+
+
+def test_last_samples(spark):
+    r = random.Random(3)
+    rows = [(k % 3, k, r.randrange(40)) for k in range(900)]
+    got = {x.g: x for x in metrics.last_samples(spark.createDataFrame(rows, "g long, t long, v long"), ["g"], ["t"], "v", [0.1, 50, 99.9], 64).collect()}
+    for g in range(3):
+        v = sorted([x[2] for x in rows if x[0] == g][-64:])
+
+        def at(p, v=v):
+            place = p / 100 * 65
+            k = int(place)
+            return v[0] if k < 1 else v[-1] if k >= 64 else v[k - 1] + (place - k) * (v[k] - v[k - 1])
+
+        assert got[g].n == 64
+        assert [got[g]["p0.1"], got[g]["p50"], got[g]["p99.9"]] == pytest.approx([at(0.1), at(50), at(99.9)])
+
+
+def test_source_states(spark):
+    rows = [("a", 0, 5), ("a", 50_000, 9), ("b", 1000, 7), ("b", 58_000, 7), ("c", 42_000, 3)]
+    got = {r.s: (r.state, r.holds) for r in diagnostics.source_states(spark.createDataFrame(rows, "s string, seen long, t long"), "s", "seen", "t", F.lit(61_000)).collect()}
+    assert got == {"a": ("ACTIVE", 9), "b": ("ALERT", None), "c": ("IDLE", None)}  # b's second event doesn't advance
+
+
+def test_escaped(spark):
+    rows = [("a|b",), ("a\\",), ("\U0001f600",), ("",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x string").select(identity.escaped(F.col("x"))).collect()]
+    assert got == ["3:a\\|b", "2:a\\\\", "2:\U0001f600", "0:", "\\0"]

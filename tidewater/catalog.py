@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import book, identity, text
 from tidewater.functions import timeframes as tf
 from tidewater.operators import audit, candles, folds, indicators, joins, metrics, ticks
-from tidewater.plans import extra
+from tidewater.plans import extra, registry
 from tidewater.plans.views import CANDLES_SQL, DAY, IN_SESSION, PARTS_SQL, TICKS_SQL, TRADES_SQL, fills, ladders, read
 from tidewater.plans.views import ticks as tick_view
 
@@ -30,11 +30,11 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | extra.QUERIES
+    return _QUERIES | extra.QUERIES | registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | extra.SQL
+    return _SQL | extra.SQL | registry.SQL
 
 
 def _candles(s: SparkSession, d: str) -> DataFrame:

@@ -72,3 +72,48 @@ def fnv1a_mod_million(s: pd.Series) -> pd.Series:
 
 def source_version(receive_ms: Column, event_id: Column) -> Column:
     return receive_ms * 1_000_000 + fnv1a_mod_million(event_id)
+
+
+def escaped(value: Column) -> Column:
+    r"""``length:value`` with bars and backslashes escaped (length of the plain value in UTF-16 units); null is ``\0``."""
+    text = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    units = (F.octet_length(F.encode(value, "UTF-16BE")) / 2).cast("int").cast("string")
+    return F.coalesce(F.concat(units, F.lit(":"), text), F.lit("\\0"))
+
+
+def bare(value: Column) -> Column:
+    r"""A number as text; null is ``\0``."""
+    return F.coalesce(value.cast("string"), F.lit("\\0"))
+
+
+def _identity(version: str) -> list[Column]:
+    c = F.col
+    return [
+        F.lit(version), c("token").cast("string"), escaped(c("symbol")), escaped(c("trade_context_id")), escaped(c("side")), c("quantity").cast("string"), bare(c("limit_price_paise")),
+        escaped(c("order_type")), escaped(c("product_type")), escaped(c("strategy_version")),
+    ]
+
+
+def decision_id() -> Column:
+    """The id of a trade decision by what it would execute."""
+    return F.concat(F.lit("ins-v1-"), F.sha2(F.concat_ws("|", *_identity("tdi-v2")), 256))
+
+
+def decision_hash() -> Column:
+    """The hash of a trade decision's whole content."""
+    c = F.col
+    more = [
+        *[escaped(c(n)) for n in ("candidate_id", "evaluation_id", "exchange", "strategy_id", "configuration_version")], bare(c("composite_score")),
+        *[escaped(c(n)) for n in ("portfolio_id", "account_scope_id", "reservation_id", "reservation_version")], c("created_ts").cast("string"), bare(c("expiry_ts")),
+        escaped(c("supersedes_instruction_id")), escaped(c("superseded_by_instruction_id")),
+    ]
+    return F.sha2(F.concat_ws("|", *_identity("tdc-v2"), *more), 256)
+
+
+def map_hash(fields: dict[str, Column]) -> Column:
+    """SHA-256 of the fields as a JSON object of texts with sorted names (null is the empty text; ``<``, ``>``, ``&`` and the two
+    line separators beyond ASCII are written as escapes)."""
+    doc = F.to_json(F.struct(*[F.coalesce(fields[n].cast("string"), F.lit("")).alias(n) for n in sorted(fields)]))
+    for sign in ("<", ">", "&", "\u2028", "\u2029"):
+        doc = F.replace(doc, F.lit(sign), F.lit(f"\\u{ord(sign):04x}"))
+    return F.sha2(doc, 256)

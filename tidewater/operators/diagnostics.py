@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -102,3 +102,23 @@ def instance_check(df: DataFrame, instance: str, expected: int, pattern: str) ->
     """One row: distinct instances, those of another form, and whether both are as wanted."""
     x = df.select(instance).distinct().agg(F.count(F.lit(1)).alias("instances"), F.count_if(~F.col(instance).rlike(pattern)).alias("malformed"))
     return x.withColumn("ok", (F.col("instances") == expected) & (F.col("malformed") == 0))
+
+
+def late_drops(counted: Column, late_in_window: Column, late_rows: Column, injected: Column) -> Column:
+    """The counter of late drops must cover every late row of its window (a surplus is no fault), and all injected rows must have come:
+    a struct of short, surplus, missing."""
+    return F.struct(
+        ((injected != 0) & (counted < late_in_window)).alias("short"), F.greatest(F.lit(0).cast("long"), counted - late_in_window).alias("surplus"),
+        (late_rows != injected).alias("missing"),
+    )
+
+
+def source_states(df: DataFrame, split: str, seen: str, event_time: str, now: Column, idle_ms: int = 15_000, alert_ms: int = 60_000) -> DataFrame:
+    """Splits with the time of their newest event, ACTIVE, IDLE (nothing for ``idle_ms``) or ALERT; the watermark is held back by active
+    ones alone, so ``holds`` is their event time. An event counts only if it is later than all before it."""
+    w = Window.partitionBy(split).orderBy(seen).rowsBetween(Window.unboundedPreceding, -1)
+    x = df.withColumn("_m", F.max(event_time).over(w)).where(F.col("_m").isNull() | (F.col(event_time) > F.col("_m")))
+    x = x.groupBy(split).agg(F.max(seen).alias("last_seen"), F.max(event_time).alias("newest"))
+    quiet = now - F.col("last_seen")
+    state = F.when(quiet >= alert_ms, "ALERT").when(quiet >= idle_ms, "IDLE").otherwise("ACTIVE")
+    return x.withColumn("state", state).withColumn("holds", F.when(F.col("state") == "ACTIVE", F.col("newest")))

@@ -22,8 +22,13 @@ LEDGER = {
     "RECEIVED": ["CORRELATED", "QUARANTINED", "FAILED"], "CORRELATED": ["AUDIT_WRITTEN", "QUARANTINED", "FAILED"], "AUDIT_WRITTEN": ["LIFECYCLE_APPLIED", "QUARANTINED", "FAILED"],
     "LIFECYCLE_APPLIED": ["POSITION_APPLIED", "QUARANTINED", "FAILED"], "POSITION_APPLIED": ["COMPLETE", "QUARANTINED", "FAILED"],
 }
+WORK_CHAIN = ["OPEN", "DOCUMENTING", "DOCUMENTATION_READY", "APPROVED_FOR_IMPLEMENTATION", "IMPLEMENTED", "VERIFIED", "STRUCK_THROUGH"]
+RESERVATION_STATES = ["RESERVED", "SUBMITTING", "PENDING", "OPEN", "RELEASE_PENDING", "RELEASED", "UNKNOWN"]
 OFFLOAD = {"PENDING": ["WRITING"], "WRITING": ["COMMITTED", "FAILED"], "COMMITTED": ["VERIFYING"], "VERIFYING": ["VERIFIED", "FAILED"], "FAILED": ["PENDING", "MANUAL"]}
 
+#: A work item goes one step along its chain, or is blocked; a blocked one goes anywhere; the chain's last state is final.
+WORK_ITEM = {a: [b, "BLOCKED"] for a, b in zip(WORK_CHAIN, WORK_CHAIN[1:], strict=False)} | {"BLOCKED": [*WORK_CHAIN, "BLOCKED"]}
+
 
 def allowed(table: dict[str, list[str]], a: Column, b: Column) -> Column:
     """Whether a transition stands in the table."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.indicators import newest
+
 
 def counter_delta(df: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """Growth of a counter that may be reset: where it falls, what it had is carried on. keys, delta, resets."""
@@ -75,3 +77,17 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def latency(begin: Column, end: Column, most_ms: int = 86_400_000) -> Column:
     """end - begin; null if begin isn't positive, end is before it, or it takes longer than a day."""
     return F.when((begin > 0) & (end >= begin) & (end - begin <= most_ms), end - begin)
+
+
+def last_samples(df: DataFrame, keys: list[str], order: list[str], value: str, shares: list[float], most: int = 4096) -> DataFrame:
+    """keys, n and percentiles ``p<share>`` of the ``most`` newest samples: place share / 100 * (n + 1) among them in order, between
+    two places in proportion, the least and the greatest beyond the ends."""
+    x = newest(df.where(F.col(value).isNotNull()), keys, order, most)
+    w = Window.partitionBy(*keys)
+    x = x.withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
+    out = []
+    for s in shares:
+        place = F.greatest(F.lit(1.0), F.least(F.col("_n").cast("double"), F.lit(s / 100) * (F.col("_n") + 1)))
+        part = F.when(F.col("_k") == F.floor(place), 1 - (place - F.floor(place))).when(F.col("_k") == F.floor(place) + 1, place - F.floor(place)).otherwise(0.0)
+        out.append(F.sum(F.col(value) * part).alias(f"p{s:g}"))
+    return x.groupBy(*keys).agg(F.max("_n").alias("n"), *out)

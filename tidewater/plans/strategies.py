@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import identity
@@ -28,7 +28,24 @@ def narrowest_range_breakout(ticks: DataFrame) -> DataFrame:
     return indicators.breakouts(c, candles.accepted_trades(ticks))
 
 
-REGISTRY: dict[str, Strategy] = {"n7-breakout": Strategy("n7-breakout", narrowest_range_breakout)}
+def context_probe(ticks: DataFrame) -> DataFrame:
+    """Once for each bar whose forerunner (the bar just before it in time) is closed and readable while it forms: at its first trade,
+    with the forerunner's start and close."""
+    x = candles.fan_out(candles.accepted_trades(ticks)).groupBy("token", "tf", "tf_ms", "window_start")
+    x = x.agg(F.min("event_time").alias("detection_ts"), F.max_by("price_paise", "event_time").alias("close"))
+    w = Window.partitionBy("token", "tf").orderBy("window_start")
+    x = x.withColumn("before", F.lag("window_start").over(w)).withColumn("price_paise", F.lag("close").over(w))
+    x = x.where(F.col("before") == F.col("window_start") - F.col("tf_ms"))
+    return x.select("token", "tf", F.col("before").alias("window_start"), F.lit("BUY").alias("side"), "price_paise", "detection_ts")
+
+
+def stub(ticks: DataFrame) -> DataFrame:
+    """Sees all ticks and never signals."""
+    long = F.lit(0).cast("long")
+    return ticks.where("false").select("token", F.lit("").alias("tf"), long.alias("window_start"), F.lit("").alias("side"), long.alias("price_paise"), long.alias("detection_ts"))
+
+
+REGISTRY: dict[str, Strategy] = {s.rule_id: s for s in (Strategy("n7-breakout", narrowest_range_breakout), Strategy("context-probe", context_probe), Strategy("stub", stub))}
 
 
 @dataclass
