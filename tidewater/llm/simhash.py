@@ -331,7 +331,7 @@ def without_near_copies(of: DataFrame, docs: DataFrame) -> DataFrame:
     now = table(tiles.join(shared, "tile", "left_semi"), "tiles")
     some = table(reps.join(now.select("class").distinct(), "class", "left_semi").select("class", "node", "key"), "some-classes")
     sets = table(sets_of(docs, some), "sets")
-    gone, k = [], 0  # round 0: one pair for each text, with the smallest of all its tiles' smallest texts
+    gone, asked, k = [], [], 0  # round 0: one pair for each text, with the smallest of all its tiles' smallest texts
     while not now.isEmpty():
         slot = F.pmod(F.xxhash64("class", F.lit(k)), F.lit(max(1, k)))
         pivots = table(now.groupBy("tile", slot.alias("slot")).agg(F.min(F.struct("node", "class", "fp")).alias("p")).select("tile", "p"), "pivots")
@@ -341,18 +341,21 @@ def without_near_copies(of: DataFrame, docs: DataFrame) -> DataFrame:
         else:
             first = me > it
             pairs = close.select(F.when(first, F.col("class")).otherwise(F.col("p.class")).alias("a"), F.when(first, F.col("p.class")).otherwise(F.col("class")).alias("b")).distinct()
+        for before in asked:  # two texts may share several tiles; those compared and found apart are not compared again
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = table(pairs, "pairs")
+        asked.append(pairs)
         less = table(similar(pairs, sets), "copies")
         gone.append(less)
         left = now.join(less, "class", "left_anti")
         if k:
             left = left.join(pivots.select("tile", F.col("p.class").alias("class")), ["tile", "class"], "left_anti")
         left = table(left, "tiles")
-        drop(now, pairs, pivots)
+        drop(now, pivots)
         shared = table(left.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tile"), "shared-tiles")
         now, k = table(left.join(shared, "tile", "left_semi"), "tiles"), max(1, 2 * k)
         drop(left, shared)
-    drop(now, sets)
+    drop(now, sets, *asked)
     out = reps.select("node", "key", "class")
     for less in gone:
         out = out.join(less, "class", "left_anti")
