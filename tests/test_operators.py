@@ -272,3 +272,20 @@ def test_escaped(spark):
     rows = [("a|b",), ("a\\",), ("\U0001f600",), ("",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "x string").select(identity.escaped(F.col("x"))).collect()]
     assert got == ["3:a\\|b", "2:a\\\\", "2:\U0001f600", "0:", "\\0"]
+
+
+def test_interpolation_reads_no_frame_to_the_end_of_a_key(spark):
+    r = random.Random(31)
+    right = {(k % 2, t): float(r.randrange(100)) for k, t in enumerate(r.sample(range(1000), 300))}
+    left = [(k, t) for k in range(3) for t in range(0, 1000, 7)]
+    a, b = spark.createDataFrame(left, "token long, at long"), spark.createDataFrame([(*k, v) for k, v in right.items()], "token long, at long, price double")
+    got = joins.interpolated(a, b, "token", "at", "price")
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()  # such a frame takes the square of a key's rows
+    for x in got.collect():
+        times = sorted(t for k, t in right if k == x.token)
+        lo, hi = max((t for t in times if t <= x["at"]), default=None), min((t for t in times if t >= x["at"]), default=None)
+        if lo is None or hi is None:
+            assert x.price is None
+        else:
+            p, q = right[x.token, lo], right[x.token, hi]
+            assert x.price == (p if lo == hi else pytest.approx(p + (q - p) * (x["at"] - lo) / (hi - lo)))

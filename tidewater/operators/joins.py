@@ -34,12 +34,15 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, mo
 
 
 def interpolated(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """``value`` of the right series at each left time, on the line between its neighbours; null outside the series."""
-    w = Window.partitionBy(key).orderBy("_t", "_side")
+    """``value`` of the right series at each left time, on the line between its neighbours; null outside the series.
+
+    The next neighbour is the last one in reverse order: a frame up to the end of the key would be read anew for every row."""
+    before = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
     r = right.select(key, F.col(time).alias("_t"), F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("v")).alias("_r"), F.lit(0).alias("_side"))
     l_ = left.select(key, F.col(time).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(1).alias("_side"))
     x = r.unionByName(l_, allowMissingColumns=True)
-    x = x.withColumn("_a", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_side = 1")
+    x = x.withColumn("_a", F.last("_r", ignorenulls=True).over(before)).withColumn("_b", F.last("_r", ignorenulls=True).over(after)).where("_side = 1")
     a, b = F.col("_a"), F.col("_b")
     line = F.when(F.col("_t") == a["t"], a["v"]).when(b["t"] > a["t"], a["v"] + (b["v"] - a["v"]) * (F.col("_t") - a["t"]) / (b["t"] - a["t"]))
     return x.select("_l.*", line.alias(value))
