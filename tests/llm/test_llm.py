@@ -734,6 +734,29 @@ def test_rows_without_id_are_told_apart(spark):
     assert {x.text for x in decontamination.without_leaks(table(spark, rows), b).collect()} == {"clean", "clean too"}
 
 
+def test_stage_tiles_hold_near_copies_and_few_others():
+    r = random.Random(29)
+    base = words(r, 150, 5000).split()
+    texts = []
+    for k in range(300):  # one group of copies, many of which are far from each other
+        ws = list(base)
+        for at in r.sample(range(150), k % 20):
+            ws[at] = f"new{r.randrange(10**6)}"
+        texts.append(" ".join(ws))
+    sets = [simhash.shingles(t) for t in texts]
+    bits, size = np.stack([simhash.wide_bits(x) for x in sets]), np.array([len(x) for x in sets])
+    fp = np.packbits(bits[:, : 64 * simhash.WORDS], axis=1).view(np.uint64)
+    found = {(min(p), max(p)) for p in zip(*(x.tolist() for x in simhash.close_pairs(fp, size, block=64)), strict=True)}
+    taken = simhash.tile_bits(300)
+    tiles = bits[:, taken] @ (1 << np.arange(taken.shape[1]))
+    j = lambda a, b: (n := len(np.intersect1d(sets[a], sets[b]))) / (size[a] + size[b] - n)
+    every = {(a, b): j(a, b) for a in range(300) for b in range(a + 1, 300)}
+    near = {p for p, x in every.items() if x >= 0.8}
+    assert near and near <= found and all((tiles[a] == tiles[b]).any() for a, b in near)
+    others = sum(x < 0.4 for x in every.values())
+    assert others > 5000 and sum(every[p] < 0.4 for p in found) < 0.05 * others
+
+
 # -- pipeline ---------------------------------------------------------------------------------------
 
 

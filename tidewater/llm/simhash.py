@@ -14,13 +14,14 @@ an empty table gives an empty result; extra columns are ignored. The stage tells
 different texts of one doc_id are texts of their own, of repeated rows one stays, rows without doc_id come last.
 
 The pipeline's stage (``one_of_each``) has settings of its own: texts are near copies if the Jaccard similarity of
-their sets of five-word shingles is ``SIMILAR`` = 0.8 or more. Texts with equal sets fall together. Tiles are the
-``BANDS`` bands of ``BAND_ROWS`` minimum hashes (two texts at 0.8 share a tile with probability 0.99995, more similar
-ones still more often); in a tile, SimHash fingerprints of the sets are compared within ``FAR`` bits (about ten are
-expected at 0.8, 32 for strangers), and what passes is decided on the whole sets. Each round compares all of a tile with
-a few pivots; what is a near copy of a smaller doc_id leaves all tiles, pivots leave their tile, and the number of
-pivots doubles until no tile holds two. So each row that goes has a near copy with a smaller doc_id, and no two rows
-that stay and have shared a tile are near copies.
+their sets of five-word shingles is ``SIMILAR`` = 0.8 or more. Texts with equal sets fall together. Each set has a
+SimHash of 512 bits. Tiles are groups that agree on ten or more of these bits, so many that two sets at 0.8 are in
+none together with a probability under 0.0001 (more similar ones still less). In a tile, 256 bits are compared block
+against block by exclusive-or and bit counts; block pairs whose population counts or sizes are too far apart are
+skipped. What differs in no more bits than sets at 0.8 may (four standard deviations) is decided on the whole sets.
+First every text is compared with the smallest doc_id of eight of its tiles, until few leave; then all pairs of what
+is left are. So each row that goes has a near copy with a smaller doc_id, and no two rows that stay and have shared a
+tile are near copies.
 """
 
 from __future__ import annotations
@@ -43,11 +44,21 @@ HOT = 4096
 #: Node numbers from here on may stand for fingerprints no row of which has a doc_id.
 NO_ID = 1 << 62
 LAST = (1 << 63) - 1
-#: The stage's shingles, its least similarity (a fraction), its tiles and the bits that its fingerprints may differ by.
+#: The stage's shingles and its least similarity (a fraction).
 NGRAM = 5
 SIMILAR = (4, 5)
-BANDS, BAND_ROWS = 25, 5
-FAR = 24
+#: 64-bit words of the stage's fingerprints, those that tiles compare, and those that a block is compared by first.
+WIDE, WORDS, FIRST = 8, 4, 2
+#: Texts of a tile, on average, from which on tiles agree on one bit more than ``WIDTH``.
+WIDTH, TILE = 10, 16384
+#: Tiles of the first rounds, and the share of their pairs that must leave for one more.
+STAR, AGAIN = 8, 0.25
+#: Sets under so many shingles may differ by more bits (sums of few signs are often even).
+SMALL = 64
+#: Bits that fingerprints of sets at the least similarity may differ by: (small sets, larger), in the first words and in all that tiles compare.
+FAR_FIRST, FAR = (44, 38), (74, 63)
+#: Rows of a tile that one task compares; larger ones go to pairs of parts.
+PART = 32768
 #: Pairs with the same smaller text that one task decides.
 SHARED = 1000
 
@@ -240,43 +251,62 @@ def shingles(text: str | None, ngram: int = NGRAM, seed: int = 42) -> np.ndarray
     return np.unique(np.fromiter((digest(h[x:y], seed) for x, y in zip(a, b, strict=True)), dtype=np.uint64, count=n))
 
 
-_RNG = np.random.default_rng(7)
-_TIMES = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+_SPREAD = np.random.default_rng(7).integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """The tiles (signed 64-bit) of a set of shingles; none for an empty set."""
-    if not len(hashes):
-        return []
-    mixed = hashes ^ (hashes >> np.uint64(31))
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(mixed), 4096):
-        np.minimum(least, (_TIMES[:, None] * mixed[None, k : k + 4096] + _PLUS[:, None]).min(axis=1), out=least)
-    return [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, BAND_ROWS))]
+def wide_bits(hashes: np.ndarray) -> np.ndarray:
+    """The 512 bits (0 or 1) of the SimHash of a set of shingles."""
+    ones = np.zeros(64 * WIDE, dtype=np.int64)
+    for k in range(0, len(hashes), 4096):
+        x = hashes[k : k + 4096, None] * _SPREAD
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
+    return (2 * ones > len(hashes)).astype(np.uint8)
+
+
+def tile_bits(rows: int) -> np.ndarray:
+    """The bits that each tile agrees on, for so many texts: (tiles, width)."""
+    width = WIDTH
+    while rows > TILE << width:
+        width += 1
+    # sets of four and of five shingles, the worst case at 0.8, agree on 13 of 16 bits; larger ones on 0.85
+    tiles = int(np.ceil(10.7 / -np.log1p(-(0.8125**width))))
+    rng = np.random.default_rng(11)
+    return np.stack([rng.choice(64 * WIDE, width, replace=False) for _ in range(tiles)])
+
+
+FP = [f"f{k}" for k in range(WORDS)]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """node (doc_id), key (a hash of the text), class (equal sets of shingles have one), fp and tiles of each row of ``docs``."""
+    """node (doc_id), key (a hash of the text), class (equal sets of shingles have one), size, f0 to f3 and tiles of each row of ``docs``."""
+    taken = tile_bits(docs.count())
+    weights = 1 << np.arange(taken.shape[1])
+    base = np.arange(len(taken)) << taken.shape[1]
 
     def make(batches):
         for b in batches:
-            known: dict = {}
-            out: list[tuple] = []
-            for t in strings(b.column(1)):
-                if (got := known.get(t)) is None:
-                    x = shingles(t)
-                    ones = np.zeros(64, dtype=np.int64)
-                    for k in range(0, len(x), 1 << 16):
-                        ones += np.unpackbits(x[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
-                    fp = int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big", signed=True)
-                    got = known[t] = (_class(x), fp, bands(x))
-                out.append(got)
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["node", "key", "class", "fp", "tiles"])
-
-    return map_arrow(_named(docs), make, "node long, key long, class long, fp long, tiles array<long>")
+            place: dict = {}
+            at = [place.setdefault(t, len(place)) for t in strings(b.column(1))]
+            kind = np.empty(len(place), dtype=np.int64)
+            size = np.empty(len(place), dtype=np.int32)
+            bits = np.empty((len(place), 64 * WIDE), dtype=np.uint8)
+            for k, t in enumerate(place):
+                x = shingles(t)
+                kind[k], size[k], bits[k] = _class(x), len(x), wide_bits(x)
+            fp = np.packbits(bits[:, : 64 * WORDS], axis=1).view(np.int64)
+            tiles = np.empty((len(place), len(taken)), dtype=np.int32)
+            for k in range(0, len(place), 256):
+                tiles[k : k + 256] = bits[k : k + 256, taken] @ weights + base
+            ends = np.r_[0, np.cumsum(np.where(size > 0, len(taken), 0))].astype(np.int32)  # an empty set has no tiles
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tiles[size > 0].ravel()))
+            at = pa.array(at, pa.int64())
+            cols = [pa.array(kind), pa.array(size), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WORDS)), lists]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(c.take(at) for c in cols)], names=["node", "key", "class", "size", *FP, "tiles"])
+
+    longs = ", ".join(f"{f} long" for f in FP)
+    return map_arrow(_named(docs), make, f"node long, key long, class long, size int, {longs}, tiles array<int>")
 
 
 def _class(hashes: np.ndarray) -> int:
@@ -287,16 +317,33 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("node"), "text", F.xxhash64("text").alias("key"))
 
 
+def sieve(rows: DataFrame, n: int) -> DataFrame:
+    """One row: ``_sieve``, an array of longs with a bit set for each (node, key) of ``rows``, ``n`` or fewer; two bytes for a row.
+
+    It is small enough to be broadcast where the rows are not, so that texts are sifted where they are read instead of shuffled."""
+    words = max(1, n // 4)
+    bit = F.pmod(F.xxhash64("node", "key", F.lit(5)), F.lit(64 * words))
+    some = rows.select(bit.alias("h")).groupBy(F.expr("h div 64").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits"))
+    all_ = rows.sparkSession.range(words).join(some, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    got = all_.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("x"), F.lit(words).cast("long").alias("_words"))
+    return table(got.select(F.col("x.bits").alias("_sieve"), "_words"), "sieve")
+
+
+def sifted(docs: DataFrame, by: DataFrame) -> DataFrame:
+    """``docs`` (node, key and others) with ``_may``: false only for rows that are not in the sieve ``by``."""
+    return docs.crossJoin(F.broadcast(by)).withColumn("_h", F.pmod(F.xxhash64("node", "key", F.lit(5)), 64 * F.col("_words"))).withColumn("_may", F.expr("(shiftright(_sieve[cast(_h div 64 as int)], cast(_h % 64 as int)) & 1) = 1")).drop("_sieve", "_words", "_h")
+
+
 def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """class, set of the rows of ``docs`` that stand for their class in ``reps`` (class, node, key)."""
+    """class, set of the rows of ``docs`` that stand for their class in ``reps`` (class, node, key), and of a few more."""
 
     def make(batches):
         for b in batches:
             sets = [shingles(t) for t in strings(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["class", "set"])
 
-    rows = _named(docs).join(reps.select("node", "key"), ["node", "key"], "left_semi").select("text")
-    return map_arrow(rows, make, "class long, set binary").groupBy("class").agg(F.first("set").alias("set"))
+    rows = sifted(_named(docs), sieve(reps, reps.count())).where("_may").select("text")
+    return map_arrow(rows, make, "class long, set binary").join(reps.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -319,43 +366,138 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "x", "y"), decide, "class long").distinct()
 
 
+def close_pairs(fp: np.ndarray, size: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of one tile that may be near copies: ``fp`` (rows, WORDS), ``size`` of their sets."""
+    order = np.argsort(size, kind="stable")
+    x, n = fp[order], size[order].astype(np.int64)
+    pop = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    starts = range(0, len(x), block)
+    low, high = (f.reduceat(pop, starts) if len(x) else pop for f in (np.minimum, np.maximum))
+    words = [np.ascontiguousarray(x[:, k]) for k in range(WORDS)]
+    a, b = [], []
+    for i in starts:
+        for j in range(i, len(x), block):
+            last = n[min(i + block, len(x)) - 1]
+            if SIMILAR[1] * last < SIMILAR[0] * n[j]:
+                break
+            if max(low[i // block], low[j // block]) - min(high[i // block], high[j // block]) > FAR[0]:
+                continue
+            far = sum(np.bitwise_count(w[i : i + block, None] ^ w[None, j : j + block]) for w in words[:FIRST])
+            p, q = np.nonzero(far <= FAR_FIRST[int(n[i] >= SMALL)])
+            p, q = p + i, q + j
+            ok = p < q
+            p, q = p[ok], q[ok]
+            ok = _may_be_near(x[p], x[q], n[p], n[q])
+            a.append(order[p[ok]])
+            b.append(order[q[ok]])
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _may_be_near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    lo, hi = np.minimum(n, m), np.maximum(n, m)
+    far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return (SIMILAR[1] * lo >= SIMILAR[0] * hi) & (far <= np.where(lo < SMALL, *FAR))
+
+
+def candidates(rows: DataFrame, n: int, part: int = PART) -> DataFrame:
+    """a, b: the pairs of classes in ``rows`` (class, size, f0 to f3, tiles) that share a tile and may be near copies."""
+    zero = F.lit(0).cast("long")
+    flat = rows.select(F.explode("tiles").alias("tile"), "class", "size", *FP)
+    hot = table(flat.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")).where("parts > 1"), "hot-tiles")
+    if not hot.isEmpty():  # part p of a tile meets part q in the tile's pair (p, q); each pair holds both parts
+        own = F.pmod(F.xxhash64("class"), F.col("parts"))
+        pairs = F.transform(F.sequence(zero, F.col("parts") - 1), lambda q: F.least(F.col("own"), q) * F.col("parts") + F.greatest(F.col("own"), q))
+        split = flat.join(hot, "tile").withColumn("own", own).select("tile", F.explode(pairs).alias("part"), "class", "size", *FP)
+        flat = flat.join(hot, "tile", "left_anti").select("tile", zero.alias("part"), "class", "size", *FP).unionByName(split)
+    else:
+        flat = flat.select("tile", zero.alias("part"), "class", "size", *FP)
+
+    def find(batches):
+        held: list[list[np.ndarray]] = []
+
+        def flush(last: bool):
+            nonlocal held
+            if not held:
+                return
+            tile, part, kind, size, *fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            cuts = np.r_[0, np.flatnonzero((np.diff(tile) != 0) | (np.diff(part) != 0)) + 1, len(tile)]
+            done = len(tile) if last else cuts[-2]
+            held = [[x[done:] for x in (tile, part, kind, size, *fp)]] if done < len(tile) else []
+            many = np.diff(cuts)
+            x = np.stack(fp, axis=1).view(np.uint64)
+            of = np.repeat(np.arange(len(many)), many)
+            small = many[of] <= 32
+            a, b = [], []
+            for s in range(1, min(32, int(many.max()))):  # all small tiles at once
+                i = np.flatnonzero((of[s:] == of[:-s]) & small[s:])
+                i = i[i + s < done]
+                i = i[_may_be_near(x[i], x[i + s], size[i], size[i + s])]
+                a.append(i)
+                b.append(i + s)
+            for k in np.flatnonzero(many > 32):
+                if cuts[k] < done:
+                    i, j = close_pairs(x[cuts[k] : cuts[k + 1]], size[cuts[k] : cuts[k + 1]])
+                    a.append(i + cuts[k])
+                    b.append(j + cuts[k])
+            if a:
+                a, b = kind[np.concatenate(a)], kind[np.concatenate(b)]
+                if len(a):  # a pair may share many tiles
+                    lo, hi = np.minimum(a, b), np.maximum(a, b)
+                    once = np.unique(np.stack([lo, hi], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(once[:, 0])), pa.array(np.ascontiguousarray(once[:, 1]))], names=["a", "b"])
+
+        count = 0
+        for r in batches:
+            held.append([r.column(k).to_numpy() for k in range(4 + WORDS)])
+            count += r.num_rows
+            if count >= 200_000:
+                yield from flush(False)
+                count = 0
+        yield from flush(True)
+
+    flat = flat.repartition(parts(n), "tile", "part").sortWithinPartitions("tile", "part")
+    return map_arrow(flat, find, "a long, b long", 0).distinct()
+
+
+def stars(rows: DataFrame, first: int) -> DataFrame:
+    """a, b: of each class in ``rows`` that may be a near copy of the first row of one of ``STAR`` tiles, the first such row's class."""
+    flat = rows.select(F.explode(F.slice("tiles", first + 1, STAR)).alias("tile"), "node", "class", "size", *FP)
+    p = flat.groupBy("tile").agg(F.min(F.struct("node", "class", "size", *FP)).alias("p"))
+    far = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"p.{f}"))) for f in FP), F.lit(0))
+    lo, hi = F.least("size", "p.size"), F.greatest("size", "p.size")
+    close = (SIMILAR[1] * lo >= SIMILAR[0] * hi) & (far <= F.when(lo < SMALL, FAR[0]).otherwise(FAR[1]))
+    found = flat.join(p, "tile").where((F.struct("node", "class") > F.struct("p.node", "p.class")) & close)
+    return found.groupBy("class").agg(F.min(F.struct("p.node", "p.class")).alias("p")).select(F.col("class").alias("a"), F.col("p.class").alias("b"))
+
+
+def _near(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """class: those a of ``pairs`` that are near copies of their b; sets are only made of the classes in ``pairs``."""
+    some = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = table(sets_of(docs, table(reps.join(some, "class", "left_semi").select("class", "node", "key"), "some-classes")), "sets")
+    out = table(similar(pairs, sets), "copies")
+    drop(sets)
+    return out
+
+
 def without_near_copies(of: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, key, class of the classes in ``of`` (a table of :func:`sketches` of ``docs``) that stay, each by its first row.
-
-    Only tiles with two classes or more are kept, and sets are only made of the classes in them."""
-    first = of.groupBy("class").agg(F.min(F.struct("node", "key")).alias("r"), F.first("fp").alias("fp"), F.first("tiles").alias("tiles"))
-    reps = table(first.select("class", "r.*", "fp", "tiles"), "classes")
-    me, it = F.struct("node", "class"), F.struct("p.node", "p.class")
-    tiles = reps.select(F.explode("tiles").alias("tile"), "node", "class", "fp")
-    shared = table(tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tile"), "shared-tiles")
-    now = table(tiles.join(shared, "tile", "left_semi"), "tiles")
-    some = table(reps.join(now.select("class").distinct(), "class", "left_semi").select("class", "node", "key"), "some-classes")
-    sets = table(sets_of(docs, some), "sets")
-    gone, asked, k = [], [], 0  # round 0: one pair for each text, with the smallest of all its tiles' smallest texts
-    while not now.isEmpty():
-        slot = F.pmod(F.xxhash64("class", F.lit(k)), F.lit(max(1, k)))
-        pivots = table(now.groupBy("tile", slot.alias("slot")).agg(F.min(F.struct("node", "class", "fp")).alias("p")).select("tile", "p"), "pivots")
-        close = now.join(pivots, "tile").where((F.col("class") != F.col("p.class")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= FAR))
-        if k == 0:
-            pairs = close.groupBy("class").agg(F.min("p").alias("p")).select(F.col("class").alias("a"), F.col("p.class").alias("b"))
-        else:
-            first = me > it
-            pairs = close.select(F.when(first, F.col("class")).otherwise(F.col("p.class")).alias("a"), F.when(first, F.col("p.class")).otherwise(F.col("class")).alias("b")).distinct()
-        for before in asked:  # two texts may share several tiles; those compared and found apart are not compared again
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = table(pairs, "pairs")
-        asked.append(pairs)
-        less = table(similar(pairs, sets), "copies")
-        gone.append(less)
-        left = now.join(less, "class", "left_anti")
-        if k:
-            left = left.join(pivots.select("tile", F.col("p.class").alias("class")), ["tile", "class"], "left_anti")
-        left = table(left, "tiles")
-        drop(now, pivots)
-        shared = table(left.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tile"), "shared-tiles")
-        now, k = table(left.join(shared, "tile", "left_semi"), "tiles"), max(1, 2 * k)
-        drop(left, shared)
-    drop(now, sets, *asked)
+    """node, key, class of the classes in ``of`` (a table of :func:`sketches` of ``docs``) that stay, each by its first row."""
+    same = [F.first(c).alias(c) for c in ("size", *FP, "tiles")]
+    reps = table(of.groupBy("class").agg(F.min(F.struct("node", "key")).alias("r"), *same).select("class", "r.*", "size", *FP, "tiles"), "classes")
+    n, now, gone, k = shards(docs), reps, [], 0
+    most = (reps.select(F.max(F.size("tiles"))).first()[0] or 0) - STAR
+    while k <= most:
+        pairs = table(stars(now, k), "pairs")
+        gone.append(_near(pairs, reps, docs))
+        now, k = now.join(gone[-1], "class", "left_anti"), k + STAR
+        if gone[-1].count() <= AGAIN * pairs.count():
+            break
+    pairs = table(candidates(now, n), "candidates")
+    order = reps.select("class", F.struct("node", "class").alias("r"))
+    x, y = order.select(F.col("class").alias("a"), F.col("r").alias("x")), order.select(F.col("class").alias("b"), F.col("r").alias("y"))
+    lo, hi = F.least("x", "y"), F.greatest("x", "y")
+    pairs = table(pairs.join(x, "a").join(y, "b").select(hi["class"].alias("a"), lo["class"].alias("b")), "pairs")
+    gone.append(_near(pairs, reps, docs))
     out = reps.select("node", "key", "class")
     for less in gone:
         out = out.join(less, "class", "left_anti")
@@ -365,10 +507,13 @@ def without_near_copies(of: DataFrame, docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies of a smaller doc_id, once each."""
     of = table(sketches(docs), "sketches")
-    kept = without_near_copies(of, docs).select(F.col("node").alias("_tidewater_id"), F.col("key").alias("_tidewater_key"))
-    kept = table(kept, "kept")
-    mine = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == F.col("_tidewater_id")) & (F.xxhash64(docs["text"]) == F.col("_tidewater_key"))
-    out = docs.join(kept, mine, "left_semi")
+    kept = table(without_near_copies(of, docs).select("node", "key"), "kept")
+    gone = table(of.select("node", "key").distinct().join(kept, ["node", "key"], "left_anti"), "gone")
+    # rows outside the sieve stay; only what may go is matched exactly
+    names = {"node": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "key": F.xxhash64("text")}
+    mine = docs.select(F.struct(*docs.columns).alias("_row"), *[c.alias(k) for k, c in names.items()])
+    mine = sifted(mine, sieve(gone, gone.count()))
+    out = mine.where("not _may").unionByName(mine.where("_may").join(gone, ["node", "key"], "left_anti").select(*mine.columns)).select("_row.*")
     if of.groupBy("node", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return out
     return out.withColumn("_tidewater_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_tidewater_key"]).select(docs.columns)
