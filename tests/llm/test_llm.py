@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -393,6 +394,19 @@ def test_substring_removal(spark, how):
     assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got), key=str) == plain_removal([r[:2] for r in rows])
 
 
+def test_substring_bytes_in_small_memory():
+    r = np.random.default_rng(34)
+    size, lo, n = 400_000, np.sort(r.integers(0, 399_000, 500)), r.integers(1, 256, 500).astype(np.uint8)
+    plain = np.zeros(size, dtype=bool)
+    for a, k in zip(lo.tolist(), n.tolist(), strict=True):
+        plain[a : a + k + 99] = True
+    tracemalloc.start()
+    got = substring_dedup.gone_bytes(size, lo, n)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == plain).all() and most < 8 * size
+
+
 def test_substring_removal_odd_rows(spark):
     df = odd(spark)
     got = substring_dedup.substring_dedup(df).collect()

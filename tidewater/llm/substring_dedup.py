@@ -161,10 +161,11 @@ def runs(docs: DataFrame, n: int) -> DataFrame:
 
         def flush():
             x = np.concatenate(held)
+            held.clear()
             x = x[np.lexsort((x["lo"], x["ord"], x["sig"], x["anchor"]))]
             again = np.r_[False, (x["anchor"][1:] == x["anchor"][:-1]) & (x["sig"][1:] == x["sig"][:-1])]
-            keep = x[~again]
-            return _rows([(0, k, y.tobytes()) for k, y in by_number(keep, (keep["anchor"] % np.uint64(n)).astype(np.int64))] + covered_rows(cover_of(x[again]), n))
+            cover, x = cover_of(x[again]), x[~again]
+            return _rows([(0, k, y.tobytes()) for k, y in by_number(x, (x["anchor"] % np.uint64(n)).astype(np.int64))] + covered_rows(cover, n))
 
         for b in batches:
             ords = b.column(0).to_numpy()
@@ -225,6 +226,15 @@ def settle(n: int, hot: int):
     return work
 
 
+def string_hashes(data: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Hashes of the strings of ``LENGTH`` bytes that start at ``where``."""
+    m, _ = _powers(LENGTH)
+    out = np.empty(len(where), dtype=np.uint64)
+    for k in range(0, len(where), 1 << 14):
+        out[k : k + (1 << 14)] = (data[where[k : k + (1 << 14), None] + np.arange(LENGTH)].astype(np.uint64) + np.uint64(1)) @ m
+    return mix(out)
+
+
 def fetch(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
     """Step 3, the bytes: rows (0, shard, pieces and their bytes) for what is asked. ``docs``: bucket, ord, text."""
 
@@ -245,10 +255,7 @@ def fetch(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
                 where = np.repeat(start[hot], n_) + k
                 one["lo"] += k.astype(np.uint32)
                 one["n"] = 1
-                m, inv = _powers(len(data) + 1)
-                pre = np.zeros(len(data) + 1, dtype=np.uint64)
-                np.cumsum((data.astype(np.uint64) + np.uint64(1)) * m[: len(data)], out=pre[1:])
-                one["anchor"] = mix((pre[where + LENGTH] - pre[where]) * inv[where])
+                one["anchor"] = string_hashes(data, where)
                 ask, start = np.concatenate([ask2, one]), np.concatenate([start2, where])
             piece = np.empty(len(ask), dtype=PIECE)
             for c in PIECE.names:
@@ -420,6 +427,15 @@ def compare(n: int, array_bytes: int):
     return work
 
 
+def gone_bytes(size: int, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of ``size`` bytes those that are covered by one of ``n`` strings from ``lo`` on."""
+    depth = np.zeros(size + 1, dtype=np.int32)
+    np.add.at(depth, lo, 1)
+    np.subtract.at(depth, lo + n.astype(np.int64) + LENGTH - 1, 1)
+    np.cumsum(depth, out=depth)
+    return depth[:-1] > 0
+
+
 def remove(docs: DataFrame, covered: DataFrame) -> DataFrame:
     """Step 4: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte ranges. ``docs``: bucket, ord, doc_id, text."""
 
@@ -431,9 +447,7 @@ def remove(docs: DataFrame, covered: DataFrame) -> DataFrame:
             x = np.concatenate([np.frombuffer(p.as_buffer(), dtype=COVER) for p in right["payload"].combine_chunks()])
             order = np.argsort(ords)
             at = order[np.searchsorted(ords[order], x["ord"])]
-            lo = ends[at] + x["lo"]
-            depth = np.bincount(lo, minlength=len(data) + 1)[: len(data) + 1] - np.bincount(lo + x["n"].astype(np.int64) + LENGTH - 1, minlength=len(data) + 1)[: len(data) + 1]
-            gone = np.cumsum(depth[:-1]) > 0
+            gone = gone_bytes(len(data), ends[at] + x["lo"], x["n"])
         out: list[list] = [[], [], [], []]
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             g = gone[a:b]
