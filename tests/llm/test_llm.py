@@ -394,6 +394,25 @@ def test_substring_removal(spark, how):
     assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got), key=str) == plain_removal([r[:2] for r in rows])
 
 
+def test_substring_asks_only_for_runs_that_may_share_a_string():
+    """Texts that share 24 bytes or 90 share no string of 100; those that share 100 or more are all asked for."""
+    r = random.Random(33)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    def asked(passage, side):
+        runs = []
+        for k in range(40):
+            data = np.frombuffer((letters(150) + passage[side:] + letters(150) + passage + letters(150)).encode(), np.uint8)
+            runs.append(substring_dedup.runs_of(np.array([0, len(data)]), data, np.array([k])))
+        out = [b.to_pydict() for b in substring_dedup.settle(1, substring_dedup.HOT)([np.concatenate(runs).tobytes()])]
+        asks = [np.frombuffer(p, substring_dedup.ASK) for b in out for k, p in zip(b["kind"], b["payload"], strict=True) if k == 2]
+        return set(np.concatenate(asks)["ord"].tolist()) if asks else set()
+
+    assert not asked(letters(24), 0) and not asked(letters(60), 0)
+    for n in (100, 101, 130, 300):
+        assert asked(letters(n), 0) == set(range(40))
+
+
 def test_substring_bytes_in_small_memory():
     r = np.random.default_rng(34)
     size, lo, n = 400_000, np.sort(r.integers(0, 399_000, 500)), r.integers(1, 256, 500).astype(np.uint8)

@@ -3,13 +3,14 @@
 All strings of ``LENGTH`` = 100 bytes can't be sorted together, so they are dealt by content first. The anchor
 of a string is the ``GRAM``-byte substring of it with the least hash (the leftmost such): equal strings have
 equal anchors at equal places. Neighbouring strings of a text with one anchor form a run; a run is
-(anchor hash, hash of its bytes, document, first start, strings).
+(anchor hash, hash of its bytes, hashes of what stands before and after the anchor, document, first start, strings).
 
 1. Runs go to shards by anchor. A task forwards only the first of equal runs it has seen (the others are
    covered), so a passage that stands in a third of all texts reaches its shard once for each task.
 2. In a shard, anchors met once are done with. Of equal runs all but the first are covered. Where runs differ
-   under one anchor, the first of each is asked for by its bytes.
-3. Those bytes go to shards by anchor again (by string, one by one, if an anchor has more than ``HOT`` runs).
+   under one anchor, they can share a string only if the ``SIDE`` bytes before the anchor are the same or those after it
+   (of the 76 other bytes of a string at least 38 stand on one side). The first of each such run is asked for by its bytes.
+3. Those bytes go to shards by anchor again (by string, one by one, if an anchor has more than ``HOT`` such runs).
    There a suffix array (Larsson-Sadakane refinement), common prefixes by Kasai's inequality,
    and for large shards the merging of several such arrays by binary search find each string's first start.
 4. Every text gets the covered strings back, by bucket of documents.
@@ -33,12 +34,14 @@ from tidewater.llm.common import map_arrow, parts, read, shards, table
 
 LENGTH = 100
 GRAM = 24
+#: A string has so many bytes before its anchor, or after it.
+SIDE = (LENGTH - GRAM) // 2
 HOT = 50_000
 #: Bytes that one suffix array takes in; a larger shard makes several and merges them.
 ARRAY_BYTES = 8 << 20
 GROUP = 2 << 20
 FLUSH = 1_000_000
-RUN = np.dtype([("anchor", "<u8"), ("sig", "<u8"), ("ord", "<i8"), ("lo", "<u4"), ("n", "u1")])
+RUN = np.dtype([("anchor", "<u8"), ("sig", "<u8"), ("before", "<u4"), ("after", "<u4"), ("ord", "<i8"), ("lo", "<u4"), ("n", "u1")])
 COVER = np.dtype([("ord", "<i8"), ("lo", "<u4"), ("n", "u1")])
 ASK = np.dtype([("ord", "<i8"), ("lo", "<u4"), ("n", "u1"), ("hot", "u1"), ("anchor", "<u8")])
 PIECE = np.dtype([("anchor", "<u8"), ("ord", "<i8"), ("lo", "<u4"), ("n", "u1")])
@@ -117,6 +120,11 @@ def runs_of(ends: np.ndarray, data: np.ndarray, ords: np.ndarray) -> np.ndarray:
     out = np.empty(len(lo), dtype=RUN)
     out["anchor"] = z[anchor[lo]]
     out["sig"] = mix((pre[hi + LENGTH - 1] - pre[lo]) * inv[lo] + (hi - lo).astype(np.uint64))
+    at = anchor[lo]  # 0 stands for a side that no string of the run has whole
+    for side, has, from_ in (("before", at - lo >= SIDE, at - SIDE), ("after", at - hi < SIDE, at + GRAM)):
+        from_ = from_[has]
+        out[side] = 0
+        out[side][has] = mix((pre[from_ + SIDE] - pre[from_]) * inv[from_]) >> np.uint64(32) | np.uint64(1)
     of = doc[np.searchsorted(begin, lo, side="right") - 1]
     out["ord"], out["lo"], out["n"] = ords[of], lo - ends[of], hi - lo
     return out
@@ -191,15 +199,15 @@ def by_shard(rows: DataFrame, n: int, work) -> DataFrame:
     def make(batches):
         now, held = None, []
         for b in batches:
-            for kind, shard, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if kind:
-                    yield _rows([(kind, shard, payload.as_py())])
-                    continue
+            mine = int(np.count_nonzero(b.column(0).to_numpy() == 0))  # kinds are sorted
+            for shard, payload in zip(b.column(1)[:mine].to_pylist(), b.column(2)[:mine], strict=True):
                 if shard != now:
                     if held:
                         yield from work(held)
                     now, held = shard, []
                 held.append(payload.as_py())
+            if mine < b.num_rows:
+                yield b.slice(mine)
         if held:
             yield from work(held)
 
@@ -216,11 +224,18 @@ def settle(n: int, hot: int):
         group = np.cumsum(new) - 1
         fresh = new | np.r_[True, x["sig"][1:] != x["sig"][:-1]]
         kinds = np.bincount(group, fresh, minlength=0).astype(np.int64)  # different runs under the anchor
-        ask = x[fresh & (kinds[group] > 1)]
-        out = np.empty(len(ask), dtype=ASK)
+        some = np.flatnonzero(fresh & (kinds[group] > 1))
+        wanted = np.zeros(len(some), dtype=bool)
+        for side in ("before", "after"):
+            key = x[side][some]
+            order = np.lexsort((key, group[some]))
+            twice = np.flatnonzero((key[order[1:]] == key[order[:-1]]) & (group[some[order[1:]]] == group[some[order[:-1]]]) & (key[order[1:]] > 0))
+            wanted[order[twice]] = wanted[order[twice + 1]] = True
+        some = some[wanted]
+        out = np.empty(len(some), dtype=ASK)
         for c in ("ord", "lo", "n", "anchor"):
-            out[c] = ask[c]
-        out["hot"] = kinds[group][fresh & (kinds[group] > 1)] > hot
+            out[c] = x[c][some]
+        out["hot"] = np.bincount(group[some], minlength=len(kinds))[group[some]] > hot
         yield _rows(covered_rows(cover_of(x[~fresh]), n) + [(2, k, y.tobytes()) for k, y in by_number(out, bucket_of(out["ord"], n))])
 
     return work
@@ -278,9 +293,12 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
     first = np.zeros(n, dtype=np.uint64)
     for k in range(7):  # seven bytes, nine bits each
         first = first << np.uint64(9) | x[k : k + n]
-    order = np.argsort(first, kind="stable")
-    new = np.r_[True, first[order[1:]] != first[order[:-1]]] if n else np.empty(0, dtype=bool)
-    rank = np.zeros(n + 1, dtype=np.int64)
+    del x
+    order = np.argsort(first, kind="stable").astype(np.int32)
+    first = first[order]
+    new = np.r_[True, first[1:] != first[:-1]] if n else np.empty(0, dtype=bool)
+    del first
+    rank = np.zeros(n + 1, dtype=np.int32)
     begin = np.flatnonzero(new)
     rank[order] = np.repeat(begin + 1, np.diff(np.r_[begin, n]))  # 1 + the place where its group begins; 0 past the end
     h = 7
@@ -292,11 +310,11 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
         if not len(places):
             break
         at = order[places]
-        a, b = rank[at], rank[np.minimum(at + h, n)]
-        by = np.lexsort((b, a))
-        at, a, b = at[by], a[by], b[by]
+        key = rank[at].astype(np.int64) << 32 | rank[np.minimum(at.astype(np.int64) + h, n)]
+        by = np.argsort(key, kind="stable")
+        at, key = at[by], key[by]
         order[places] = at
-        fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        fresh = np.r_[True, key[1:] != key[:-1]]
         new[places] = fresh
         begin = np.flatnonzero(new)
         group = np.repeat(begin + 1, np.diff(np.r_[begin, n]))
@@ -312,9 +330,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = LENGTH, ste
     compared from its start, those after it from what the inequality leaves, all of one kind at a time."""
     n = len(data)
     padded = np.concatenate([data.astype(np.int16), np.full(most + 8, -1, dtype=np.int16)])
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=np.int32)
     before[order[1:]] = order[:-1]
-    value = np.zeros(n, dtype=np.int64)
+    value = np.zeros(n, dtype=np.int16)
     whole = len(order) == n
 
     def extend(i: np.ndarray) -> None:
