@@ -12,6 +12,7 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -790,6 +791,52 @@ def test_stage_tiles_hold_near_copies_and_few_others():
     assert others > 5000 and sum(every[p] < 0.4 for p in found) < 0.05 * others
 
 
+def test_stage_sifts_texts_before_the_shuffle(spark):
+    """No join of the stage's result takes all texts: the one with what goes stands above the sieve."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = simhash.one_of_each(spark.createDataFrame([r[:5] for r in corpus(36)], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(key, was)
+    lines = plan.split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for k, x in enumerate(lines):
+        if "Join" in x and "_may" not in x and "Cross" not in x and "Inner" not in x:
+            below = [y for y in itertools.takewhile(lambda y: depth(y) > depth(x), lines[k + 1 :])]
+            assert any("Join Cross" in y or "Join Inner" in y for y in below)
+
+
+def test_stage_pairs_come_once_and_few_are_far():
+    """A group whose members are near the base and far from each other: a pair comes from one tile, and most pairs come from none."""
+    r = random.Random(35)
+    base = words(r, 150, 5000).split()
+    texts = []
+    for k in range(400):
+        ws = list(base)
+        for at in r.sample(range(150), 4 + k % 4):
+            ws[at] = f"new{r.randrange(10**6)}"
+        texts.append(" ".join(ws))
+    sets = [simhash.shingles(t) for t in texts]
+    size = np.array([len(x) for x in sets])
+    fp = np.packbits(np.stack([simhash.wide_bits(x) for x in sets])[:, : 64 * simhash.WORDS], axis=1).view(np.int64)
+    taken = simhash.tile_bits(400)
+    tiles = simhash.tiles_of(fp, taken)
+    assert (tiles >> taken.shape[1] == np.arange(len(taken))).all()
+    rows = sorted((int(t), k) for k in range(400) for t in tiles[k])
+    at = np.array([k for _, k in rows])
+    cols = [np.array([t for t, _ in rows], dtype=np.int32), np.zeros(len(rows), dtype=np.int64), at.astype(np.int64), size[at].astype(np.int32), *fp[at].T]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["tile", "part", "class", "size", *simhash.FP])
+    got = [p for b in simhash.pairs_in_tiles(taken)([batch.slice(0, 7000), batch.slice(7000)]) for p in zip(*b.to_pydict().values(), strict=True)]
+    assert len(got) == len(set(got))
+    j = lambda a, b: (n := len(np.intersect1d(sets[a], sets[b]))) / (size[a] + size[b] - n)
+    every = {(a, b): j(a, b) for a in range(400) for b in range(a + 1, 400)}
+    assert {p for p, x in every.items() if x >= 0.8} <= set(got)
+    far = {p for p, x in every.items() if x < 0.6}
+    assert len(far) > 10_000 and len(far & set(got)) < 0.05 * len(far)
+
+
 # -- pipeline ---------------------------------------------------------------------------------------
 
 

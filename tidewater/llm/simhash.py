@@ -16,9 +16,10 @@ different texts of one doc_id are texts of their own, of repeated rows one stays
 The pipeline's stage (``one_of_each``) has settings of its own: texts are near copies if the Jaccard similarity of
 their sets of five-word shingles is ``SIMILAR`` = 0.8 or more. Texts with equal sets fall together. Each set has a
 SimHash of 512 bits. Tiles are groups that agree on ten or more of these bits, so many that two sets at 0.8 are in
-none together with a probability under 0.0001 (more similar ones still less). In a tile, 256 bits are compared block
+none together with a probability under 0.0001 (more similar ones still less). In a tile, all 512 bits are compared block
 against block by exclusive-or and bit counts; block pairs whose population counts or sizes are too far apart are
-skipped. What differs in no more bits than sets at 0.8 may (four standard deviations) is decided on the whole sets.
+skipped. What differs in no more bits than sets at 0.8 may (four standard deviations) is decided on the whole sets, once:
+a pair comes from the first tile that it shares.
 First every text is compared with the smallest doc_id of eight of its tiles, until few leave; then all pairs of what
 is left are. So each row that goes has a near copy with a smaller doc_id, and no two rows that stay and have shared a
 tile are near copies.
@@ -47,8 +48,8 @@ LAST = (1 << 63) - 1
 #: The stage's shingles and its least similarity (a fraction).
 NGRAM = 5
 SIMILAR = (4, 5)
-#: 64-bit words of the stage's fingerprints, those that tiles compare, and those that a block is compared by first.
-WIDE, WORDS, FIRST = 8, 4, 2
+#: 64-bit words of the stage's fingerprints, those that tiles compare (all: tiles are told from them), and those that a block is compared by first.
+WIDE, WORDS, FIRST = 8, 8, 2
 #: Texts of a tile, on average, from which on tiles agree on one bit more than ``WIDTH``.
 WIDTH, TILE = 10, 16384
 #: Tiles of the first rounds, and the share of their pairs that must leave for one more.
@@ -56,7 +57,7 @@ STAR, AGAIN = 8, 0.25
 #: Sets under so many shingles may differ by more bits (sums of few signs are often even).
 SMALL = 64
 #: Bits that fingerprints of sets at the least similarity may differ by: (small sets, larger), in the first words and in all that tiles compare.
-FAR_FIRST, FAR = (44, 38), (74, 63)
+FAR_FIRST, FAR = (44, 38), (132, 110)
 #: Rows of a tile that one task compares; larger ones go to pairs of parts.
 PART = 32768
 #: Pairs with the same smaller text that one task decides.
@@ -279,11 +280,33 @@ def tile_bits(rows: int) -> np.ndarray:
 FP = [f"f{k}" for k in range(WORDS)]
 
 
+def tiles_of(fp: np.ndarray, taken: np.ndarray, first: int = 0) -> np.ndarray:
+    """The tiles of fingerprints (rows, WORDS) by the bits ``taken``, the first of which is tile ``first``: (rows, tiles)."""
+    weights = (1 << np.arange(taken.shape[1])).astype(np.int32)
+    out = np.empty((len(fp), len(taken)), dtype=np.int32)
+    for k in range(0, len(fp), 256):
+        bits = np.unpackbits(np.ascontiguousarray(fp[k : k + 256]).view(np.uint8), axis=1)
+        out[k : k + 256] = bits[:, taken] @ weights
+    return out + ((first + np.arange(len(taken), dtype=np.int32)) << taken.shape[1])
+
+
+def in_tiles(rows: DataFrame, taken: np.ndarray, first: int = 0) -> DataFrame:
+    """tile and the columns of ``rows`` (node, class, size, f0 to f7), for each tile of each row; an empty set has none."""
+
+    def make(batches):
+        for b in batches:
+            fp = np.stack([b.column(f).to_numpy() for f in FP], axis=1)
+            tiles = tiles_of(fp, taken, first)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tiles.size + 1, len(taken), dtype=np.int32)), pa.array(tiles.ravel()))
+            yield b.append_column("tiles", lists)
+
+    longs = ", ".join(f"{f} long" for f in FP)
+    rows = rows.where("size > 0").select("node", "class", "size", *FP)
+    return map_arrow(rows, make, f"node long, class long, size int, {longs}, tiles array<int>").select(F.explode("tiles").alias("tile"), "node", "class", "size", *FP)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """node (doc_id), key (a hash of the text), class (equal sets of shingles have one), size, f0 to f3 and tiles of each row of ``docs``."""
-    taken = tile_bits(docs.count())
-    weights = 1 << np.arange(taken.shape[1])
-    base = np.arange(len(taken)) << taken.shape[1]
+    """node (doc_id), key (a hash of the text), class (equal sets of shingles have one), size and f0 to f7 of each row of ``docs``."""
 
     def make(batches):
         for b in batches:
@@ -296,17 +319,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 x = shingles(t)
                 kind[k], size[k], bits[k] = _class(x), len(x), wide_bits(x)
             fp = np.packbits(bits[:, : 64 * WORDS], axis=1).view(np.int64)
-            tiles = np.empty((len(place), len(taken)), dtype=np.int32)
-            for k in range(0, len(place), 256):
-                tiles[k : k + 256] = bits[k : k + 256, taken] @ weights + base
-            ends = np.r_[0, np.cumsum(np.where(size > 0, len(taken), 0))].astype(np.int32)  # an empty set has no tiles
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tiles[size > 0].ravel()))
             at = pa.array(at, pa.int64())
-            cols = [pa.array(kind), pa.array(size), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WORDS)), lists]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(c.take(at) for c in cols)], names=["node", "key", "class", "size", *FP, "tiles"])
+            cols = [pa.array(kind), pa.array(size), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WORDS))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(c.take(at) for c in cols)], names=["node", "key", "class", "size", *FP])
 
     longs = ", ".join(f"{f} long" for f in FP)
-    return map_arrow(_named(docs), make, f"node long, key long, class long, size int, {longs}, tiles array<int>")
+    return map_arrow(_named(docs), make, f"node long, key long, class long, size int, {longs}")
 
 
 def _class(hashes: np.ndarray) -> int:
@@ -400,18 +418,19 @@ def _may_be_near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) ->
     return (SIMILAR[1] * lo >= SIMILAR[0] * hi) & (far <= np.where(lo < SMALL, *FAR))
 
 
-def candidates(rows: DataFrame, n: int, part: int = PART) -> DataFrame:
-    """a, b: the pairs of classes in ``rows`` (class, size, f0 to f3, tiles) that share a tile and may be near copies."""
-    zero = F.lit(0).cast("long")
-    flat = rows.select(F.explode("tiles").alias("tile"), "class", "size", *FP)
-    hot = table(flat.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")).where("parts > 1"), "hot-tiles")
-    if not hot.isEmpty():  # part p of a tile meets part q in the tile's pair (p, q); each pair holds both parts
-        own = F.pmod(F.xxhash64("class"), F.col("parts"))
-        pairs = F.transform(F.sequence(zero, F.col("parts") - 1), lambda q: F.least(F.col("own"), q) * F.col("parts") + F.greatest(F.col("own"), q))
-        split = flat.join(hot, "tile").withColumn("own", own).select("tile", F.explode(pairs).alias("part"), "class", "size", *FP)
-        flat = flat.join(hot, "tile", "left_anti").select("tile", zero.alias("part"), "class", "size", *FP).unionByName(split)
-    else:
-        flat = flat.select("tile", zero.alias("part"), "class", "size", *FP)
+def pairs_in_tiles(taken: np.ndarray):
+    """From rows (tile, part, class, size, f0 to f7) in order of tile and part to the pairs of classes that may be near copies, each from the first
+    tile that it shares (of the parts of a large tile, several may give one pair)."""
+
+    def from_first(a: np.ndarray, b: np.ndarray, x: np.ndarray, tile: np.ndarray) -> np.ndarray:
+        out = np.empty(len(a), dtype=bool)
+        for k in range(0, len(a), 1 << 15):
+            p, q = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
+            at, place = np.unique(np.r_[p, q], return_inverse=True)
+            tiles = tiles_of(x[at], taken)
+            same = tiles[place[: len(p)]] == tiles[place[len(p) :]]
+            out[k : k + (1 << 15)] = same.argmax(axis=1) == tile[p] >> taken.shape[1]
+        return out
 
     def find(batches):
         held: list[list[np.ndarray]] = []
@@ -441,11 +460,11 @@ def candidates(rows: DataFrame, n: int, part: int = PART) -> DataFrame:
                     a.append(i + cuts[k])
                     b.append(j + cuts[k])
             if a:
-                a, b = kind[np.concatenate(a)], kind[np.concatenate(b)]
-                if len(a):  # a pair may share many tiles
-                    lo, hi = np.minimum(a, b), np.maximum(a, b)
-                    once = np.unique(np.stack([lo, hi], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(once[:, 0])), pa.array(np.ascontiguousarray(once[:, 1]))], names=["a", "b"])
+                a, b = np.concatenate(a), np.concatenate(b)
+                ok = from_first(a, b, x, tile)
+                a, b = kind[a[ok]], kind[b[ok]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         count = 0
         for r in batches:
@@ -456,18 +475,35 @@ def candidates(rows: DataFrame, n: int, part: int = PART) -> DataFrame:
                 count = 0
         yield from flush(True)
 
+    return find
+
+
+def candidates(rows: DataFrame, n: int, taken: np.ndarray, part: int = PART) -> DataFrame:
+    """a, b: the pairs of classes in ``rows`` (node, class, size, f0 to f7) that share a tile and may be near copies."""
+    zero = F.lit(0).cast("long")
+    flat = in_tiles(rows, taken).drop("node")
+    hot = table(flat.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")).where("parts > 1"), "hot-tiles")
+    if not hot.isEmpty():  # part p of a tile meets part q in the tile's pair (p, q); each pair holds both parts
+        own = F.pmod(F.xxhash64("class"), F.col("parts"))
+        pairs = F.transform(F.sequence(zero, F.col("parts") - 1), lambda q: F.least(F.col("own"), q) * F.col("parts") + F.greatest(F.col("own"), q))
+        split = flat.join(hot, "tile").withColumn("own", own).select("tile", F.explode(pairs).alias("part"), "class", "size", *FP)
+        flat = flat.join(hot, "tile", "left_anti").select("tile", zero.alias("part"), "class", "size", *FP).unionByName(split)
+    else:
+        flat = flat.select("tile", zero.alias("part"), "class", "size", *FP)
     flat = flat.repartition(parts(n), "tile", "part").sortWithinPartitions("tile", "part")
-    return map_arrow(flat, find, "a long, b long", 0).distinct()
+    return map_arrow(flat, pairs_in_tiles(taken), "a long, b long", 0).distinct()
+
 
+def stars(rows: DataFrame, taken: np.ndarray, first: int) -> DataFrame:
+    """a, b: of each class in ``rows`` that may be a near copy of the first row of one of ``STAR`` tiles, the first such row's class.
 
-def stars(rows: DataFrame, first: int) -> DataFrame:
-    """a, b: of each class in ``rows`` that may be a near copy of the first row of one of ``STAR`` tiles, the first such row's class."""
-    flat = rows.select(F.explode(F.slice("tiles", first + 1, STAR)).alias("tile"), "node", "class", "size", *FP)
+    The first rows are broadcast: there are 8192 at most for 16.7 million texts, then twice as many for twice the texts."""
+    flat = in_tiles(rows, taken[first : first + STAR], first)
     p = flat.groupBy("tile").agg(F.min(F.struct("node", "class", "size", *FP)).alias("p"))
     far = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"p.{f}"))) for f in FP), F.lit(0))
     lo, hi = F.least("size", "p.size"), F.greatest("size", "p.size")
     close = (SIMILAR[1] * lo >= SIMILAR[0] * hi) & (far <= F.when(lo < SMALL, FAR[0]).otherwise(FAR[1]))
-    found = flat.join(p, "tile").where((F.struct("node", "class") > F.struct("p.node", "p.class")) & close)
+    found = flat.join(F.broadcast(p), "tile").where((F.struct("node", "class") > F.struct("p.node", "p.class")) & close)
     return found.groupBy("class").agg(F.min(F.struct("p.node", "p.class")).alias("p")).select(F.col("class").alias("a"), F.col("p.class").alias("b"))
 
 
@@ -480,19 +516,20 @@ def _near(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def without_near_copies(of: DataFrame, docs: DataFrame) -> DataFrame:
+def without_near_copies(of: DataFrame, docs: DataFrame, taken: np.ndarray) -> DataFrame:
     """node, key, class of the classes in ``of`` (a table of :func:`sketches` of ``docs``) that stay, each by its first row."""
-    same = [F.first(c).alias(c) for c in ("size", *FP, "tiles")]
-    reps = table(of.groupBy("class").agg(F.min(F.struct("node", "key")).alias("r"), *same).select("class", "r.*", "size", *FP, "tiles"), "classes")
+    same = [F.first(c).alias(c) for c in ("size", *FP)]
+    reps = table(of.groupBy("class").agg(F.min(F.struct("node", "key")).alias("r"), *same).select("class", "r.*", "size", *FP), "classes")
     n, now, gone, k = shards(docs), reps, [], 0
-    most = (reps.select(F.max(F.size("tiles"))).first()[0] or 0) - STAR
-    while k <= most:
-        pairs = table(stars(now, k), "pairs")
+    while k <= len(taken) - STAR:
+        pairs = table(stars(now, taken, k), "pairs")
         gone.append(_near(pairs, reps, docs))
-        now, k = now.join(gone[-1], "class", "left_anti"), k + STAR
+        was, now, k = now, table(now.join(gone[-1], "class", "left_anti"), "left"), k + STAR
+        if was is not reps:
+            drop(was)
         if gone[-1].count() <= AGAIN * pairs.count():
             break
-    pairs = table(candidates(now, n), "candidates")
+    pairs = table(candidates(now, n, taken), "candidates")
     order = reps.select("class", F.struct("node", "class").alias("r"))
     x, y = order.select(F.col("class").alias("a"), F.col("r").alias("x")), order.select(F.col("class").alias("b"), F.col("r").alias("y"))
     lo, hi = F.least("x", "y"), F.greatest("x", "y")
@@ -507,13 +544,15 @@ def without_near_copies(of: DataFrame, docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies of a smaller doc_id, once each."""
     of = table(sketches(docs), "sketches")
-    kept = table(without_near_copies(of, docs).select("node", "key"), "kept")
+    kept = table(without_near_copies(of, docs, tile_bits(of.count())).select("node", "key"), "kept")
     gone = table(of.select("node", "key").distinct().join(kept, ["node", "key"], "left_anti"), "gone")
     # rows outside the sieve stay; only what may go is matched exactly
     names = {"node": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "key": F.xxhash64("text")}
     mine = docs.select(F.struct(*docs.columns).alias("_row"), *[c.alias(k) for k, c in names.items()])
     mine = sifted(mine, sieve(gone, gone.count()))
-    out = mine.where("not _may").unionByName(mine.where("_may").join(gone, ["node", "key"], "left_anti").select(*mine.columns)).select("_row.*")
+    # an outer join, as Spark would push an anti join below the sieve, and shuffle every text
+    found = gone.select("node", "key", F.col("node").alias("_gone"))
+    out = mine.where("not _may").unionByName(mine.where("_may").join(found, ["node", "key"], "left").where("_gone is null").select(*mine.columns)).select("_row.*")
     if of.groupBy("node", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return out
     return out.withColumn("_tidewater_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_tidewater_key"]).select(docs.columns)
