@@ -837,6 +837,31 @@ def test_stage_pairs_come_once_and_few_are_far():
     assert len(far) > 10_000 and len(far & set(got)) < 0.05 * len(far)
 
 
+def test_stage_sends_a_text_to_few_tiles_and_parts_them_there():
+    """A text is shuffled to at most forty tiles, whatever their number of parts, and the parts lose no near copies."""
+    assert all(len(simhash.tile_bits(rows)) <= 40 for rows in (100, 10**5, 10**7))
+    r = random.Random(41)
+    texts = []
+    for _ in range(150):
+        base = words(r, 150, 5000).split()
+        texts.append(" ".join(base))
+        for at in r.sample(range(150), 2):
+            base[at] = f"new{r.randrange(10**6)}"
+        texts.append(" ".join(base))
+    sets = [simhash.shingles(t) for t in texts]
+    size = np.array([len(x) for x in sets])
+    fp = np.packbits(np.stack([simhash.wide_bits(x) for x in sets]), axis=1).view(np.int64)
+    taken, inner = simhash.tile_bits(1 << 23), simhash.inner_bits(1 << 23)
+    assert inner.shape[0] == len(taken) and inner.shape[2] >= 8
+    tiles = simhash.tiles_of(fp, taken)
+    rows = sorted((int(t), k) for k in range(300) for t in tiles[k])
+    at = np.array([k for _, k in rows])
+    cols = [np.array([t for t, _ in rows], dtype=np.int32), np.zeros(len(rows), dtype=np.int64), at.astype(np.int64), size[at].astype(np.int32), *fp[at].T]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["tile", "part", "class", "size", *simhash.FP])
+    got = [p for b in simhash.pairs_in_tiles(taken, inner)([batch.slice(0, 3000), batch.slice(3000)]) for p in zip(*b.to_pydict().values(), strict=True)]
+    assert len(got) == len(set(got)) and {(k, k + 1) for k in range(0, 300, 2)} <= set(got)
+
+
 # -- pipeline ---------------------------------------------------------------------------------------
 
 

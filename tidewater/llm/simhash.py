@@ -15,11 +15,12 @@ different texts of one doc_id are texts of their own, of repeated rows one stays
 
 The pipeline's stage (``one_of_each``) has settings of its own: texts are near copies if the Jaccard similarity of
 their sets of five-word shingles is ``SIMILAR`` = 0.8 or more. Texts with equal sets fall together. Each set has a
-SimHash of 512 bits. Tiles are groups that agree on ten or more of these bits, so many that two sets at 0.8 are in
-none together with a probability under 0.0001 (more similar ones still less). In a tile, all 512 bits are compared block
-against block by exclusive-or and bit counts; block pairs whose population counts or sizes are too far apart are
-skipped. What differs in no more bits than sets at 0.8 may (four standard deviations) is decided on the whole sets, once:
-a pair comes from the first tile that it shares.
+SimHash of 512 bits. Tiles are groups that agree on five or more of these bits; a set is sent to each of its tiles once
+(about thirty). A tile is parted again where it is compared, several times over, by further bits, as many as leave some
+hundred sets a part. Tiles and parts are so many that two sets at 0.8 are in none together with a probability under 0.0001
+(more similar ones still less). In a part, all 512 bits are compared block against block by exclusive-or and bit counts; block
+pairs whose population counts or sizes are too far apart are skipped. What differs in no more bits than sets at 0.8 may (four
+standard deviations) is decided on the whole sets, once: a pair comes from the first tile that finds it.
 First every text is compared with the smallest doc_id of eight of its tiles, until few leave; then all pairs of what
 is left are. So each row that goes has a near copy with a smaller doc_id, and no two rows that stay and have shared a
 tile are near copies.
@@ -51,15 +52,20 @@ SIMILAR = (4, 5)
 #: 64-bit words of the stage's fingerprints, those that tiles compare (all: tiles are told from them), and those that a block is compared by first.
 WIDE, WORDS, FIRST = 8, 8, 2
 #: Texts of a tile, on average, from which on tiles agree on one bit more than ``WIDTH``.
-WIDTH, TILE = 10, 16384
-#: Tiles of the first rounds, and the share of their pairs that must leave for one more.
-STAR, AGAIN = 8, 0.25
+WIDTH, TILE = 5, 1 << 19
+#: Texts of a tile's part, on average, from which on parts agree on one bit more.
+INNER = 256
+#: The probability that sets at the least similarity are in no part together (the worst case: four shingles of five).
+LOST = 1e-4
+#: Tiles of the first rounds, their bits, the texts of one from which on they agree on one bit more, and the share of their pairs
+#: that must leave for one more round.
+STAR, STAR_WIDTH, STAR_TILE, AGAIN = 8, 10, 16384, 0.25
 #: Sets under so many shingles may differ by more bits (sums of few signs are often even).
 SMALL = 64
 #: Bits that fingerprints of sets at the least similarity may differ by: (small sets, larger), in the first words and in all that tiles compare.
 FAR_FIRST, FAR = (44, 38), (132, 110)
-#: Rows of a tile that one task compares; larger ones go to pairs of parts.
-PART = 32768
+#: Rows of a tile that one task compares; larger ones are cut into pieces, half as large, that meet in pairs.
+PART = 1 << 19
 #: Pairs with the same smaller text that one task decides.
 SHARED = 1000
 
@@ -266,15 +272,53 @@ def wide_bits(hashes: np.ndarray) -> np.ndarray:
     return (2 * ones > len(hashes)).astype(np.uint8)
 
 
-def tile_bits(rows: int) -> np.ndarray:
-    """The bits that each tile agrees on, for so many texts: (tiles, width)."""
+def tile_widths(rows: int) -> tuple[int, int, int, int]:
+    """For so many texts: the bits that a tile agrees on, those that its parts agree on, partings of a tile, and tiles."""
     width = WIDTH
     while rows > TILE << width:
         width += 1
+    more = 0
+    while rows > INNER << (width + more):
+        more += 1
     # sets of four and of five shingles, the worst case at 0.8, agree on 13 of 16 bits; larger ones on 0.85
-    tiles = int(np.ceil(10.7 / -np.log1p(-(0.8125**width))))
+    near = 0.8125
+    times = int(np.ceil(np.log(0.1) / np.log1p(-(near**more)))) if more else 1
+    d = np.arange(64 * WIDE + 1)
+    ways = np.r_[0, np.cumsum(np.log(d[:0:-1] / d[1:]))]
+    share = np.exp(ways + d * np.log(1 - near) + d[::-1] * np.log(near))  # of such pairs, by the bits that differ
+    same = d[::-1] / d[-1]
+    alone = 1 - same**width * (1 - (1 - same**more) ** times)
+    tiles = 1
+    while share @ alone**tiles > LOST:
+        tiles += 1
+    return width, more, times, tiles
+
+
+def _choices(rows: int) -> tuple[np.ndarray, np.ndarray]:
+    width, more, times, tiles = tile_widths(rows)
     rng = np.random.default_rng(11)
-    return np.stack([rng.choice(64 * WIDE, width, replace=False) for _ in range(tiles)])
+    taken = np.stack([rng.choice(64 * WIDE, width, replace=False) for _ in range(tiles)])
+    inner = [[rng.choice(np.setdiff1d(np.arange(64 * WIDE), t), more, replace=False) for _ in range(times)] for t in taken]
+    return taken, np.array(inner, dtype=np.int64).reshape(tiles, times, more)
+
+
+def tile_bits(rows: int) -> np.ndarray:
+    """The bits that each tile agrees on, for so many texts: (tiles, width)."""
+    return _choices(rows)[0]
+
+
+def inner_bits(rows: int) -> np.ndarray:
+    """The bits that the parts of each tile agree on in each of its partings: (tiles, times, bits); no bits: a tile is one part."""
+    return _choices(rows)[1]
+
+
+def star_bits(rows: int, rounds: int = 10) -> np.ndarray:
+    """The bits of the tiles of the first rounds: (tiles, width)."""
+    width = STAR_WIDTH
+    while rows > STAR_TILE << width:
+        width += 1
+    rng = np.random.default_rng(13)
+    return np.stack([rng.choice(64 * WIDE, width, replace=False) for _ in range(rounds * STAR)])
 
 
 FP = [f"f{k}" for k in range(WORDS)]
@@ -418,18 +462,60 @@ def _may_be_near(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) ->
     return (SIMILAR[1] * lo >= SIMILAR[0] * hi) & (far <= np.where(lo < SMALL, *FAR))
 
 
-def pairs_in_tiles(taken: np.ndarray):
+def _pairs_in_parts(x: np.ndarray, size: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs that may be near copies within parts, which begin and end at ``cuts``."""
+    many = np.diff(cuts)
+    of = np.repeat(np.arange(len(many)), many)
+    small = many[of] <= 32
+    a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for s in range(1, min(32, int(many.max(initial=0)))):  # all small parts at once
+        i = np.flatnonzero((of[s:] == of[:-s]) & small[s:])
+        i = i[_may_be_near(x[i], x[i + s], size[i], size[i + s])]
+        a.append(i)
+        b.append(i + s)
+    for k in np.flatnonzero(many > 32):
+        i, j = close_pairs(x[cuts[k] : cuts[k + 1]], size[cuts[k] : cuts[k + 1]])
+        a.append(i + cuts[k])
+        b.append(j + cuts[k])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _pairs_in_tile(x: np.ndarray, size: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of a tile that are in a part together, by the ``bits`` (times, bits) of its partings, once each."""
+    keys = np.zeros((len(bits), len(x)), dtype=np.uint16 if bits.shape[1] <= 16 else np.uint32)
+    for key, row in zip(keys, bits.tolist(), strict=True):
+        for k in row:  # bit k of the bytes, the highest of a byte first
+            key *= 2
+            key += (x[:, k // 64] >> np.uint64(k % 64 // 8 * 8 + 7 - k % 8)).astype(key.dtype) & 1
+    a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for t, key in enumerate(keys):
+        order = np.argsort(key, kind="stable")
+        cuts = np.r_[0, np.flatnonzero(np.diff(key[order])) + 1, len(order)]
+        i, j = _pairs_in_parts(x[order], size[order], cuts)
+        i, j = order[i], order[j]
+        for past in keys[:t]:
+            ok = past[i] != past[j]
+            i, j = i[ok], j[ok]
+        a.append(i)
+        b.append(j)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def pairs_in_tiles(taken: np.ndarray, inner: np.ndarray | None = None):
     """From rows (tile, part, class, size, f0 to f7) in order of tile and part to the pairs of classes that may be near copies, each from the first
-    tile that it shares (of the parts of a large tile, several may give one pair)."""
-
-    def from_first(a: np.ndarray, b: np.ndarray, x: np.ndarray, tile: np.ndarray) -> np.ndarray:
-        out = np.empty(len(a), dtype=bool)
-        for k in range(0, len(a), 1 << 15):
-            p, q = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
-            at, place = np.unique(np.r_[p, q], return_inverse=True)
-            tiles = tiles_of(x[at], taken)
-            same = tiles[place[: len(p)]] == tiles[place[len(p) :]]
-            out[k : k + (1 << 15)] = same.argmax(axis=1) == tile[p] >> taken.shape[1]
+    tile that finds it (of the parts of a large tile, several may give one pair). ``inner``: the bits of the tiles' partings."""
+    if inner is None:
+        inner = np.empty((len(taken), 1, 0), dtype=np.int64)
+
+    def from_first(a: np.ndarray, b: np.ndarray, x: np.ndarray, at: int) -> np.ndarray:
+        out = np.ones(len(a), dtype=bool)
+        for k in range(0, len(a), 1 << 13):
+            p, q, keep = (y[k : k + (1 << 13)] for y in (a, b, out))
+            differ = np.unpackbits((x[p] ^ x[q]).view(np.uint8), axis=1).astype(bool)
+            for t in range(at):
+                some = np.flatnonzero(keep)
+                some = some[~differ[np.ix_(some, taken[t])].any(axis=1)]
+                keep[some] = differ[some[:, None, None], inner[t]].any(axis=2).all(axis=1)
         return out
 
     def find(batches):
@@ -441,27 +527,16 @@ def pairs_in_tiles(taken: np.ndarray):
                 return
             tile, part, kind, size, *fp = (np.concatenate(x) for x in zip(*held, strict=True))
             cuts = np.r_[0, np.flatnonzero((np.diff(tile) != 0) | (np.diff(part) != 0)) + 1, len(tile)]
-            done = len(tile) if last else cuts[-2]
+            if not last:
+                cuts = cuts[:-1]
+            done = cuts[-1]
             held = [[x[done:] for x in (tile, part, kind, size, *fp)]] if done < len(tile) else []
-            many = np.diff(cuts)
-            x = np.stack(fp, axis=1).view(np.uint64)
-            of = np.repeat(np.arange(len(many)), many)
-            small = many[of] <= 32
-            a, b = [], []
-            for s in range(1, min(32, int(many.max()))):  # all small tiles at once
-                i = np.flatnonzero((of[s:] == of[:-s]) & small[s:])
-                i = i[i + s < done]
-                i = i[_may_be_near(x[i], x[i + s], size[i], size[i + s])]
-                a.append(i)
-                b.append(i + s)
-            for k in np.flatnonzero(many > 32):
-                if cuts[k] < done:
-                    i, j = close_pairs(x[cuts[k] : cuts[k + 1]], size[cuts[k] : cuts[k + 1]])
-                    a.append(i + cuts[k])
-                    b.append(j + cuts[k])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                ok = from_first(a, b, x, tile)
+            x = np.stack([f[:done] for f in fp], axis=1).view(np.uint64)
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                at = int(tile[begin]) >> taken.shape[1]
+                a, b = _pairs_in_tile(x[begin:end], size[begin:end], inner[at])
+                a, b = a + begin, b + begin
+                ok = from_first(a, b, x, at)
                 a, b = kind[a[ok]], kind[b[ok]]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -478,11 +553,11 @@ def pairs_in_tiles(taken: np.ndarray):
     return find
 
 
-def candidates(rows: DataFrame, n: int, taken: np.ndarray, part: int = PART) -> DataFrame:
-    """a, b: the pairs of classes in ``rows`` (node, class, size, f0 to f7) that share a tile and may be near copies."""
+def candidates(rows: DataFrame, n: int, taken: np.ndarray, inner: np.ndarray | None = None, part: int = PART) -> DataFrame:
+    """a, b: the pairs of classes in ``rows`` (node, class, size, f0 to f7) that share a part of a tile and may be near copies."""
     zero = F.lit(0).cast("long")
     flat = in_tiles(rows, taken).drop("node")
-    hot = table(flat.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")).where("parts > 1"), "hot-tiles")
+    hot = table(flat.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where(f"n > {part}").select("tile", F.ceil(2 * F.col("n") / part).alias("parts")), "hot-tiles")
     if not hot.isEmpty():  # part p of a tile meets part q in the tile's pair (p, q); each pair holds both parts
         own = F.pmod(F.xxhash64("class"), F.col("parts"))
         pairs = F.transform(F.sequence(zero, F.col("parts") - 1), lambda q: F.least(F.col("own"), q) * F.col("parts") + F.greatest(F.col("own"), q))
@@ -491,7 +566,7 @@ def candidates(rows: DataFrame, n: int, taken: np.ndarray, part: int = PART) ->
     else:
         flat = flat.select("tile", zero.alias("part"), "class", "size", *FP)
     flat = flat.repartition(parts(n), "tile", "part").sortWithinPartitions("tile", "part")
-    return map_arrow(flat, pairs_in_tiles(taken), "a long, b long", 0).distinct()
+    return map_arrow(flat, pairs_in_tiles(taken, inner), "a long, b long", 0).distinct()
 
 
 def stars(rows: DataFrame, taken: np.ndarray, first: int) -> DataFrame:
@@ -516,11 +591,11 @@ def _near(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def without_near_copies(of: DataFrame, docs: DataFrame, taken: np.ndarray) -> DataFrame:
-    """node, key, class of the classes in ``of`` (a table of :func:`sketches` of ``docs``) that stay, each by its first row."""
+def without_near_copies(of: DataFrame, docs: DataFrame, rows: int) -> DataFrame:
+    """node, key, class of the classes in ``of`` (a table of :func:`sketches` of ``docs``, ``rows`` of them) that stay, each by its first row."""
     same = [F.first(c).alias(c) for c in ("size", *FP)]
     reps = table(of.groupBy("class").agg(F.min(F.struct("node", "key")).alias("r"), *same).select("class", "r.*", "size", *FP), "classes")
-    n, now, gone, k = shards(docs), reps, [], 0
+    n, now, gone, k, taken = shards(docs), reps, [], 0, star_bits(rows)
     while k <= len(taken) - STAR:
         pairs = table(stars(now, taken, k), "pairs")
         gone.append(_near(pairs, reps, docs))
@@ -529,7 +604,7 @@ def without_near_copies(of: DataFrame, docs: DataFrame, taken: np.ndarray) -> Da
             drop(was)
         if gone[-1].count() <= AGAIN * pairs.count():
             break
-    pairs = table(candidates(now, n, taken), "candidates")
+    pairs = table(candidates(now, n, *_choices(rows)), "candidates")
     order = reps.select("class", F.struct("node", "class").alias("r"))
     x, y = order.select(F.col("class").alias("a"), F.col("r").alias("x")), order.select(F.col("class").alias("b"), F.col("r").alias("y"))
     lo, hi = F.least("x", "y"), F.greatest("x", "y")
@@ -544,7 +619,7 @@ def without_near_copies(of: DataFrame, docs: DataFrame, taken: np.ndarray) -> Da
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies of a smaller doc_id, once each."""
     of = table(sketches(docs), "sketches")
-    kept = table(without_near_copies(of, docs, tile_bits(of.count())).select("node", "key"), "kept")
+    kept = table(without_near_copies(of, docs, of.count()).select("node", "key"), "kept")
     gone = table(of.select("node", "key").distinct().join(kept, ["node", "key"], "left_anti"), "gone")
     # rows outside the sieve stay; only what may go is matched exactly
     names = {"node": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "key": F.xxhash64("text")}
