@@ -558,6 +558,14 @@ def test_encoder_agrees_with_the_library(encode, most):
         assert enc.encode(t).tolist() == encode(t), t
 
 
+def test_special_tokens_in_capitals_are_plain_text(encode):
+    from tidewater.llm.common import WordEncoder
+
+    enc = WordEncoder(VOCAB)
+    for t in ["<|ENDOFTEXT|> A", "a<|EndOfText|>b C", "<|endoftext|> <|StartOfText|>", "İ <|ENDOFTEXT|>", "<|ENDOFTEXT|>\x1c"]:
+        assert enc.encode(t).tolist() == encode(t), t
+
+
 def check_packing(got, rows, encode):
     want = Counter()
     for d, t in (r[:2] for r in rows):

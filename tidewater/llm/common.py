@@ -224,8 +224,8 @@ class WordEncoder:
             return np.empty(0, dtype="<u2")
         if _ODD.search(text):
             cut = _WIDE.findall(text)
-        elif _narrow(text):
-            cut = text.lower().split()  # the same letters, fewer different words
+        elif "<|" not in text and _narrow(text):
+            cut = text.lower().split()  # the same letters, fewer different words (special tokens are told apart by case)
         else:
             cut = text.split()
         return np.frombuffer(b"".join(map(self.known.__getitem__, cut)), dtype="<u2")
