@@ -536,6 +536,32 @@ def test_repair_leaves_no_repeated_pair():
     assert len(token_files.repair(np.tile(np.arange(10), 20_000), 99, 100)[2]) < 20
 
 
+def test_repair_sorts_wide_keys_as_it_sorts_narrow_ones():
+    rng = np.random.default_rng(3)
+    for top in (9, 1 << 34, (1 << 64) - 1):
+        key = rng.integers(0, top, 500, dtype=np.uint64) // np.uint64(max(1, top // 40))
+        key[0] = top
+        order, ordered = token_files._sorted(key)
+        assert np.array_equal(ordered, np.sort(key)) and np.array_equal(key[order], ordered) and sorted(order.tolist()) == list(range(500))
+    assert [len(x) for x in token_files._sorted(np.empty(0, np.uint64))] == [0, 0]
+
+
+def test_writing_a_token_file_expands_no_rule(monkeypatch):
+    docs = [np.tile(np.arange(9, dtype=np.uint32), 50)] * 4
+    want = token_files.write_shard([1, 2, 3, 4], docs, 2, 9)
+    monkeypatch.setattr(token_files, "Grammar", None)
+    assert token_files.write_shard([1, 2, 3, 4], docs, 2, 9) == want
+
+
+def test_words_with_a_mark_are_cut_without_the_pattern(encode, monkeypatch):
+    from tidewater.llm import common
+
+    enc = common.WordEncoder(VOCAB)
+    monkeypatch.setattr(common, "_PIECES", SimpleNamespace(findall=lambda w: [w] if w in ".,;:!?" else pytest.fail(w)))
+    for t in ["quorvel, Zanthib. élan; ümlauts: why? oh!", "a. , b"]:
+        assert enc.encode(t).tolist() == encode(t), t
+
+
 def test_repair_reads_ranges_without_the_rest():
     g = token_files.Grammar(np.array([[0, 1], [4, 4], *([k, k] for k in range(5, 40))], np.uint32), np.arange(1, 38, dtype=np.uint32), 4)
     assert g.expand(np.array([40]), 10**9 + 1, 10**9 + 5).tolist() == [1, 0, 1, 0]

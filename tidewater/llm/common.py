@@ -145,6 +145,7 @@ def with_columns_kept(docs: DataFrame, needed: list[str]) -> DataFrame:
 #: White space as the tokenizer's own pattern has it; str.split() takes \x1c-\x1f besides.
 _WIDE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile("[\x1c-\x1f]")
+_MARKS = frozenset(".,;:!?")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -172,7 +173,7 @@ class _Words(dict):
     ``most`` words are kept they become the older generation, from which words come back when they are met again."""
 
     def __init__(self, tok, most: int):
-        self.tok, self.most, self.older = tok, most, {}
+        self.tok, self.model, self.most, self.older = tok, tok.model, most, {}
         self.letters = _byte_letters()
         shape = json.loads(tok.to_str())
         #: Whether the model may be asked piece by piece: this normalizer and pre-tokenizer are the ones that _PIECES repeats.
@@ -193,12 +194,14 @@ class _Words(dict):
         return ids
 
     def _encoded(self, word: str) -> bytes:
-        if not self.plain or "<|" in word or not _narrow(word):
+        if not self.plain or "<|" in word or not (word.isascii() or _narrow(word)):
             return np.array(self.tok.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
         low = word.lower()
+        if low[-1:] in _MARKS and low[:-1].isalpha():  # the shape that _PIECES would cut most often
+            return self[low[:-1]] + self[low[-1]]
         pieces = [low] if low.isalpha() else _PIECES.findall(low)
         if pieces == [low]:  # by the library's model (letters below U+0100 are their own NFC form)
-            return array("H", [t.id for t in self.tok.model.tokenize(low.translate(self.letters))]).tobytes()
+            return array("H", [t.id for t in self.model.tokenize(low if low.isascii() and low.isalpha() else low.translate(self.letters))]).tobytes()
         return b"".join([self[x] for x in pieces])
 
 

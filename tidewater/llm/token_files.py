@@ -44,88 +44,110 @@ FALL = 8
 HELD = 64
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts ``key``, and ``key`` in that order; key and place are sorted as one number where 64 bits hold both."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()).bit_length() + bits <= 64:
+        both = np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+        return (both & np.uint64((1 << bits) - 1)).astype(np.intp), both >> np.uint64(bits)
+    order = np.argsort(key)
+    return order, key[order]
+
+
 def _grouped(key: np.ndarray, at: np.ndarray, after: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (``key`` at the places ``at``, ascending; ``after``: the places that follow) met ``level`` times or more without overlaps
     of their own: keys, counts, the places of all of them with the pair at each, and the places that overlap one of the same pair."""
-    order = np.argsort(key)
-    new = np.r_[True, np.diff(key[order]) != 0] if len(at) else np.empty(0, dtype=bool)
-    pair = np.empty(len(at), dtype=np.int32)
-    pair[order] = np.cumsum(new, dtype=np.int32) - 1
-    keys = key[order[new]]
+    order, ordered = _sorted(key)
+    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(at) else np.empty(0, dtype=bool)
+    pair = np.empty(len(at), dtype=np.intp)
+    pair[order] = np.cumsum(new) - 1
+    keys = ordered[np.flatnonzero(new)]
     again = np.r_[False, (at[1:] == after[:-1]) & (pair[1:] == pair[:-1])] if len(at) else new
-    odd = np.zeros(len(at), dtype=bool)
-    if again.any():  # in a run such as a a a a every other place counts
+    if not again.any():
+        odd, n = again, np.bincount(pair, minlength=len(keys))
+    else:  # in a run such as a a a a every other place counts
         begins = np.flatnonzero(~again)
         odd = (np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))) % 2 == 1
-    n = np.bincount(pair[~odd], minlength=len(keys))
+        n = np.bincount(pair[np.flatnonzero(~odd)], minlength=len(keys))
     good = n >= level
     taken = good[pair]
-    counted = taken & ~odd
-    return keys[good], n[good], at[counted], (np.cumsum(good) - 1)[pair[counted]], at[taken & odd]
+    counted = np.flatnonzero(taken & ~odd)
+    return keys[good], n[good], at[counted], (np.cumsum(good) - 1)[pair[counted]], at[np.flatnonzero(taken & odd)]
 
 
 def repair(ids: np.ndarray, end: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols; the k-th stands for ``first + k``), their number after each round, and the symbols that are left.
 
     No pair goes on after ``end``. Among what is left no pair occurs twice (occurrences that overlap count once). A level begins
-    with a count of all pairs; its later rounds only look at pairs that lost places to others and at those next to a new symbol."""
+    with a count of all pairs; its later rounds only look at pairs that lost places to others and at those next to a new symbol.
+    Places are ``intp`` and are picked by number, not by mask: numpy does both faster."""
     seq = ids.astype(np.uint32)
     shut = seq == end  # symbols whose expansion ends a document
     rules, rounds, made, level = [], [], 0, None
     while len(seq) > 1 and level != 1:
-        slot = (seq[:-1] * np.uint32(2654435761) ^ seq[1:] * np.uint32(2246822519)) >> np.uint32(12)
+        slot = ((seq[:-1] * np.uint32(2654435761) ^ seq[1:] * np.uint32(2246822519)) >> np.uint32(12)).astype(np.intp)
         met = np.bincount(slot, minlength=1 << 20)  # at least the pair's own count
         most = int(met.max())
         level = max(2, min(level or most, most) // FALL)
-        at = np.flatnonzero((met >= level)[slot] & ~shut[:-1]).astype(np.int32)
+        at = np.flatnonzero((met >= level)[slot] & ~shut[:-1])
         n = len(seq)
-        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # neighbours among the places that are left
+        after, before = np.arange(1, n + 1), np.arange(-1, n)  # neighbours among the places that are left
         gone = np.zeros(n, dtype=bool)
         while len(at):
             right = after[at]
-            key = seq[at].astype(np.uint64) << np.uint64(32) | seq[right]
+            bits = np.uint64((first + made).bit_length())
+            key = seq[at].astype(np.uint64) << bits | seq[right]
             keys, count, at, pair, aside = _grouped(key, at, right, level)
             if not len(keys):
                 break
-            rank = np.empty(len(keys), dtype=np.int64)
+            rank = np.empty(len(keys), dtype=np.intp)
             rank[np.argsort(-count, kind="stable")] = np.arange(len(keys))
-            mine = rank[pair]
-            close = at[1:] == after[at[:-1]]  # places that overlap: the better rank goes first
+            mine, right = rank[pair], after[at]
+            close = at[1:] == right[:-1]  # places that overlap: the better rank goes first
             wins = np.ones(len(at), dtype=bool)
             wins[1:] &= ~(close & (mine[1:] >= mine[:-1]))
             wins[:-1] &= ~(close & (mine[:-1] > mine[1:]))
-            used = np.bincount(pair[wins], minlength=len(keys)) > 1
+            used = np.bincount(pair[np.flatnonzero(wins)], minlength=len(keys)) > 1
             wins &= used[pair]
-            p = at[wins]
-            q = after[p]
-            seq[p] = (first + made + (np.cumsum(used) - 1)[pair[wins]]).astype(np.uint32)
+            won = np.flatnonzero(wins)
+            p, q = at[won], right[won]
+            seq[p] = (first + made + (np.cumsum(used) - 1)[pair[won]]).astype(np.uint32)
             shut[p] = shut[q]
             gone[q] = True
-            after[p] = after[q]
-            before[after[q]] = p
+            follows = after[q]
+            after[p] = follows
+            before[follows] = p
             chosen = keys[used]
-            rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+            rules.append(np.stack([chosen >> bits, chosen & ((np.uint64(1) << bits) - np.uint64(1))], axis=1).astype(np.uint32))
             made += len(chosen)
             rounds.append(made)
-            at = np.sort(np.concatenate([at[~wins], aside, p, before[p]]))
-            at = at[np.r_[True, at[1:] != at[:-1]] & (at >= 0)]
-            at = at[~gone[at] & ~shut[at] & (after[at] < n)]
-        seq, shut = seq[~gone], shut[~gone]
+            at = np.sort(np.concatenate([at[np.flatnonzero(~wins)], aside, p, before[p]]))
+            at = at[np.flatnonzero(np.r_[True, at[1:] != at[:-1]] & (at >= 0))]
+            at = at[np.flatnonzero(~gone[at] & ~shut[at] & (after[at] < n))]
+        left = np.flatnonzero(~gone)
+        seq, shut = seq[left], shut[left]
         if level == 2:
             level = 1
     return np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32), np.array(rounds, dtype=np.uint32), seq
 
 
+def _sizes(rules: np.ndarray, rounds: np.ndarray, first: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    size, a = np.ones(first + len(rules), dtype=np.int64), 0
+    for b in rounds.tolist():
+        size[first + a : first + b] = size[rules[a:b, 0]] + size[rules[a:b, 1]]
+        a = b
+    return size
+
+
 class Grammar:
     """Rules with their expansion lengths; the short expansions are held in one array."""
 
     def __init__(self, rules: np.ndarray, rounds: np.ndarray, first: int):
         self.first = first
         self.left, self.right = rules[:, 0].astype(np.int64), rules[:, 1].astype(np.int64)
-        self.size = np.ones(first + len(rules), dtype=np.int64)
+        self.size = _sizes(rules, rounds, first)
         steps = list(zip([0, *rounds[:-1].tolist()], rounds.tolist(), strict=True)) if len(rounds) else []
-        for a, b in steps:
-            self.size[first + a : first + b] = self.size[self.left[a:b]] + self.size[self.right[a:b]]
         short = np.where(self.size <= HELD, self.size, 0)
         self.at = np.cumsum(short) - short
         self.flat = np.empty(int(short.sum()), dtype=np.uint32)
@@ -172,7 +194,7 @@ def write_shard(doc_ids: list[int | None], docs: list[np.ndarray], end_id: int,
     stop = np.array([end], dtype=np.uint32)
     ids = np.concatenate([x for d in docs for x in (d, stop)]) if docs else np.empty(0, dtype=np.uint32)
     rules, rounds, seq = repair(ids, end, first)
-    lengths = Grammar(rules, rounds, first).size
+    lengths = _sizes(rules, rounds, first)
     id_ends = np.cumsum([len(d) + 1 for d in docs], dtype=np.uint64) if docs else np.empty(0)
     sym_ends = np.searchsorted(np.cumsum(lengths[seq]), id_ends.astype(np.int64), side="left") + 1
     wide = np.uint16 if first + len(rules) <= 65536 else np.uint32
